@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small, word_count
+from tidemark.llm.common import cut, small, text_digest, word_count
 
 MAX_EPOCHS = 3
 BINS = 4096
@@ -56,13 +56,13 @@ def mix_sources(
     """How many words the mix takes of each document.
 
     Returns doc_id, size (words), source, source_size, target, epochs (times the whole document is taken), taken
-    (``epochs * size``). Documents are taken whole, so a source misses its target by what the nearest size left over leaves. A null text has size 0; a null source is a source of its own, last in order; rows that share id
+    (``epochs * size``), digest (MD5 of the text). Documents are taken whole, so a source misses its target by what the nearest size left over leaves. A null text has size 0; a null source is a source of its own, last in order; rows that share id
     and text share a key, and those equal in all columns are interchangeable; empty table: no rows; other columns
     are ignored. ``weight``: a positive expression over ``docs``.
     """
     text, size = F.col(text_col), word_count(F.col(text_col))
     weight = typical_word_weight(text, size) if weight is None else weight
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("w"), uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("u"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("w"), uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("u"), text_digest(text).alias("digest"))
     rows = rows.withColumn("key", -F.log("u") / F.col("w")).drop("u", "w")
     rows = cut(rows.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * bins).cast("int")))
 
@@ -98,7 +98,26 @@ def mix_sources(
     one = Window.partitionBy("source").orderBy("key")
     last_rows = ended.filter(is_last).withColumn("chosen", (F.row_number().over(one) == 1).cast("int"))  # of repeated rows, one
     mixed = ended.filter(~is_last).unionByName(last_rows).withColumn("epochs", F.col("full") + F.col("chosen"))
-    return mixed.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"), "digest")
+
+
+def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns, whatever their names.
+
+    Rows equal in id, text and source share their turns: the first by the other columns takes the first of them."""
+    columns = docs.columns
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
+    key, text, source = (f"c{columns.index(c)}" for c in (id_col, text_col, source_col))
+    taken = mix_sources(own, max_epochs, seed, id_col=key, text_col=text, source_col=source).filter("epochs > 0")
+    turns = taken.groupBy("doc_id", "digest", F.col("source").alias("of")).agg(F.sort_array(F.collect_list("epochs"), asc=False).alias("turns"))
+    own = own.withColumn("own_digest", text_digest(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest")) & F.col(source).eqNullSafe(F.col("of"))
+    dealt = own.join(turns, same)
+    alone = dealt.filter(F.size("turns") == 1).withColumn("turn", F.col("turns")[0])
+    nth = F.row_number().over(Window.partitionBy(key, "own_digest", source).orderBy(*(f"c{i}" for i in range(len(columns)) if f"c{i}" != text)))
+    shared = dealt.filter(F.size("turns") > 1).withColumn("nth", nth).filter(F.col("nth") <= F.size("turns")).withColumn("turn", F.element_at("turns", F.col("nth"))).drop("nth")
+    repeated = alone.unionByName(shared).withColumn("turn", F.explode(F.array_repeat("turn", F.col("turn"))))
+    return repeated.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 ORACLE = r"""

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, sharding
+from pyspark.sql import functions as F
+
+from tidemark.llm import linededup, mixing, packing, quality, sharding, simhash
 from tidemark.llm.common import read
 
 
@@ -14,8 +16,21 @@ def op2_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("lines_before", F.size(F.split("text", "\n")))
+    return linededup.drop_boilerplate(docs).select("doc_id", "source", "lines_before", "text")
+
+
+def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents"))
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("digest")
 
 
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +38,8 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slot_shards, op9_source_mix, op10_best_two_fit)}
+    return {f.__name__: f for f in (op2_virtual_slot_shards, op5_site_line_dedup, op6_simhash_groups, op8_quality_discriminant, op9_source_mix, op10_best_two_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": mixing.ORACLE}
+    return {"op5_site_line_dedup": linededup.ORACLE, "op9_source_mix": mixing.ORACLE}
