@@ -8,14 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, packing, quality, sharding, simhash
-from tidemark.llm.common import read
+from tidemark.llm import ann, bm25, linededup, lm, mixing, packing, quality, sharding, simhash, warc
+from tidemark.llm.common import new_path, read
+
+
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the whole texts of the documents whose id is divisible by 50, against all documents."""
+    docs = read(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.filter("doc_id % 50 = 0"), k=10)
 
 
 def op2_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"), new_path(spark, "warc"))
+
+
 def op5_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("lines_before", F.size(F.split("text", "\n")))
     return linededup.drop_boilerplate(docs).select("doc_id", "source", "lines_before", "text")
@@ -25,6 +39,12 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents labelled as good."""
+    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.score_documents(read(spark, sf_dir, "documents"), good)
+
+
 def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,8 +58,8 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slot_shards, op5_site_line_dedup, op6_simhash_groups, op8_quality_discriminant, op9_source_mix, op10_best_two_fit)}
+    return {f.__name__: f for f in (op1_bm25_search, op2_virtual_slot_shards, op3_collision_neighbours, op4_warc_roundtrip, op5_site_line_dedup, op6_simhash_groups, op7_cross_entropy_difference, op8_quality_discriminant, op9_source_mix, op10_best_two_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_site_line_dedup": linededup.ORACLE, "op9_source_mix": mixing.ORACLE}
+    return {"op4_warc_roundtrip": warc.ORACLE, "op5_site_line_dedup": linededup.ORACLE, "op9_source_mix": mixing.ORACLE}
