@@ -1,0 +1,212 @@
+"""The long/short book, without a loop over sessions.
+
+A position's weight is always one over the number of live positions, so a day's book needs the day's live count and the
+day's before: positions are exploded to (ticker, session) rows, aggregated by session, and the count lagged over
+sessions. Gross return, turnover and short exposure do not depend on costs, so every cost is a column over one book.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.config import CostAssumptions
+from tidemark.operators import temporal
+from tidemark.operators.fundamentals import BEAT, MISS
+
+TRADING_DAYS = 252
+COST_GRID = (0.0, 5.0, 10.0, 20.0, 30.0, 50.0, 75.0, 100.0, 150.0, 200.0)
+
+
+@dataclass(frozen=True)
+class CostModel:
+    """Costs in basis points; ``forced_round_trip_bps`` replaces what the assumptions give, at the same borrow fee."""
+
+    assumptions: CostAssumptions = CostAssumptions()
+    forced_round_trip_bps: float | None = None
+
+    @property
+    def impact_bps(self) -> float:
+        return self.assumptions.impact_coef_bps * math.sqrt(self.assumptions.participation_rate)
+
+    @property
+    def one_way_bps(self) -> float:
+        if self.forced_round_trip_bps is not None:
+            return self.forced_round_trip_bps / 2
+        return self.assumptions.commission_bps + self.assumptions.half_spread_bps + self.impact_bps
+
+    @property
+    def round_trip_bps(self) -> float:
+        return 2 * self.one_way_bps
+
+    @property
+    def borrow_bps_daily(self) -> float:
+        return self.assumptions.borrow_bps_annual / TRADING_DAYS
+
+    def with_round_trip_bps(self, bps: float) -> CostModel:
+        return replace(self, forced_round_trip_bps=bps)
+
+
+def positions(events: DataFrame, hold_days: int, n_sessions: Column | int, entry_timing: str) -> DataFrame:
+    """ticker, category, side, entry_pos, exit_pos: Beats long and Misses short, of those that end on the calendar.
+    Without the entry column of the fill, positions enter at the reaction."""
+    column = temporal.entry_column(entry_timing)
+    entry = F.col(column if column in events.columns else "reaction_pos")
+    side = F.when(F.col("category") == BEAT, 1).when(F.col("category") == MISS, -1)
+    last = F.lit(n_sessions) if isinstance(n_sessions, int) else n_sessions
+    return events.where(F.col("category").isin(BEAT, MISS)).select("ticker", "category", side.alias("side"), entry.alias("entry_pos"), (entry + hold_days).alias("exit_pos")).where(F.col("exit_pos") < last)
+
+
+def daily_returns(grid: DataFrame) -> DataFrame:
+    """ticker, session_pos, close_close, open_close, close_open: fractions."""
+    before = F.lag("close").over(Window.partitionBy("ticker").orderBy("session_pos"))
+    ratio = lambda a, b: F.try_divide(a, b) - 1
+    return grid.select("ticker", "session_pos", ratio(F.col("close"), before).alias("close_close"), ratio(F.col("close"), F.col("open")).alias("open_close"), ratio(F.col("open"), before).alias("close_open"))
+
+
+def _sessions(grid: DataFrame) -> DataFrame:
+    return grid.select("session_pos", "session").distinct()
+
+
+def _with_count(events: DataFrame, grid: DataFrame) -> DataFrame:
+    return events.join(F.broadcast(_sessions(grid).agg(F.count(F.lit(1)).cast("int").alias("_sessions"))))
+
+
+def daily_book(events: DataFrame, grid: DataFrame, hold_days: int, entry_timing: str) -> DataFrame:
+    """A row for every session from the first entry to the last exit: session_pos, session, gross_ret, turnover, n_long,
+    n_short, short_exposure. Sessions without a position have null gross_ret and no turnover."""
+    at_open = entry_timing == temporal.NEXT_OPEN
+    held = positions(_with_count(events, grid), hold_days, F.col("_sessions"), entry_timing)
+    held = held.join(grid.select("ticker").distinct(), "ticker", "left_semi").withColumn("session_pos", F.explode(F.sequence("entry_pos", "exit_pos")))
+    r = F.when(F.col("session_pos") == F.col("entry_pos"), F.col("open_close") if at_open else F.lit(0.0)).when((F.col("session_pos") == F.col("exit_pos")) & F.lit(at_open), F.col("close_open")).otherwise(F.col("close_close"))
+    rows = held.join(daily_returns(grid), ["ticker", "session_pos"], "left").select("session_pos", "side", "entry_pos", "exit_pos", F.coalesce(r, F.lit(0.0)).alias("r"))
+    counts = rows.groupBy("session_pos").agg(F.count(F.lit(1)).alias("n"))
+    # A position that was live in the session before makes that session live, so its count is one lag away.
+    counts = counts.withColumn("n_before", F.lag("n").over(Window.orderBy("session_pos")))
+    live = rows.join(F.broadcast(counts), "session_pos")  # at most a row a session
+    w, before = 1.0 / F.col("n"), F.when(F.col("session_pos") > F.col("entry_pos"), 1.0 / F.col("n_before")).otherwise(0.0)
+    traded = F.abs(w - before * (1 + F.col("r"))) + F.when(F.col("exit_pos") == F.col("session_pos"), w).otherwise(0.0)
+    day = live.groupBy("session_pos").agg(
+        (F.sum(F.col("side") * F.col("r")) / F.first("n")).alias("gross_ret"), F.sum(traded).alias("turnover"), F.count_if(F.col("side") > 0).alias("n_long"), F.count_if(F.col("side") < 0).alias("n_short")
+    )
+    span = day.agg(F.min("session_pos").alias("lo"), F.max("session_pos").alias("hi"))
+    out = _sessions(grid).join(F.broadcast(span), (F.col("session_pos") >= F.col("lo")) & (F.col("session_pos") <= F.col("hi"))).join(F.broadcast(day), "session_pos", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select("session_pos", "session", "gross_ret", F.coalesce("turnover", F.lit(0.0)).alias("turnover"), zero("n_long").alias("n_long"), zero("n_short").alias("n_short"), F.coalesce(F.try_divide(F.col("n_short"), F.col("n_long") + F.col("n_short")), F.lit(0.0)).alias("short_exposure"))
+
+
+def net_return(model: CostModel, one_way_bps: Column | None = None) -> Column:
+    one_way = F.lit(model.one_way_bps) if one_way_bps is None else one_way_bps
+    return F.col("gross_ret") - F.col("turnover") * one_way / 1e4 - F.col("short_exposure") * F.lit(model.borrow_bps_daily / 1e4)
+
+
+def compounded(r: Column, order: str = "session_pos") -> Column:
+    """Running product of 1 + r, null counting as 0; exact for a total loss too."""
+    so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    growth = 1 + F.coalesce(r, F.lit(0.0))
+    size = F.exp(F.sum(F.when(growth != 0, F.log(F.abs(growth)))).over(so_far))
+    sign = 1 - 2 * F.pmod(F.sum((growth < 0).cast("int")).over(so_far), F.lit(2))
+    return F.when(F.sum((growth == 0).cast("int")).over(so_far) > 0, 0.0).otherwise(F.coalesce(size, F.lit(1.0)) * sign)
+
+
+def with_equity(book: DataFrame, model: CostModel) -> DataFrame:
+    priced = book.withColumn("net_ret", net_return(model))
+    return priced.withColumn("equity_gross", compounded(F.col("gross_ret"))).withColumn("equity_net", compounded(F.col("net_ret")))
+
+
+def drawdown(curve: DataFrame, equity: str = "equity_net") -> DataFrame:
+    """session_pos, session, equity, peak, drawdown."""
+    so_far = Window.orderBy("session_pos").rowsBetween(Window.unboundedPreceding, 0)
+    return curve.select("session_pos", "session", F.col(equity).alias("equity"), F.max(equity).over(so_far).alias("peak")).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+
+
+def trade_log(events: DataFrame, grid: DataFrame, hold_days: int, entry_timing: str, model: CostModel) -> DataFrame:
+    """Each position bought and held: prices, dates, gross and net return in percent; without a price at an end, none."""
+    price = "open" if entry_timing == temporal.NEXT_OPEN else "close"
+    held = positions(_with_count(events, grid), hold_days, F.col("_sessions"), entry_timing)
+    at = lambda end: grid.select("ticker", F.col("session_pos").alias(f"{end}_pos"), F.col("session").alias(f"{end}_date"), F.col(price).alias(f"{end}_price"))
+    full = held.join(at("entry"), ["ticker", "entry_pos"]).join(at("exit"), ["ticker", "exit_pos"]).where(F.col("entry_price").isNotNull() & F.col("exit_price").isNotNull())
+    gross = F.col("side") * (F.try_divide(F.col("exit_price"), F.col("entry_price")) - 1) * 100
+    cost = model.round_trip_bps / 100 + F.when(F.col("side") < 0, model.borrow_bps_daily * hold_days / 100).otherwise(0.0)
+    return full.select("ticker", "category", "side", "entry_pos", "exit_pos", "entry_date", "exit_date", "entry_price", "exit_price", gross.alias("gross_ret_pct"), (gross - cost).alias("net_ret_pct"))
+
+
+def _risk(excess: str) -> list[Column]:
+    sd, down = F.stddev_samp(excess), F.stddev_samp(F.when(F.col(excess) < 0, F.col(excess)))
+    scale = math.sqrt(TRADING_DAYS)
+    return [F.when(sd > 0, F.avg(excess) / sd * scale), F.when(down > 0, F.avg(excess) / down * scale)]
+
+
+def book_metrics(book: DataFrame, trades: DataFrame, grid: DataFrame, model: CostModel, risk_free: DataFrame | None = None, benchmark: str = "SPY") -> DataFrame:
+    """One row of statistics over the sessions of the book; none for an empty book. ``risk_free``: session, rf."""
+    rf = risk_free.select("session", "rf") if risk_free is not None else book.select("session").withColumn("rf", F.lit(0.0))
+    daily = with_equity(book, model).join(rf, "session", "left").withColumns({"net": F.coalesce("net_ret", F.lit(0.0)), "gross": F.coalesce("gross_ret", F.lit(0.0))})
+    daily = daily.withColumn("excess", F.col("net") - F.coalesce("rf", F.lit(0.0)))
+    sharpe, sortino = _risk("excess")
+    last = lambda c: F.max_by(c, "session_pos")
+    live = F.col("n_long") + F.col("n_short")
+    head = daily.agg(
+        F.count(F.lit(1)).alias("sessions"), F.min("session").alias("first"), F.max("session").alias("last"), last("equity_net").alias("e"), last("equity_gross").alias("eg"), (F.stddev_samp("net") * math.sqrt(TRADING_DAYS) * 100).alias("ann_vol_pct"), sharpe.alias("sharpe"), sortino.alias("sortino"),
+        (F.avg("turnover") * TRADING_DAYS).alias("ann_turnover_x"), (F.avg((live > 0).cast("double")) * 100).alias("exposure_pct"), F.avg(live).alias("avg_positions"),
+    ).where("sessions > 0")
+    dd = drawdown(daily)
+    trough = dd.agg(F.min_by(F.struct("drawdown", "session", "session_pos"), F.struct("drawdown", "session_pos")).alias("t")).select("t.*").select((F.col("drawdown") * 100).alias("max_drawdown_pct"), F.date_format("session", "yyyy-MM-dd").alias("max_drawdown_trough"), F.col("session_pos").alias("_trough"))
+    top = dd.join(F.broadcast(trough.select("_trough"))).where(F.col("session_pos") <= F.col("_trough")).agg(F.max_by("session", F.struct("equity", -F.col("session_pos"))).alias("_p")).select(F.date_format("_p", "yyyy-MM-dd").alias("max_drawdown_peak"))
+    win, net = F.col("net_ret_pct") > 0, F.col("net_ret_pct")
+    deals = trades.agg(
+        F.count(F.lit(1)).alias("n_trades"), F.count_if(F.col("side") > 0).alias("n_long_trades"), F.count_if(F.col("side") < 0).alias("n_short_trades"), (F.avg(win.cast("double")) * 100).alias("hit_rate_pct"), F.avg(F.when(win, net)).alias("avg_win_pct"),
+        F.avg(F.when(~win, net)).alias("avg_loss_pct"), F.coalesce(F.sum(F.when(win, net)), F.lit(0.0)).alias("_won"), F.coalesce(-F.sum(F.when(~win, net)), F.lit(0.0)).alias("_lost"),
+    ).withColumn("profit_factor", F.when(F.col("_lost") > 0, F.col("_won") / F.col("_lost"))).drop("_won", "_lost")
+    span = book.agg(F.min("session_pos").alias("lo"), F.max("session_pos").alias("hi"))
+    own = grid.where(F.col("ticker") == benchmark).join(F.broadcast(span)).where((F.col("session_pos") >= F.col("lo")) & (F.col("session_pos") <= F.col("hi")) & F.col("close").isNotNull())
+    own = own.withColumn("r", F.col("close") / F.lag("close").over(Window.orderBy("session_pos")) - 1).join(rf, "session", "left").withColumn("x", F.col("r") - F.coalesce("rf", F.lit(0.0)))
+    fall = drawdown(own.where(F.col("r").isNotNull()).withColumn("equity_net", compounded(F.col("r")))).agg((F.min("drawdown") * 100).alias("benchmark_max_drawdown_pct"))
+    bench = own.agg(F.count(F.lit(1)).alias("_n"), ((F.max_by("close", "session_pos") / F.min_by("close", "session_pos") - 1) * 100).alias("_total"), (F.stddev_samp("r") * math.sqrt(TRADING_DAYS) * 100).alias("benchmark_ann_vol_pct"), _risk("x")[0].alias("benchmark_sharpe"))
+    one = head.join(trough, how="left").join(top, how="left").join(deals, how="left").join(bench, how="left").join(fall, how="left")
+    years = F.greatest(F.datediff("last", "first") / 365.25, F.lit(1e-9))
+    total = F.when(F.col("_n") > 1, F.col("_total"))
+    return one.select(
+        "n_trades", "n_long_trades", "n_short_trades", ((F.col("e") - 1) * 100).alias("total_return_pct"), ((F.col("eg") - 1) * 100).alias("gross_total_return_pct"), ((F.pow("e", 1 / years) - 1) * 100).alias("cagr_pct"), "ann_vol_pct", "sharpe", "sortino",
+        "max_drawdown_pct", "max_drawdown_peak", "max_drawdown_trough", "hit_rate_pct", "avg_win_pct", "avg_loss_pct", "profit_factor", "ann_turnover_x", "exposure_pct", "avg_positions", F.lit(model.round_trip_bps).alias("round_trip_cost_bps"),
+        total.alias("benchmark_total_return_pct"), "benchmark_ann_vol_pct", "benchmark_sharpe", "benchmark_max_drawdown_pct", ((F.pow(1 + total / 100, 1 / years) - 1) * 100).alias("benchmark_cagr_pct"), years.alias("years"),
+    )
+
+
+def cost_curve(book: DataFrame, model: CostModel, grid_bps: Sequence[float] = COST_GRID) -> DataFrame:
+    """round_trip_bps, net_total_return_pct: the whole book at every cost, one aggregation."""
+    priced = book.withColumn("round_trip_bps", F.explode(F.array(*map(F.lit, grid_bps)))).withColumn("net", F.coalesce(net_return(model, F.col("round_trip_bps") / 2), F.lit(0.0)))
+    return priced.groupBy("round_trip_bps").agg(((F.product(1 + F.col("net")) - 1) * 100).alias("net_total_return_pct"))
+
+
+def break_even_cost_bps(evaluate: Callable[[float], float], lo: float = 0.0, hi: float = 1000.0, tolerance: float = 0.05, max_iter: int = 60) -> float:
+    """The round-trip cost at which ``evaluate`` reaches 0: bisection to a width under the tolerance, then the middle.
+    0 if nothing is earned without costs, infinite if something is left at ``hi``."""
+    if evaluate(lo) <= 0:
+        return 0.0
+    if evaluate(hi) > 0:
+        return math.inf
+    for _ in range(max_iter):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if evaluate(middle) > 0 else (lo, middle)
+        if hi - lo < tolerance:
+            break
+    return (lo + hi) / 2
+
+
+def net_return_at_cost(book: DataFrame, model: CostModel) -> Callable[[float], float]:
+    """Net total return in percent as a function of the round-trip cost. The book's three columns, a row a session,
+    come to the driver once; the search for a break-even then costs no more jobs."""
+    rows = [(r[0] or 0.0, r[1], r[2], r[0] is not None) for r in book.orderBy("session_pos").select("gross_ret", "turnover", "short_exposure").collect()]
+    borrow = model.borrow_bps_daily / 1e4
+
+    def at(bps: float) -> float:
+        equity = 1.0
+        for gross, turnover, short, live in rows:
+            equity *= 1 + (gross - turnover * bps / 2e4 - short * borrow if live else 0.0)
+        return (equity - 1) * 100
+
+    return at
