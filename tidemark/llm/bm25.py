@@ -5,36 +5,40 @@ row of a Parquet table. Collection statistics (documents, mean length, document
 scores do not depend on the sharding.
 
 Queries come in blocks of bounded size; a block is broadcast, and tasks take shards one after another, carrying each
-query's k best so far: its threshold in the next shard. In a shard, every list is cut at the same document numbers,
-and each cut keeps its largest impact. The WAND condition splits a query's terms: those whose bounds, summed from the
-smallest, stay below the threshold cannot bring a document in by themselves and their lists are not read. A document of
-the other lists is scored only if what those gave it and the block maxima of the rest reach the threshold, best bound
-first, until the next bound falls below.
+query's k best so far: its threshold in the next shard. In a shard all lists are cut at the same document numbers, and
+a long list keeps its largest impact in each cut. A query reads its short lists; the block maxima of its long ones,
+summed cut by cut, bound what those can add. Only a document whose sum so far and its cut's bound reach the threshold is
+looked up in the long lists (the pivot test of WAND, done for a whole shard at once), and only one that then still
+reaches it, or the k-th best of the shard, is scored in full. Cuts whose bound alone stays below the threshold give no
+document that the short lists did not bring.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, stored
 
 K1, B = 1.2, 0.75
 #: A shard ends at this many documents or words.
-SHARD_DOCS, SHARD_WORDS = 8192, 8_000_000
+SHARD_DOCS, SHARD_WORDS = 12288, 8_000_000
 #: A block of queries ends at this many queries or bytes of text.
 BLOCK_QUERIES, BLOCK_BYTES = 4096, 16 << 20
-#: Documents between two cuts of the lists; lists shorter than LONG have one maximum only.
-CUT, LONG = 64, 32
-#: What sums in another order may differ by, relative to the score.
-SLACK = 1e-9
+#: Documents between two cuts of the lists; a list is long if it holds at least one document in LONG.
+CUT, LONG = 64, 16
+#: Queries that are taken through a shard together; words that are encoded together while a shard is built.
+TOGETHER, ENCODED = 64, 250_000
+#: What sums in single precision may differ by, relative to the score; what is listed is summed in double precision.
+SLACK = 1e-5
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
 
 
@@ -48,15 +52,20 @@ def terms_of(text: str | None) -> list[bytes]:
 INDEX = "ids binary, lengths binary, terms array<binary>, df binary, docs binary, tf binary, n long, words long"
 
 
-def shard_row(ids: list[int], texts: list[list[bytes]]) -> dict[str, object]:
-    """One shard: documents by id, terms with their lists one after another."""
-    number: dict[bytes, int] = {}
-    flat = np.fromiter((number.setdefault(t, len(number)) for ts in texts for t in ts), np.int64)
-    lengths = np.array([len(ts) for ts in texts], "<i4")
+def encoded(terms: list[bytes]) -> pa.DictionaryArray:
+    return pa.array(terms, pa.binary()).dictionary_encode()
+
+
+def shard_row(ids: list[int], lengths: list[int], coded: list[pa.DictionaryArray]) -> dict[str, object]:
+    """One shard: documents by id, terms with their lists one after another. ``coded``: all terms, in order."""
+    whole = pa.chunked_array(coded, pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
+    terms = whole.chunk(0).dictionary if whole.num_chunks else pa.array([], pa.binary())
+    flat = np.concatenate([c.indices.to_numpy() for c in whole.chunks] or [np.zeros(0, np.int32)]).astype(np.int64)
+    lengths = np.array(lengths, "<i4")
     key, tf = np.unique(flat * len(ids) + np.repeat(np.arange(len(ids)), lengths), return_counts=True)
-    df = np.bincount(key // len(ids), minlength=len(number)).astype("<i4")
+    df = np.bincount(key // len(ids), minlength=len(terms)).astype("<i4")
     return {
-        "ids": np.array(ids, "<i8").tobytes(), "lengths": lengths.tobytes(), "terms": list(number), "df": df.tobytes(), "docs": (key % len(ids)).astype("<u2").tobytes(),
+        "ids": np.array(ids, "<i8").tobytes(), "lengths": lengths.tobytes(), "terms": terms, "df": df.tobytes(), "docs": (key % len(ids)).astype("<u2").tobytes(),
         "tf": tf.astype("<u4" if tf.size and tf.max() > 255 else "u1").tobytes(), "n": len(ids), "words": int(lengths.sum()),
     }
 
@@ -66,17 +75,29 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("terms", pa.list_(pa.binary())), ("df", pa.binary()), ("docs", pa.binary()), ("tf", pa.binary()), ("n", pa.int64()), ("words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, words = [], [], 0
+        ids, lengths, coded, held = [], [], [], []
+
+        def shard() -> pa.RecordBatch:
+            row = shard_row(ids, lengths, [*coded, encoded(held)])
+            terms = pa.ListArray.from_arrays(pa.array([0, len(row["terms"])], pa.int32()), row["terms"])
+            return pa.RecordBatch.from_arrays([terms if f.name == "terms" else pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+
+        words = 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = terms_of(text.as_py())
                 ids.append(i)
-                texts.append(terms_of(text.as_py()))
-                words += len(texts[-1])
+                lengths.append(len(own))
+                held += own
+                words += len(own)
+                if len(held) >= ENCODED:
+                    coded.append(encoded(held))
+                    held = []
                 if len(ids) >= min(shard_docs, 1 << 16) or words >= shard_words:
-                    yield pa.RecordBatch.from_pylist([shard_row(ids, texts)], schema)
-                    ids, texts, words = [], [], 0
+                    yield shard()
+                    ids, lengths, coded, held, words = [], [], [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([shard_row(ids, texts)], schema)
+            yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
     return stored(rows.mapInArrow(run, INDEX), "bm25")
@@ -89,7 +110,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class Block:
     """Queries over one vocabulary: those of query i are terms[ptr[i]:ptr[i + 1]], in ascending order, ``times`` often."""
 
-    vocabulary: list[bytes]
+    vocabulary: pa.Array
     ids: np.ndarray
     ptr: np.ndarray
     terms: np.ndarray
@@ -105,7 +126,7 @@ class Block:
         number = {t: i for i, t in enumerate(vocabulary)}
         rows = [sorted((number[t], n) for t, n in c.items()) for c in counts]
         flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
-        return cls(vocabulary, np.array(ids, np.int64), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)], flat[:, 0], flat[:, 1])
+        return cls(pa.array(vocabulary, pa.binary()), np.array(ids, np.int64), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)], flat[:, 0], flat[:, 1])
 
 
 def blocks_of(queries: DataFrame, most: int = BLOCK_QUERIES, most_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -130,86 +151,101 @@ def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """What a block of queries needs of one shard: lists of the block's terms, their maxima, and the documents' own terms."""
+    """What a block of queries needs of one shard: its lists, as they are stored, the long ones also by document with their
+    maxima, and each document's own terms."""
 
     def __init__(self, row: dict[str, object], vocabulary: pa.Array, mean_length: float):
         self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i4")
-        df, docs = np.frombuffer(row["df"], "<i4").astype(np.int64), np.frombuffer(row["docs"], "<u2")
-        tf = np.frombuffer(row["tf"], "u1" if len(row["tf"]) == len(docs) else "<u4")
+        df, self.docs = np.frombuffer(row["df"], "<i4").astype(np.int64), np.frombuffer(row["docs"], "<u2")
+        self.tf = np.frombuffer(row["tf"], "u1" if len(row["tf"]) == len(self.docs) else "<u4")
+        self.n, self.cuts = len(self.ids), -(-len(self.ids) // CUT)
+        self.damp = K1 * (1 - B + B * lengths / mean_length)
         asked = pc.fill_null(pc.index_in(row["terms"], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
         own = np.flatnonzero(asked >= 0)
         own = own[np.argsort(asked[own])]
-        self.term, self.df = asked[own].astype(np.int64), df[own]
-        at = spans((np.cumsum(df) - df)[own], self.df)
-        self.docs, tf = docs[at].astype(np.int64), tf[at].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / mean_length))
-        self.start = np.cumsum(self.df) - self.df
-        self.top = np.maximum.reduceat(self.impact, self.start) if len(own) else np.zeros(0)
-        self.n, self.cuts = len(self.ids), -(-len(self.ids) // CUT)
-        self.long = np.full(len(own), -1)
-        many = np.flatnonzero(self.df >= LONG)
-        self.long[many] = np.arange(len(many))
-        self.cut_top = np.zeros((len(many), self.cuts))
+        term, self.df, self.start = asked[own], df[own], (np.cumsum(df) - df)[own]
+        self.place = np.full(len(vocabulary), -1, np.int32)
+        self.place[term] = np.arange(len(own))
+        self.weight = np.zeros(len(vocabulary))  # of a query's terms, while it is scored
+        self.row = np.full(len(own), -1)  # of a long list, its row below
+        many = np.flatnonzero(self.df * LONG >= self.n)
+        self.row[many] = np.arange(len(many))
+        self.dense = np.zeros((len(many), self.cuts * CUT), np.float32)
         at = spans(self.start[many], self.df[many])
-        np.maximum.at(self.cut_top, (np.repeat(np.arange(len(many)), self.df[many]), self.docs[at] // CUT), self.impact[at])
-        by_doc = np.argsort(self.docs, kind="stable")  # terms stay in order: equal documents add up alike in every shard
-        self.doc_term = np.repeat(self.term, self.df)[by_doc]
-        self.doc_impact = self.impact[by_doc]
-        self.doc_n = np.bincount(self.docs, minlength=self.n)
+        self.dense[np.repeat(np.arange(len(many)), self.df[many]), self.docs[at]] = self.impact(at)
+        self.cut_top = self.dense.reshape(len(many), self.cuts, CUT).max(axis=2)
+        at = spans(self.start, self.df)
+        by_doc = np.argsort(self.docs[at], kind="stable")  # terms stay in order: equal documents add up alike in every shard
+        self.doc_term = np.repeat(term.astype(np.int32), self.df)[by_doc]
+        self.doc_tf = self.tf[at][by_doc]
+        self.doc_n = np.bincount(self.docs[at], minlength=self.n)
         self.doc_start = np.cumsum(self.doc_n) - self.doc_n
-        self.place = np.full(len(vocabulary), -1)
-        self.place[self.term] = np.arange(len(own))
 
-    def exact(self, docs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        at = spans(self.doc_start[docs], self.doc_n[docs])
-        return np.bincount(np.repeat(np.arange(len(docs)), self.doc_n[docs]), weight[self.doc_term[at]] * self.doc_impact[at], len(docs))
+    def impact(self, at: np.ndarray) -> np.ndarray:
+        tf = self.tf[at].astype(np.float64)
+        return tf * (K1 + 1) / (tf + self.damp[self.docs[at]])
 
-    def _read(self, lists: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """What the lists give each document."""
-        n = self.df[lists]
-        at = spans(self.start[lists], n)
-        return np.bincount(self.docs[at], self.impact[at] * np.repeat(w, n), self.n)
+    def exact(self, docs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        at, n = spans(self.doc_start[docs], self.doc_n[docs]), self.doc_n[docs]
+        tf = self.doc_tf[at].astype(np.float64)
+        return np.bincount(np.repeat(np.arange(len(docs)), n), weight[self.doc_term[at]] * (tf * (K1 + 1) / (tf + np.repeat(self.damp[docs], n))), len(docs))
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, weight: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (scores, ids) of ``best`` and this shard. ``weight``: ``weights`` laid out over the vocabulary."""
+    def search(self, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Bring ``best``, the k best (scores, ids) of each query, up to date with this shard. Query j: terms and weights
+        from ptr[j] to ptr[j + 1]."""
         place = self.place[terms]
-        here = place >= 0
-        place, w = place[here], weights[here]
-        if not len(place):
-            return best
-        bar = best[0][-1] * (1 - SLACK) if len(best[0]) == k else -1.0
-        bound = w * self.top[place]
-        order = np.argsort(bound, kind="stable")
-        place, w, bound = place[order], w[order], bound[order]
-        idle = int(np.searchsorted(np.cumsum(bound), bar))  # together, the first `idle` stay below the bar
-        if idle == len(place):
-            return best
-        gained = self._read(place[idle:], w[idle:])
-        docs = np.flatnonzero(gained)
-        reach = gained[docs]
-        if idle:
-            long = self.long[place[:idle]]
-            rest = np.full(self.cuts, bound[:idle][long < 0].sum()) + w[:idle][long >= 0] @ self.cut_top[long[long >= 0]]
-            reach = reach + rest[docs // CUT]
-            docs, reach = docs[reach >= bar], reach[reach >= bar]
-            if len(docs) * len(place) > self.df[place[:idle]].sum():  # so many that reading the other lists is cheaper
-                reach, idle = gained[docs] + self._read(place[:idle], w[:idle])[docs], 0
-        if not idle and len(docs) > k:  # all lists are read: the bounds are the scores
-            bar = max(bar, np.partition(reach, len(docs) - k)[len(docs) - k] * (1 - SLACK))
-        docs, reach = docs[reach >= bar], reach[reach >= bar]
-        by_reach = np.argsort(-reach, kind="stable")
-        docs, reach = docs[by_reach], reach[by_reach]
-        lo = 0
-        while lo < len(docs):
-            if len(best[0]) == k and reach[lo] < best[0][-1] * (1 - SLACK):
-                break
-            some = docs[lo : lo + step]
-            score = np.concatenate([best[0], self.exact(some, weight)])
-            ids = np.concatenate([best[1], self.ids[some]])
+        known = place >= 0
+        query = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[known]
+        place, w, terms = place[known], weights[known], terms[known]
+        row = self.row[place]
+        long = row >= 0
+        lookup = np.zeros((len(ptr) - 1, len(self.dense)), np.float32)
+        lookup[query[long], row[long]] = w[long]
+        bound = lookup @ self.cut_top
+        added: np.ndarray | None = None
+        at_short, at_all = (np.searchsorted(q, np.arange(len(ptr))) for q in (query[~long], query))
+        short, w_short = place[~long], w[~long]
+        for j in range(len(ptr) - 1):
+            full = len(best[j][0]) == k
+            bar = best[j][0][-1] * (1 - SLACK) if full else 0.0
+            lists, w_lists = short[at_short[j] : at_short[j + 1]], w_short[at_short[j] : at_short[j + 1]]
+            n = self.df[lists]
+            at = spans(self.start[lists], n)
+            gained = np.bincount(self.docs[at], self.impact(at) * np.repeat(w_lists, n), self.n)
+            reach = gained + np.repeat(bound[j], CUT)[: self.n]
+            docs = np.flatnonzero((reach >= bar) & (reach > 0))
+            if not len(docs):
+                continue
+            if len(docs) * TOGETHER > self.n:  # many are left: one product looks them up for all queries at once
+                added = lookup @ self.dense if added is None else added
+                score = gained[docs] + added[j, docs]
+            else:
+                used = np.flatnonzero(lookup[j])
+                score = gained[docs] + lookup[j, used] @ self.dense[used[:, None], docs]
+            if len(docs) > k:
+                bar = max(bar, np.partition(score, len(docs) - k)[len(docs) - k] * (1 - SLACK))
+            docs = docs[(score >= bar) & (score > 0)]
+            if not len(docs):
+                continue
+            own = slice(at_all[j], at_all[j + 1])
+            self.weight[terms[own]] = w[own]
+            score = np.concatenate([best[j][0], self.exact(docs, self.weight)])
+            self.weight[terms[own]] = 0
+            ids = np.concatenate([best[j][1], self.ids[docs]])
             first = np.lexsort((ids, -score))[:k]
-            best = score[first], ids[first]
-            lo += step
-        return best
+            best[j] = score[first], ids[first]
+
+
+@contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """A shard is tens of megabytes, so workers get them one by one."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k: int, tasks: int) -> DataFrame:
@@ -218,7 +254,7 @@ def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k:
     shared = sc.broadcast(block)  # at most BLOCK_QUERIES queries of BLOCK_BYTES
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = pa.array(shared.value.vocabulary, pa.binary())
+        vocabulary = shared.value.vocabulary
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for terms, df in zip(batch.column(0), batch.column(1), strict=True):
@@ -229,32 +265,35 @@ def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "df"])
 
     df = np.zeros(len(block.vocabulary))
-    for part in index.select("terms", "df").coalesce(tasks).mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_batches():  # one row a term of the block
+    with one_row_batches(index.sparkSession):  # the result has a row for each term of the block
+        counted = index.select("terms", "df").coalesce(tasks).mapInArrow(frequencies, "term int, df long")
+        counted = cut(counted).groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    for part in counted.to_batches():
         df[part.column(0).to_numpy()] = part.column(1).to_numpy()
     idf = sc.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
-        vocabulary = pa.array(q.vocabulary, pa.binary())
+        vocabulary = q.vocabulary
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q.ids)
         weights = idf.value[q.terms] * q.times
-        weight = np.zeros(len(vocabulary))
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: (batch.column(c)[i].values if c == "terms" else batch.column(c)[i].as_py()) for c in batch.schema.names}
-                shard = Shard(row, vocabulary, mean_length)
-                for j in range(len(q.ids)):
-                    own = slice(q.ptr[j], q.ptr[j + 1])
-                    weight[q.terms[own]] = weights[own]
-                    best[j] = shard.search(q.terms[own], weights[own], weight, k, best[j])
-                    weight[q.terms[own]] = 0
+                shard = None  # one shard at a time
+                shard = Shard({c: (batch.column(c)[i].values if c == "terms" else batch.column(c)[i].as_py()) for c in batch.schema.names}, vocabulary, mean_length)
+                for lo in range(0, len(q.ids), TOGETHER):
+                    hi = min(lo + TOGETHER, len(q.ids))
+                    own, some = slice(q.ptr[lo], q.ptr[hi]), best[lo:hi]
+                    shard.search(q.terms[own], weights[own], q.ptr[lo : hi + 1] - q.ptr[lo], k, some)
+                    best[lo:hi] = some
         size = [len(s) for s, _ in best]
         which = np.repeat(np.arange(len(best)), size)
         score, ids = (np.concatenate(x) if best else np.zeros(0) for x in (list(zip(*best)) or [[], []]))
         yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(q.ids[which]), pa.array(ids.astype(np.int64)), pa.array(score.astype(np.float64))], names=["query_no", "query_id", "doc_id", "score"])
 
     names = [f.split()[0] for f in INDEX.split(", ")][:6]
-    found = cut(index.select(*names).coalesce(tasks).mapInArrow(search, "query_no int, query_id long, doc_id long, score double"))
+    with one_row_batches(index.sparkSession):
+        found = cut(index.select(*names).coalesce(tasks).mapInArrow(search, "query_no int, query_id long, doc_id long, score double"))
     shared.unpersist()
     idf.unpersist()
     return found
