@@ -265,10 +265,9 @@ def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "df"])
 
     df = np.zeros(len(block.vocabulary))
-    with one_row_batches(index.sparkSession):  # the result has a row for each term of the block
-        counted = index.select("terms", "df").coalesce(tasks).mapInArrow(frequencies, "term int, df long")
-        counted = cut(counted).groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    for part in counted.to_batches():
+    with one_row_batches(index.sparkSession):
+        counted = cut(index.select("terms", "df").coalesce(tasks).mapInArrow(frequencies, "term int, df long"))
+    for part in counted.groupBy("term").agg(F.sum("df").alias("df")).toArrow().to_batches():  # a row for each term of the block
         df[part.column(0).to_numpy()] = part.column(1).to_numpy()
     idf = sc.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
 
