@@ -67,7 +67,10 @@ def test_study_end_to_end(spark, tmp_path):
     assert all(a[1] >= b[1] for a, b in zip(curve, curve[1:]))
     assert dict(curve)[5.0] == pytest.approx(next(r.total_return_pct for r in t["backtest_summary"] if r.entry_timing == "next_close"))
     assert {r.portfolio for r in t["calendar_time_alpha"]} == {"spread_ret", "long_ret", "short_ret"} and len(t["power_analysis"]) == 1 and len(t["surprise_definitions"]) == 2
-    figures = study.figure_tables(done.events, fx.grid, cfg)
-    assert figures["bucket_d5"].count() == 3 and BENCHMARK == cfg.benchmark
+    figures = study.figure_tables(done, fx.grid, cfg)
+    assert {k[0] for k in figures} == set("123456789") and BENCHMARK == cfg.benchmark
+    assert figures["2_bucket_d5"].count() == 3 and figures["8_legs"].count() == 3
+    n = done.tables["daily"].count()
+    assert figures["6_equity"].count() == -(-n // 5)
     paths = sinks.write_results({k: done.tables[k] for k in ("sample_audit", "daily")}, str(tmp_path), "test", "made here", "2001-12-31")
     assert all(Path(p + ".meta.json").exists() for p in paths) and spark.read.option("header", True).csv(paths[0]).count() == len(audit)

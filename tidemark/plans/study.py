@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import StudyConfig
@@ -108,11 +108,20 @@ def run_study(inputs: Inputs, cfg: StudyConfig = StudyConfig()) -> Results:
     return Results(events, out)
 
 
-def figure_tables(events: DataFrame, grid: DataFrame, cfg: StudyConfig = StudyConfig()) -> dict[str, DataFrame]:
-    """What the figures show, as tables; drawing them is left to a front end."""
+def figure_tables(results: Results, grid: DataFrame, cfg: StudyConfig = StudyConfig()) -> dict[str, DataFrame]:
+    """What the nine figures show, as tables; drawing them is left to a front end."""
+    events, tables = results.events, results.tables
     trimmed = events.join(F.broadcast(events.agg(F.percentile("sue", F.array(F.lit(0.01), F.lit(0.99))).alias("_e")))).where((F.col("sue") >= F.col("_e")[0]) & (F.col("sue") <= F.col("_e")[1])).drop("_e")
     paths = panel.abnormal_paths(events, grid, cfg.hold_days, cfg.benchmark).join(events.select("ticker", "accession", "category", "season"), ["ticker", "accession"])
-    out = {"fit": inference.linear_fit(trimmed, "sue", "abret_d0"), "fit_band": inference.linear_fit_band(trimmed, "sue", "abret_d0", ["ticker", "accession"]), "bins": inference.bin_medians(trimmed, "sue", "abret_d0"), "density": inference.kde_grid(events, "abret_d20"), "quintiles": inference.quintile_matrix(events, cfg.windows)}
-    out |= {f"bucket_d{w}": inference.group_means(events, f"abret_d{w}", F.col("category")) for w in (0, 5, 20)}
-    out["drift_paths"] = inference.group_means(paths, "car", F.concat_ws("|", "category", F.format_string("%02d", "day")))
+    out = {"1_fit": inference.linear_fit(trimmed, "sue", "abret_d0"), "1_fit_band": inference.linear_fit_band(trimmed, "sue", "abret_d0", ["ticker", "accession"]), "1_bins": inference.bin_medians(trimmed, "sue", "abret_d0")}
+    out |= {f"2_bucket_d{w}": inference.group_means(events, f"abret_d{w}", F.col("category")) for w in (0, 5, 20)}
+    out["3_drift_paths"] = inference.group_means(paths, "car", F.concat_ws("|", "category", F.format_string("%02d", "day")))
+    out |= {"4_density": inference.kde_grid(events, "abret_d20"), "5_quintiles": inference.quintile_matrix(events, cfg.windows)}
+    fall = portfolio.drawdown(tables["daily"])
+    every_fifth = F.pmod(F.row_number().over(Window.orderBy("session_pos")) - 1, F.lit(5)) == 0
+    out["6_equity"] = fall.withColumn("_keep", every_fifth).where("_keep").drop("_keep")
+    out["7_decay"] = tables["decay_rolling_spread"]
+    spread = tables["reaction_decomposition"].where("category = 'Beat - Miss'").select(F.expr("stack(3, 'gap', gap, 'open_to_close', open_to_close, 'drift', drift) AS (leg, pp)"), "total")
+    out["8_legs"] = spread.withColumn("share_pct", F.try_divide(F.col("pp"), F.col("total")) * 100).orderBy(F.abs("pp").desc())
+    out["9_break_even"] = tables["cost_curve"].where("round_trip_bps <= 60")
     return out
