@@ -96,6 +96,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(ids) >= min(shard_docs, 1 << 16) or words >= shard_words:
                     yield shard()
                     ids, lengths, coded, held, words = [], [], [], [], 0
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield shard()
 
@@ -279,6 +280,7 @@ def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = None  # one shard at a time
+                pa.default_memory_pool().release_unused()
                 shard = Shard({c: (batch.column(c)[i].values if c == "terms" else batch.column(c)[i].as_py()) for c in batch.schema.names}, vocabulary, mean_length)
                 for lo in range(0, len(q.ids), TOGETHER):
                     hi = min(lo + TOGETHER, len(q.ids))
