@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
-A line is boilerplate on a site (host) if over ``ratio`` of the site's pages hold it. Lines are counted by
+A line is boilerplate on a site (host) if over ``ratio`` of the site's pages hold it. Lines are counted and known by
 (site, 128-bit line hash), with partial counts before the shuffle, so neither a large site nor a frequent line meets
-in one task. A site has few boilerplate lines: each takes over ``ratio`` of the pages, so there are fewer than the
+in one task, and no line's text is moved. A site has few boilerplate lines: each takes over ``ratio`` of the pages, so there are fewer than the
 mean number of lines a page divided by ``ratio``. They fit an array a site, and each page drops its lines in place:
 texts are neither exploded for that nor shuffled while the arrays are few enough to broadcast.
 """
@@ -27,14 +27,20 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def line_hash(line: Column) -> Column:
+    """128 bits of a line without outer spaces."""
+    return F.struct(F.xxhash64(F.trim(line)).alias("h1"), F.xxhash64(F.lit("2"), F.trim(line)).alias("h2"))
+
+
 def boilerplate(docs: DataFrame, site_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """site, lines: the site's boilerplate lines (trimmed), for sites that have any."""
+    """site, lines: hashes of the site's boilerplate lines, for sites that have any."""
     pages = docs.select(F.col(site_col).alias("site"), F.col(text_col).alias("text"))
     total = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    held = pages.select("site", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line")).filter(F.col("line") != "")
-    counted = held.groupBy("site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2")).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))  # strings: distinct by hashing, in linear time
+    held = pages.select("site", F.explode(F.transform(F.filter(lines, lambda x: x != ""), line_hash)).alias("line"))
+    counted = held.groupBy("site", "line.h1", "line.h2").agg(F.count(F.lit(1)).alias("n"))
     frequent = counted.filter(F.col("n") >= min_pages).join(small(cut(total), BROADCAST_SITES).withColumnRenamed("site", "of"), F.col("site").eqNullSafe(F.col("of")))
-    return frequent.filter(F.col("n") / F.col("pages") > ratio).groupBy("site").agg(F.collect_set("line").alias("lines"))
+    return frequent.filter(F.col("n") / F.col("pages") > ratio).groupBy("site").agg(F.collect_set(F.struct("h1", "h2")).alias("lines"))
 
 
 def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -50,7 +56,7 @@ def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str =
     found = cut(boilerplate(own, site, text, ratio, min_pages))
     size = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     side = small(found, BROADCAST_SITES) if size <= BROADCAST_LINES else found
-    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lines", F.trim(x))), "\n")
+    cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lines", line_hash(x))), "\n")
     joined = own.join(side, F.col(site).eqNullSafe(F.col("site")), "left")
     cleaned = F.when(F.col("lines").isNull() | F.col(text).isNull(), F.col(text)).otherwise(cleaned)
     return joined.select(*((cleaned if f"c{i}" == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)))
