@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,6 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp").select("doc_id", "digest", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root_fp")
 
 
+def _row_key(doc_id: Column, digest: Column) -> Column:
+    """Of an id and a text's digest, never null; equal for equal rows only."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), digest)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (nulls last), then the smallest digest; of rows
     with equal id and text, the first by the other columns. Columns, whatever their names, stay as they are."""
@@ -202,9 +207,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     key, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
     groups = near_duplicates(own, key, text, width)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
-    kept = groups.groupBy("root_fp").agg(first.alias("k")).select("root_fp", F.col("k.doc_id").alias("kept_id"), F.col("k.digest").alias("kept_digest"))
-    own = own.withColumn("digest", text_digest(F.col(text)))
-    chosen = own.join(kept, F.col(key).eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    kept = groups.groupBy("root_fp").agg(first.alias("k")).select(_row_key(F.col("k.doc_id"), F.col("k.digest")).alias("kept_key"))
+    own = own.withColumn("row_key", _row_key(F.col(key), text_digest(F.col(text))))
+    chosen = own.join(kept, F.col("row_key") == F.col("kept_key"))
     others = [f"c{i}" for i in range(len(columns)) if f"c{i}" != text]
-    one = F.row_number().over(Window.partitionBy("root_fp").orderBy(*others))
+    one = F.row_number().over(Window.partitionBy("row_key").orderBy(*others))  # partitioned as the join has left it
     return chosen.withColumn("one", one).filter("one = 1").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
