@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small, text_digest, word_count
+from tidemark.llm.common import cut, input_splits, small, text_digest, word_count
 
 MAX_EPOCHS = 3
+#: Bins of a source's keys, or as many as the input has partitions if those are more.
 BINS = 4096
 #: Source tables up to this many rows are broadcast; larger ones join by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -63,6 +64,7 @@ def mix_sources(
     text, size = F.col(text_col), word_count(F.col(text_col))
     weight = typical_word_weight(text, size) if weight is None else weight
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("w"), uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("u"), text_digest(text).alias("digest"))
+    bins = max(bins, input_splits(docs))
     rows = rows.withColumn("key", -F.log("u") / F.col("w")).drop("u", "w")
     rows = cut(rows.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * bins).cast("int")))
 

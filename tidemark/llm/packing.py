@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, input_splits
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Ranks of a document hash are counted apart, so no length is ranked in one task.
+#: Pieces of one length are ranked in so many buckets of a hash, or in as many as the input has partitions if those are
+#: more, so no length is ranked in one task at any size.
 BUCKETS = 256
 
 
@@ -176,7 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """
     spark = docs.sparkSession
     pieces = tokenized(docs, tokenizer_path, capacity, id_col, text_col)
-    pieces = cut(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")))
+    pieces = cut(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(BUCKETS, input_splits(docs)))).cast("int")))
     counts = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts.select("length", "bucket", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row a length
