@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,7 @@ HELD_WORDS = 400_000
 #: Bigram entries that a block is meant to hold, and documents that are packed together.
 BLOCK_ENTRIES, PACK = 4_000_000, 4096
 BROADCAST_IDS = 1_000_000
+FAN_IN = 32
 
 
 def words(text: str | None) -> list[bytes]:
@@ -61,8 +63,22 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size - 1`` most frequent words of all documents, ties by bytes."""
-    return [bytes(r["word"]) for r in word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(size - 1).collect()]
+    """The ``size - 1`` most frequent words of all documents, ties by bytes.
+
+    Taking the first so many of a sorted table sends that many rows of each partition to one place, so the table is cut
+    first: a histogram over the counts' logarithms says from which count on there are enough words. Words that occur
+    once, most of all words, matter only if the others do not fill the vocabulary."""
+    counts = word_counts(docs, text_col)
+    repeated = stored(counts.where("n > 1"), "lm-words")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    histogram = {r["step"]: r["words"] for r in repeated.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}  # at most 8 * 63 rows
+    least, enough = None, 0
+    for least in sorted(histogram, reverse=True):
+        enough += histogram[least]
+        if enough >= size - 1:
+            break
+    chosen = repeated.where(step >= least) if enough >= size - 1 else counts
+    return [bytes(r["word"]) for r in chosen.orderBy(F.desc("n"), "word").limit(size - 1).collect()]
 
 
 def as_ids(docs: DataFrame, vocab: list[bytes], id_col: str, text_col: str, target_col: str) -> DataFrame:
@@ -115,7 +131,8 @@ class Counts:
 
 
 def fixed_counts(rows: DataFrame, vocab: int, head: int, piece: int = 8192) -> Counts:
-    """Counts over all rows: tasks send their arrays in pieces, each piece is summed, the driver gets one sum of each."""
+    """Counts over all rows: tasks send their arrays in pieces, a piece is summed in two rounds (first among the tasks of
+    a number modulo FAN_IN, so no task reads from all), the driver gets one sum of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(vocab, head)
@@ -123,12 +140,15 @@ def fixed_counts(rows: DataFrame, vocab: int, head: int, piece: int = 8192) -> C
             ids, doc = flat(batch.column(1))
             counts.add(ids, doc, batch.column(0).to_numpy(zero_copy_only=False).astype(bool))
         parts = [counts.all[lo : lo + piece].astype("<i8") for lo in range(0, len(counts.all), piece)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN_IN] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "piece", "n"])
 
     def total(table: pa.Table) -> pa.Table:
         return pa.table({"piece": table["piece"][:1], "n": pa.array([sum(np.frombuffer(x.as_py(), "<i8") for x in table["n"]).tobytes()], pa.binary())})
 
-    sums = rows.select("target", "ids").mapInArrow(run, "piece int, n binary").groupBy("piece").applyInArrow(total, "piece int, n binary").orderBy("piece").collect()
+    sums = rows.select("target", "ids").mapInArrow(run, "part int, piece int, n binary")
+    for keys in (("part", "piece"), ("piece",)):
+        sums = sums.groupBy(*keys).applyInArrow(total, "piece int, n binary")
+    sums = sorted(sums.collect(), key=lambda r: r["piece"])
     return Counts(vocab, head, np.concatenate([np.frombuffer(r["n"], "<i8") for r in sums]).copy()) if sums else Counts(vocab, head)
 
 
