@@ -70,6 +70,29 @@ def test_numpy_picks(spark, planted):
     assert got.std_error == pytest.approx(draws.std(ddof=1)) and got.ci_low == pytest.approx(np.percentile(draws, 2.5))
 
 
+def test_numpy_signs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, f"{2000 + int(rng.integers(6))}Q1", str(rng.choice(["Beat", "Miss", "In-Line"])), float(rng.normal())) for i in range(90)]
+    df = spark.createDataFrame(rows, "i int, season string, category string, m double")
+    long = inference.by_metric(df, ["m"])
+    seen = inference.first_seen(df, ["m"], ["i"])
+    (got,) = inference.wild_bootstrap(long, 60, 5, seen).collect()
+    arms = [r for r in rows if r[2] != "In-Line"]
+    order = list(dict.fromkeys(r[1] for r in arms))
+    codes, y = np.array([order.index(r[1]) for r in arms]), np.array([r[3] for r in arms])
+    x = np.column_stack([np.ones(len(arms)), [r[2] == "Beat" for r in arms]]).astype(float)
+    inv, g, n = np.linalg.inv(x.T @ x), len(order), len(arms)
+
+    def t(v):
+        beta = inv @ x.T @ v
+        s = np.array([x[codes == c].T @ (v - x @ beta)[codes == c] for c in range(g)])
+        return beta[1] / math.sqrt((inv @ (s.T @ s) @ inv)[1, 1] * g / (g - 1) * (n - 1) / (n - 2))
+
+    w = np.random.default_rng(5).choice(np.array([-1.0, 1.0]), size=(g, 60))
+    drawn = np.array([t(y.mean() + (y - y.mean()) * w[codes, d]) for d in range(60)])
+    assert got.statistic == pytest.approx(t(y)) and got.p_value == pytest.approx(max((abs(drawn) >= abs(t(y))).mean(), 1 / 61))
+
+
 def test_seasons_without_a_leg_are_clusters(spark):
     df = spark.createDataFrame([("2000Q1", "In-Line", 1.0), ("2000Q2", "Beat", 2.0), ("2000Q2", "Miss", None)], "season string, category string, m double")
     rows = {r.season: r for r in inference.season_stats(inference.by_metric(df, ["m"])).collect()}

@@ -142,12 +142,43 @@ def md5_signs(stats_: DataFrame, draws: int, seed: int) -> DataFrame:
     return spark.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(rows)).withColumn("w", 1.0 - 2.0 * F.pmod(md5_int(F.lit(seed), F.col("draw"), F.col("g")), F.lit(2)))
 
 
-def wild_bootstrap(long: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
+def first_seen(events: DataFrame, metrics: Sequence[str], order: Sequence[str], cluster: str = "season") -> DataFrame:
+    """metric, season, place (from 0, in the order in which Beat and Miss rows first show a season), n_obs."""
+    arms = events.where(F.col("category").isin(BEAT, MISS)).withColumn("_i", F.row_number().over(Window.orderBy(*order)))
+    long = arms.select("_i", F.col(cluster).alias("season"), *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(["_i", "season"], list(metrics), "metric", "value").where("value IS NOT NULL")
+    seasons = long.groupBy("metric", "season").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("metric")
+    return seasons.select("metric", "season", (F.row_number().over(own.orderBy("_first")) - 1).alias("place"), F.sum("_n").over(own).alias("n_obs"))
+
+
+def numpy_signs(stats_: DataFrame, seen: DataFrame, draws: int, seed: int, cells: int = 2_000_000) -> DataFrame:
+    """Like :func:`md5_signs` with numpy's default generator: seasons in the order ``seen``, draws in chunks of so many that
+    rows times draws stay within ``cells``. The driver makes draws times seasons signs; it is for parity, not for scale."""
+    by: dict[str, list[str]] = {}
+    rows = []
+    sizes = {}
+    for r in seen.orderBy("metric", "place").collect():
+        by.setdefault(r["metric"], []).append(r["season"])
+        sizes[r["metric"]] = r["n_obs"]
+    for metric, seasons in by.items():
+        rng, left, parts = np.random.default_rng(seed), draws, []
+        while left:
+            size = min(max(1, min(draws, cells // max(sizes[metric], 1))), left)
+            parts.append(rng.choice(np.array([-1.0, 1.0]), size=(len(seasons), size)))
+            left -= size
+        rows += [(metric, s, w.tolist()) for s, w in zip(seasons, np.concatenate(parts, axis=1), strict=True)]
+    signs = stats_.sparkSession.createDataFrame(rows, "metric string, season string, signs array<double>")
+    return stats_.join(signs, ["metric", "season"]).select(*stats_.columns, F.posexplode("signs").alias("draw", "w"))
+
+
+def wild_bootstrap(long: DataFrame, draws: int = 10_000, seed: int = 0, seen: DataFrame | None = None) -> DataFrame:
     """metric, estimate, std_error, statistic, p_value, n_obs, n_clusters, ci_low, ci_high: t of the Beat dummy with errors
-    clustered by season against its distribution with the null imposed and signs flipped by season."""
+    clustered by season against its distribution with the null imposed and signs flipped by season. With ``seen``, from
+    :func:`first_seen`, the signs are numpy's."""
     rs = residual_stats(long)
+    signs = md5_signs(rs, draws, seed) if seen is None else numpy_signs(rs, seen, draws, seed)
     seen = _cluster_t(rs.withColumn("w", F.lit(1.0)), ["metric"])
-    drawn = _cluster_t(md5_signs(rs, draws, seed), ["metric", "draw"]).where(F.col("t").isNotNull()).select("metric", F.col("t").alias("t_drawn"))
+    drawn = _cluster_t(signs, ["metric", "draw"]).where(F.col("t").isNotNull()).select("metric", F.col("t").alias("t_drawn"))
     p = drawn.join(F.broadcast(seen.select("metric", "t")), "metric").groupBy("metric").agg(F.greatest(F.avg((F.abs("t_drawn") >= F.abs("t")).cast("double")), 1.0 / (F.count(F.lit(1)) + 1)).alias("p_value"))
     out = seen.join(F.broadcast(p), "metric", "left")
     return out.select("metric", F.col("slope").alias("estimate"), F.col("se").alias("std_error"), F.col("t").alias("statistic"), "p_value", "n_obs", "n_clusters", (F.col("slope") - 1.96 * F.col("se")).alias("ci_low"), (F.col("slope") + 1.96 * F.col("se")).alias("ci_high"))
