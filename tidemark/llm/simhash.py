@@ -9,7 +9,7 @@ of each node, and drops a whole run once the sum passes the limit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,13 +199,13 @@ def _row_key(doc_id: Column, digest: Column) -> Column:
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"), digest)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id (nulls last), then the smallest digest; of rows
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one row of each group that ``find`` gives: that of the smallest id (nulls last), then the smallest digest; of rows
     with equal id and text, the first by the other columns. Columns, whatever their names, stay as they are."""
     columns = docs.columns
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
     key, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
-    groups = near_duplicates(own, key, text, width)
+    groups = find(own, key, text, width)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest"))
     kept = groups.groupBy("root_fp").agg(first.alias("k")).select(_row_key(F.col("k.doc_id"), F.col("k.digest")).alias("kept_key"))
     own = own.withColumn("row_key", _row_key(F.col(key), text_digest(F.col(text))))
