@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, small
+from tidemark.llm.common import cut, small, text_digest
 
 RATIO = 0.1
 #: A line on fewer pages of a site than this is never boilerplate: a ratio over very few pages says nothing.
@@ -32,28 +32,35 @@ def line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("h1"), F.xxhash64(F.lit("2"), F.trim(line)).alias("h2"))
 
 
-def boilerplate(docs: DataFrame, site_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """site, lines: hashes of the site's boilerplate lines, for sites that have any."""
+def boilerplate(docs: DataFrame, site_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """site, lines: hashes of the site's boilerplate lines, for sites that have any. Without ``copies``, a site's rows
+    of one text are one page."""
     pages = docs.select(F.col(site_col).alias("site"), F.col(text_col).alias("text"))
-    total = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))  # strings: distinct by hashing, in linear time
-    held = pages.select("site", F.explode(F.transform(F.filter(lines, lambda x: x != ""), line_hash)).alias("line"))
+    hashed = F.transform(F.filter(lines, lambda x: x != ""), line_hash)
+    if copies:
+        total, lists = pages, pages.select("site", hashed.alias("held"))
+    else:  # partial aggregates: a text with very many copies costs a task one list
+        total = lists = cut(pages.select("site", text_digest(F.col("text")).alias("digest"), hashed.alias("held")).groupBy("site", "digest").agg(F.first("held", ignorenulls=True).alias("held")))
+    total = total.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    held = lists.select("site", F.explode("held").alias("line"))
     counted = held.groupBy("site", "line.h1", "line.h2").agg(F.count(F.lit(1)).alias("n"))
     frequent = counted.filter(F.col("n") >= min_pages).join(small(cut(total), BROADCAST_SITES).withColumnRenamed("site", "of"), F.col("site").eqNullSafe(F.col("of")))
     return frequent.filter(F.col("n") / F.col("pages") > ratio).groupBy("site").agg(F.collect_set(F.struct("h1", "h2")).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines dropped from the text; columns, whatever their names, and rows stay.
 
     Lines end at ``\\n`` and compare without outer spaces; blank lines are kept and never count. A line counts once a
-    page. Null sites are a site of their own; null texts stay null but count as pages; repeated rows are pages each; a
-    text of which all lines go is empty; empty table: no rows.
+    page. Null sites are a site of their own; null texts stay null but count as pages; repeated rows are pages each,
+    or one page of their site without ``copies`` (null and empty texts are one); a text of which all lines go is empty;
+    empty table: no rows.
     """
     columns = docs.columns
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
     site, text = f"c{columns.index(site_col)}", f"c{columns.index(text_col)}"
-    found = cut(boilerplate(own, site, text, ratio, min_pages))
+    found = cut(boilerplate(own, site, text, ratio, min_pages, copies))
     size = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     side = small(found, BROADCAST_SITES) if size <= BROADCAST_LINES else found
     cleaned = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("lines", line_hash(x))), "\n")
