@@ -12,6 +12,7 @@ Archive files have no ``.gz`` in their names: by that name Hadoop would inflate
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -142,8 +143,9 @@ def assembled(pieces: Iterable[bytes], orphans: list[bytes], doubtful: bool = Fa
         yield current
 
 
-def parsed(content: bytes) -> dict[str, object]:
-    """record_type, record_id, target_uri, payload_bytes, payload_digest, refers_to, payload of one record."""
+def parsed(content: bytes, verify: bool = False) -> dict[str, object]:
+    """record_type, record_id, target_uri, payload_bytes, payload_digest, refers_to, payload of one record.
+    ``verify``: a response whose payload has not the SHA-1 that its header gives is an error."""
     head, _, rest = content.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
@@ -158,6 +160,8 @@ def parsed(content: bytes) -> dict[str, object]:
             size = int(m[1])
     of = lambda name: field[name].strip("<>") if name in field else None
     digest = field.get("warc-payload-digest", "").removeprefix("sha1:")
+    if verify and field.get("warc-type") == "response" and (own := hashlib.sha1(payload).hexdigest()) != digest:
+        raise ValueError(f"payload of {of('warc-record-id')} has SHA-1 {own}, its header says {digest or 'none'}")
     return {"record_type": field.get("warc-type"), "record_id": of("warc-record-id"), "target_uri": field.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest or None, "refers_to": of("warc-refers-to"), "payload": payload}
 
 
@@ -166,16 +170,17 @@ _OUT = pa.schema([("path", pa.string()), ("at", pa.int64()), ("nth", pa.int32())
 _SQL = "path string, at long, nth int, left binary, record_type string, record_id string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
-def _records(contents: Iterable[bytes], path: str, at: int, payloads: bool) -> list[dict[str, object]]:
-    return [{"path": path, "at": at} | (r if payloads else r | {"payload": None}) for r in map(parsed, contents)]
+def _records(contents: Iterable[bytes], path: str, at: int, payloads: bool, verify: bool) -> list[dict[str, object]]:
+    return [{"path": path, "at": at} | (r if payloads else r | {"payload": None}) for r in (parsed(c, verify) for c in contents)]
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, verify: bool = False) -> DataFrame:
     """Every record of the archives under ``path``: record_type, record_id, target_uri, payload_bytes,
     payload_digest, refers_to, payload (null unless ``payloads``).
 
     A task owns the records that start in its byte range. Payload length and digest of a revisit are those of the
-    full payload, as its header says. Empty members are skipped; a damaged one raises. No archive: no rows.
+    full payload, as its header says. Empty members are skipped; a damaged one raises, and with ``verify`` (digests in
+    hex) a response whose payload and digest differ. No archive: no rows.
     """
     scan = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     pieces = scan.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
@@ -200,10 +205,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 elif content := b"".join(m.content):
                     found.append(content)
                 if len(found) >= 1000:
-                    yield pa.RecordBatch.from_pylist(_records(found, file, at, payloads), _OUT)
+                    yield pa.RecordBatch.from_pylist(_records(found, file, at, payloads, verify), _OUT)
                     found = []
             ends = [{"path": file, "at": at, "nth": n, "left": x} for n, x in enumerate([*orphans, *([left] if left else [])])]
-            yield pa.RecordBatch.from_pylist(_records(found, file, at, payloads) + ends, _OUT)
+            yield pa.RecordBatch.from_pylist(_records(found, file, at, payloads, verify) + ends, _OUT)
 
     def join_ends(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["at", "nth", "left"]).to_pylist(), key=lambda r: (r["at"], r["nth"]))
@@ -211,7 +216,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         members = list(assembled((r["left"] for r in rows), orphans, doubtful=True))
         if orphans or not all(m.whole for m in members):
             raise ValueError(f"damaged gzip member in {key[0]}")
-        return pa.Table.from_pylist(_records([c for m in members if (c := b"".join(m.content))], key[0].as_py(), 0, payloads), _OUT)
+        return pa.Table.from_pylist(_records([c for m in members if (c := b"".join(m.content))], key[0].as_py(), 0, payloads, verify), _OUT)
 
     read = cut(pieces.mapInArrow(run, _SQL))
     ends = read.filter(F.col("left").isNotNull()).groupBy("path").applyInArrow(join_ends, _SQL)
@@ -224,9 +229,10 @@ def page_id_of(urn: Column) -> Column:
 
 
 def archived(pages: DataFrame, path: str) -> DataFrame:
-    """Write ``pages`` under ``path``, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write ``pages`` under ``path``, read the archives back, each response's payload held against its digest: page_id,
+    payload_bytes, payload_digest, record_type, refers_to."""
     write_archives(pages, path)
-    back = read_archives(pages.sparkSession, path, payloads=False)
+    back = read_archives(pages.sparkSession, path, payloads=False, verify=True)
     return back.select(page_id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id_of(F.col("refers_to")).alias("refers_to"))
 
 
