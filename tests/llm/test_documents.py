@@ -275,9 +275,24 @@ def test_pack_against_tokenizers(odd):
         assert at <= packing.CAPACITY
 
 
-@pytest.mark.parametrize("text", ["", "a<|endoftext|>b", "  lots   of\n\n space \t", "it's we'll 123 éü 漢字 🙂", "  x", "a" * 5000])
-def test_both_encoders_agree(text):
+@pytest.fixture(scope="module")
+def encoder():
     import public_tokenizers
 
-    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    assert encoder.ids(text).tolist() == encoder.exact.encode(text, add_special_tokens=False).ids
+    return packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+RUNS = [
+    " " * 1_000_000, "\n" * 5_000_000, "a" * 1_000_000, "a b" + " " * 1_000_000 + "c", "x\n" + "\n" * 5000 + "it's" + " \t\r\n" * 2000, (" " * 4095 + "x") * 200,
+    "\x1c" * 9000 + "\x85" * 9000 + "\u3000" * 4096 + ".", " " * 4096, " " * 4097 + "1", "'" * 300_000, "\u200d" * 9000,
+]
+
+
+@pytest.mark.parametrize("text", ["", "a<|endoftext|>b", "  lots   of\n\n space \t", "it's we'll 123 éü 漢字 🙂", "  x", "a" * 5000, *RUNS], ids=str.__len__)
+def test_both_encoders_agree(encoder, text):
+    assert np.array_equal(encoder.ids(text), encoder.exact.encode(text, add_special_tokens=False).ids)
+
+
+def test_pack_of_a_document_of_spaces(spark):
+    rows = packing.pack(spark.createDataFrame([(1, " " * 1_000_000), (2, "a b"), (3, "\n" * 1_000_000 + "x")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == 1_000_001 and max(r.piece for r in rows if r.doc_id == 1) == 488

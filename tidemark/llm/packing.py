@@ -8,6 +8,7 @@ many times as the counts allow. Executors then find each piece's place from its
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,10 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the pattern's ``\s`` has it. The pattern looks ahead behind white space and keeps a step for each
+#: character of a run until it fails, so runs of LONG_RUN and more are cut out first.
+WHITE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 4096
 #: Pieces of one length are ranked in so many buckets of a hash, or in as many as the input has partitions if those are
 #: more, so no length is ranked in one task at any size.
 BUCKETS = 256
@@ -34,7 +39,8 @@ class Encoder:
     """Ids as ``tokenizers`` gives them for a byte-level BPE file, by the faster of two public encoders.
 
     The merge ranks come from the file itself. Texts that hold one of the file's added tokens, and every text if the
-    file is of another kind, go through ``tokenizers``."""
+    file is of another kind, go through ``tokenizers``. A long run of white space is encoded as the one piece that the
+    pattern makes of it: all of it at the end of a text, else all but its last character, which goes with what follows."""
 
     def __init__(self, path: str):
         import json
@@ -53,11 +59,19 @@ class Encoder:
             byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
             ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.added}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or any(t in text for t in self.added):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        parts, at, half = [], 0, LONG_RUN // 2
+        if any(text[i : i + half].isspace() for i in range(0, len(text) - half + 1, half)):  # any long run fills such a block
+            for run in WHITE.finditer(text):
+                if run.end() - run.start() >= LONG_RUN:
+                    end = run.end() - (run.end() < len(text))
+                    parts += self.fast.encode_ordinary(text[at : run.start()]), self.piece.encode_ordinary(text[run.start() : end])
+                    at = end
+        return np.concatenate([np.array(x, dtype="<u4") for x in (*parts, self.fast.encode_ordinary(text[at:]))])
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -171,7 +185,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """Every piece's sequence and place there.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A document is its ids and a separator;
-    null and empty texts are the separator alone; only documents above ``capacity`` are cut. Repeated rows are packed
+    null and empty texts are the separator alone; texts of any length and kind, one word or one run of white space
+    included, are encoded whole; only documents above ``capacity`` are cut. Repeated rows are packed
     each on its own; null ids are ids like others; empty table: no rows; other columns are ignored. Which of the
     pieces of one length goes where follows a hash of the row, so reruns agree.
     """
