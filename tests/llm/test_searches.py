@@ -64,7 +64,7 @@ def test_neighbours_recall_and_scores(spark):
     x = rng.standard_normal((900, 24)) * rng.uniform(0.5, 2, (900, 1))
     x[5] = x[6] = x[7] = x[40]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    odd = [(900, None), (901, [0.0] * 24), (902, [None] + [1.0] * 23), (903, [float("nan")] * 24), (904, [float("inf")] + [0.0] * 23), (905, [1.0]), (None, [1.0] * 24)]
+    odd = [(900, None), (901, [0.0] * 24), (902, [None] + [1.0] * 23), (903, [float("nan")] * 24), (904, [float("inf")] + [0.0] * 23), (905, [1.0]), (920, [2.0]), (921, [3.0]), (None, [1.0] * 24)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit(0)).withColumn("v", F.lit("x"))
     got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, vector_block=400).collect()
     found, total = 0, 0
@@ -78,7 +78,26 @@ def test_neighbours_recall_and_scores(spark):
         found += len({i for _, i, _ in mine} & set(np.lexsort((np.arange(900), -s))[:20].tolist()))
         total += 20
     assert found / total >= 0.9
-    assert {r.query_id for r in got} == set(range(0, 900, 20))
+    assert {r.query_id for r in got} == {*range(0, 900, 20), 920}
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == 920) == [(1, 921, 6.0), (2, 905, 2.0)]  # of its length
+
+
+def test_index_verifies_few_and_finds_most():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 48))
+    index = ann.CollisionIndex(np.arange(6000), x, float(np.linalg.norm(x, axis=1).max()), 10)
+    asked, hits = np.arange(0, 6000, 100), 0
+    for q, (found, _) in zip(asked, index.search(x[asked], asked), strict=True):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(found.tolist()) & set(np.argsort(-s)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(asked) and index.verified < 0.35 * len(x) * len(asked)
+
+
+def test_repeated_ids_and_copies_are_candidates_each(spark):
+    rows = [(i % 30, [1.0, float(i % 7)]) for i in range(300)] + [(20, [9.0, 9.0])] * 50
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=60, vector_block=64)
+    assert [r.vec_id for r in got.orderBy("rank").limit(50).collect()] == [20] * 50 and got.count() == 60
 
 
 def test_few_or_no_neighbours(spark):
