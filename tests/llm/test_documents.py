@@ -69,13 +69,74 @@ def test_slot_map_edits_move_little_and_balance():
 
 def test_slot_map_store(spark, tmp_path):
     store = sharding.SlotMapStore(spark, str(tmp_path / "map"))
+    assert store.latest() is None
     first = sharding.SlotMap.initial(8, 2)
     second = first.rebalanced({0: 100, 2: 50, 1: 1})
     store.save(first)
     store.save(second)
     assert store.load().owner == second.owner and store.load(0).owner == first.owner
+    for wrong in (lambda: store.load(9), lambda: store.save(second)):
+        with pytest.raises(ValueError):
+            wrong()
+    assert store.latest() == 1
+    spark.createDataFrame([(2, 0, 0), (2, 0, 1)], "shards int, slot int, shard int").write.parquet(f"{store.path}/version=2")
+    with pytest.raises(ValueError, match="one owner"):
+        store.load()
+
+
+def slow_shards(rows, slots, owner):
+    """(doc_id, size, crc, virtual slot, shard, slot) of each row, by the definition: XXH64 with seed 42 chained over the columns."""
+    seen, placed = Counter(), []
+    for i, text, *_ in rows:
+        raw = (text or "").encode()
+        record = (i, zlib.crc32(raw), len(raw) + 8)
+        h = 42
+        for x in (*record, seen[record]):
+            h = h if x is None else xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed=h)
+        seen[record] += 1
+        placed.append((h % slots if h < 1 << 63 else (h - (1 << 64)) % slots, record))
+    place, out = Counter(), []
+    for slot, (i, crc, size) in sorted(placed, key=lambda p: (p[0], p[1][0] is not None, [x or 0 for x in p[1]])):
+        out.append((i, size, crc, slot, owner[slot], place[owner[slot]]))
+        place[owner[slot]] += 1
+    return out
+
+
+def test_shards_against_brute_force(spark, odd, tmp_path):
+    rows = ODD + [(100 + i, "w " * (i % 50), "en", "a", 0) for i in range(400)] + [(9, "again and again", "en", "a", 0)] * 300
+    store = sharding.SlotMapStore(spark, str(tmp_path / "m"))
+    got = sharding.shard_records(spark.createDataFrame(rows, SCHEMA).repartition(5), 5, 64, store).collect()
+    kept = store.load()
+    want = slow_shards(rows, 64, kept.owner)
+    assert sorted(map(str, ((r.doc_id, r.size, r.text_crc32, r.virtual_slot, r.shard, r.slot) for r in got))) == sorted(map(str, want))
+    load = Counter()
+    for r in got:
+        load[r.virtual_slot] += r.size
+    assert kept.owner == store.load(0).rebalanced(dict(load)).owner and {r.map_version for r in got} == {kept.version}
+
+
+def test_a_repeated_row_spreads_and_the_map_is_carried_on(spark, tmp_path):
+    store = sharding.SlotMapStore(spark, str(tmp_path / "m"))
+    rows = [(i, "ordinary text " * 5) for i in range(2000)] + [(7777, "again " * 30)] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for shards, version in ((24, 1), (24, 1), (25, 2)):
+        got = sharding.shard_records(docs, shards, 1024, store).collect()
+        load, n = Counter(), Counter()
+        for r in got:
+            load[r.shard] += r.size
+            n[r.shard] += 1
+        assert store.latest() == version and len(load) == shards and max(load.values()) - min(load.values()) <= 0.02 * max(load.values())
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n[s])) for s in n)
+    first, second = store.load(1), store.load(2)
+    assert len(second.moved or [s for s in range(1024) if first.owner[s] != second.owner[s]]) < 1024 / 8
     with pytest.raises(ValueError):
-        store.load(9)
+        sharding.shard_records(docs, 24, 64, store)
+
+
+def test_equal_texts_use_all_shards(spark):
+    docs = spark.createDataFrame([(i, "one and the same") for i in range(2000)], "doc_id long, text string")
+    n = Counter(r.shard for r in sharding.shard_records(docs).collect())
+    assert len(n) == 24 and max(n.values()) - min(n.values()) <= 2
 
 
 # -- lines

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc, cut, new_path, utf8_bytes
+from tidemark.llm.common import crc, cut, new_path, small, utf8_bytes
 
 SLOTS = 4096
 RECORD_OVERHEAD = 8
+#: Tables of repeated records up to this many rows are broadcast; larger ones join by shuffle.
+BROADCAST_REPEATS = 200_000
 
 
 @dataclass(frozen=True)
@@ -61,30 +64,54 @@ class SlotMap:
 
 
 class SlotMapStore:
-    """Versions of a slot map as a Parquet table in a folder; each version is one append, older ones stay readable."""
+    """Versions of a slot map in a folder, one Parquet folder for each. A version is written once and never changed."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
     def save(self, slot_map: SlotMap) -> None:
-        rows = [(slot_map.version, slot_map.shards, slot, shard) for slot, shard in enumerate(slot_map.owner)]
-        self.spark.createDataFrame(rows, "version int, shards int, slot int, shard int").coalesce(1).write.mode("append").parquet(self.path)
+        rows = [(slot_map.shards, slot, shard) for slot, shard in enumerate(slot_map.owner)]
+        table = self.spark.createDataFrame(rows, "shards int, slot int, shard int").coalesce(1)
+        try:
+            table.write.mode("errorifexists").parquet(f"{self.path}/version={slot_map.version}")
+        except AnalysisException as e:
+            raise ValueError(f"version {slot_map.version} of the slot map is there already") from e
+
+    def latest(self) -> int | None:
+        """The number of the last version; None if the folder holds none."""
+        try:
+            return self.spark.read.parquet(self.path).agg(F.max("version")).first()[0]
+        except AnalysisException:  # no such folder, or no version in it
+            return None
 
     def load(self, version: int | None = None) -> SlotMap:
-        table = self.spark.read.parquet(self.path)
-        version = table.agg(F.max("version")).first()[0] if version is None else version
-        rows = table.filter(F.col("version") == version).orderBy("slot").collect()  # one row a slot
-        if not rows:
-            raise ValueError(f"slot map has no version {version}")
-        return SlotMap(rows[0]["shards"], tuple(r["shard"] for r in rows), version)
+        version = self.latest() if version is None else version
+        try:
+            rows = self.spark.read.parquet(f"{self.path}/version={version}").orderBy("slot").collect()  # one row a slot
+        except AnalysisException as e:
+            raise ValueError(f"the slot map has no version {version}") from e
+        shards = {r["shards"] for r in rows}
+        if [r["slot"] for r in rows] != list(range(len(rows))) or len(shards) != 1 or not all(0 <= r["shard"] < r["shards"] for r in rows):
+            raise ValueError(f"version {version} of the slot map does not give each slot one owner")
+        return SlotMap(shards.pop(), tuple(r["shard"] for r in rows), version)
 
 
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One light row for each record: id, size (UTF-8 bytes plus 8; null text has none), CRC and virtual slot.
 
-    The slot hashes id, CRC and size, so rows that share an id or have none still spread."""
+    The slot hashes id, CRC, size and, for rows that repeat in all three, which of them a row is. So rows that share an
+    id, a text or everything spread over all slots. Repeats are counted by input partition and numbered on from the
+    partitions before, so however often a row repeats, no task gets more of them than one partition holds."""
     light = docs.select(F.col(id_col).alias("doc_id"), (utf8_bytes(F.col(text_col)) + RECORD_OVERHEAD).alias("size"), crc(F.col(text_col)).alias("text_crc32"))
-    return light.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    light = cut(light.withColumn("key", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("part", F.spark_partition_id()))
+    repeated = cut(light.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    parts = light.join(small(repeated, BROADCAST_REPEATS), "key").groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
+    parts = small(cut(parts.select("key", "part", before.alias("before"))), BROADCAST_REPEATS)
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id", "text_crc32", "size")) - 1
+    alone = light.join(parts, ["key", "part"], "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    numbered = alone.unionByName(light.join(parts, ["key", "part"]).withColumn("nth", nth).drop("before"))
+    return numbered.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "nth"), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_loads(recs: DataFrame) -> DataFrame:
@@ -97,9 +124,11 @@ def shard_records(docs: DataFrame, shards: int = 24, slots: int = SLOTS, store:
     Returns doc_id, size, text_crc32, law (``bytes``), shard, slot (place in the shard, gapless from 0),
     grown_shard (null: only the law ``key`` has one), virtual_slot, map_version.
 
-    Null ids and texts are records like others; repeated rows get a place each; an empty table gives no rows; other
-    columns are ignored. A record is never split, so one that is larger than a shard's even part stays whole.
-    Places follow (virtual slot, id, CRC, size): rows equal in all of them are interchangeable.
+    The map starts from the last version in ``store``, or from slots dealt in turn (version 0) if it holds none; if the
+    loads move slots, the edited map is stored as the next version. Null ids and texts are records like others; equal
+    texts, and rows that repeat as a whole, are spread over all shards and get a place each; an empty table gives no
+    rows; other columns are ignored. A record is never split, so one that is larger than a shard's even part stays
+    whole. Places follow (virtual slot, id, CRC, size): rows equal in all of them are interchangeable.
     """
     if not 0 < shards <= slots:
         raise ValueError("shards must be from 1 to the number of slots")
@@ -107,10 +136,15 @@ def shard_records(docs: DataFrame, shards: int = 24, slots: int = SLOTS, store:
     recs = cut(records(docs, slots, id_col, text_col))
     loads = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in slot_loads(recs).collect()}  # at most one row a slot
     store = store or SlotMapStore(spark, new_path(spark, "slotmap"))
-    first = SlotMap.initial(slots, shards)
-    store.save(first)
-    store.save(first.rebalanced({s: b for s, (b, _) in loads.items()}))
+    if store.latest() is None:
+        store.save(SlotMap.initial(slots, shards))
     current = store.load()
+    if len(current.owner) != slots:
+        raise ValueError(f"the stored map has {len(current.owner)} slots, not {slots}")
+    edited = current.rebalanced({s: b for s, (b, _) in loads.items()}, shards)
+    if edited.moved or edited.shards != current.shards:
+        store.save(edited)
+        current = store.load(edited.version)
     filled, rows = [0] * shards, []
     for slot, shard in enumerate(current.owner):
         rows.append((slot, shard, filled[shard], current.version))
