@@ -164,18 +164,17 @@ def test_damage_is_an_error_and_nothing_is_nothing(spark, tmp_path):
 # -- language models
 
 
-def test_losses_against_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"pack_words": 300, "block_words": 500, "packs_a_task": 3}])
+def test_losses_against_brute_force(spark, sizes):
     rng = np.random.default_rng(4)
     words = ["the", "of", *(f"v{i}" for i in range(60))]
-    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 90)), p=[0.2, 0.1] + [0.7 / 60] * 60))) for i in range(150)] + [(200, None), (201, ""), (202, "The THE the"), (3, "v1 v2"), (None, "v1 v2 v3")]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 90)), p=[0.2, 0.1] + [0.7 / 60] * 60))) for i in range(150)]
+    rows += [(i, "in every text " * 3 + t) for i, t in rows] + [(200, None), (201, ""), (202, "The THE the"), (3, "v1 v2"), (None, "v1 v2 v3"), (203, "once\x0b \u00e9t\u00e9 " + "w" * 9000)]
     good = [(i,) for i in range(0, 80)] + [(3,), (None,)]
-    vocab_size, head = 32, 4
-    docs = spark.createDataFrame(rows, DOCS).withColumn("target", F.lit(1)).withColumn("row", F.lit(2))
-    got = lm.score_documents(docs, spark.createDataFrame(good, "doc_id long"), vocab_size=vocab_size, head=head, block_entries=200, pack=32).collect()
+    docs = spark.createDataFrame(rows, DOCS).withColumn("target", F.lit(1)).withColumn("pack", F.lit(2)).withColumn("of", F.lit(3))
+    got = lm.score_documents(docs, spark.createDataFrame(good, "doc_id long"), **sizes).collect()
     texts = [(i, (t or "").lower().split()) for i, t in rows]
-    count = Counter(w for _, t in texts for w in t)
-    vocab = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: vocab_size - 1]}
-    texts = [(i, [w if w in vocab else None for w in t]) for i, t in texts]
+    vocab = {w for _, t in texts for w in t}
     targets = {i for (i,) in good if i is not None}
 
     def model(keep):
@@ -190,7 +189,7 @@ def test_losses_against_brute_force(spark):
         def loss(t):
             s = 0.0
             for j, w in enumerate(t):
-                p = (uni[w] + 1) / (total + vocab_size)
+                p = (uni[w] + 1) / (total + len(vocab))
                 if j and ctx[t[j - 1]]:
                     p = 0.7 * bi[t[j - 1], w] / ctx[t[j - 1]] + 0.3 * p
                 s -= np.log(p)
@@ -208,6 +207,19 @@ def test_losses_against_brute_force(spark):
 
 def test_lm_without_targets_or_documents(spark):
     docs, none = spark.createDataFrame([(1, "a b a")], DOCS), spark.createDataFrame([], "doc_id long")
-    one = lm.score_documents(docs, none, vocab_size=8, head=2).first()
-    assert one.target_loss == pytest.approx(np.log(8))
-    assert lm.score_documents(spark.createDataFrame([], DOCS), none, vocab_size=8, head=2).count() == 0
+    one = lm.score_documents(docs, none).first()
+    assert one.target_loss == pytest.approx(np.log(2))
+    assert lm.score_documents(spark.createDataFrame([], DOCS), none).count() == 0
+    assert lm.score_documents(spark.createDataFrame([("x", None), (None, "")], "doc_id string, text string"), none).select("doc_id", "n_words", "score").collect() == [("x", 0, 0.0), (None, 0, 0.0)]
+
+
+def test_a_bigram_in_every_pack_is_sent_once_a_pack():
+    docs = [b"a b " * 50, b"a b c", b"", b"a b " * 7]
+    tokens = [w for d in docs for w in d.split()]
+    coded = lm.pa.array(tokens, lm.pa.binary()).dictionary_encode()
+    hashes = np.array([lm.xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
+    lengths = np.array([len(d.split()) for d in docs])
+    pack = lm.Pack(b"\1\0\0\1", lm.narrow(lengths), hashes.tobytes(), lm.narrow(coded.indices.to_numpy().astype(np.int64)), len(tokens))
+    assert len(pack.keys) == len(set(pack.keys.tolist())) == 3 + 3 + 3 and int(pack.n.max()) == 58
+    block, bounds = pack.blocks(1000)
+    assert len(block) == len(set(block.tolist())) <= 9 and bounds[-1] == 9

@@ -1,23 +1,23 @@
 """Cross-entropy difference of two n-gram models.
 
 The target model learns from target documents, the background model from all; both are bigram models interpolated
-with unigrams over one vocabulary, the most frequent words of all documents. A document's score is its cross-entropy
-a word under the target model less that under the background model; lower means more like the target.
-
-What depends on the vocabulary alone (unigrams, contexts, bigrams of the most frequent words) has a fixed size: tasks
-sum it in arrays, the driver gets one sum, and executors get it back by broadcast. All other bigrams grow with the
-corpus and are never gathered in one place: each document's bigrams go, packed, to the block that their hash names; a
-block counts its bigrams, scores them and sends each document its sums. A bigram outside the most frequent words is
-rare against the corpus, so no block outgrows the others.
+with unigrams over one vocabulary: all words of all documents. A document's score is its cross-entropy a word under the
+target model less that under the background model; lower means more like the target.
+
+Nothing that grows with the vocabulary is gathered in one place. Documents are counted in packs of about PACK_WORDS words.
+A pack sends each of its words, contexts and bigrams once, as a 64-bit hash with its counts in the pack, to the block
+that the hash names. A block adds up what all packs sent and tells each pack the sums of its own entries; then the pack
+scores its documents. However frequent a bigram is, a block gets it once a pack, and blocks are hash ranges of equal
+size, as many as the words ask for.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +25,15 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import cut, small, stored
 
-#: Words of the vocabulary, with the unknown word, which is 0.
-VOCABULARY = 1 << 15
-#: Bigrams of two of the first HEAD words are counted in arrays.
-HEAD = 256
 #: Weight of the bigram estimate.
 BIGRAM = 0.7
-#: Words that a task counts before it passes them on.
-HELD_WORDS = 400_000
-#: Bigram entries that a block is meant to hold, and documents that are packed together.
-BLOCK_ENTRIES, PACK = 4_000_000, 4096
+#: Words at which a pack of documents ends, and words of the corpus for each block of counts.
+PACK_WORDS, BLOCK_WORDS = 1 << 20, 1 << 21
+#: Packs that one task scores.
+PACKS_A_TASK = 4
 BROADCAST_IDS = 1_000_000
-FAN_IN = 32
+#: The last two bits of an entry's key.
+WORD, CONTEXT, PAIR = (np.uint64(x) for x in range(3))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -44,205 +41,179 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                count.update(words(text.as_py()))
-                if len(count) > HELD_WORDS:
-                    yield out()
-                    count.clear()
-        yield out()
+def narrow(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold them all; :func:`wide` reads them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4", 8: "<u8"}[len(raw) // n] if n else "u1").astype(np.int64)
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> list[bytes]:
-    """The ``size - 1`` most frequent words of all documents, ties by bytes.
 
-    Taking the first so many of a sorted table sends that many rows of each partition to one place, so the table is cut
-    first: a histogram over the counts' logarithms says from which count on there are enough words. Words that occur
-    once, most of all words, matter only if the others do not fill the vocabulary."""
-    counts = word_counts(docs, text_col)
-    repeated = stored(counts.where("n > 1"), "lm-words")
-    step = F.floor(F.log2("n") * 8).cast("int")
-    histogram = {r["step"]: r["words"] for r in repeated.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}  # at most 8 * 63 rows
-    least, enough = None, 0
-    for least in sorted(histogram, reverse=True):
-        enough += histogram[least]
-        if enough >= size - 1:
-            break
-    chosen = repeated.where(step >= least) if enough >= size - 1 else counts
-    return [bytes(r["word"]) for r in chosen.orderBy(F.desc("n"), "word").limit(size - 1).collect()]
+# -- packs
 
 
-def as_ids(docs: DataFrame, vocab: list[bytes], id_col: str, text_col: str, target_col: str) -> DataFrame:
-    """row (a number of its own), doc_id, target, ids (little-endian 16-bit word numbers)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most VOCABULARY words
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("target", T.BooleanType()), T.StructField("ids", T.BinaryType())])
+def packs(docs: DataFrame, pack_words: int) -> DataFrame:
+    """pack, ids and target of its documents, lengths (words of each), words (hashes of the distinct ones), tokens (their
+    places), n and n_target (words). ``docs``: doc_id, target, text. A document is never split."""
+    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("target", "lengths", "words", "tokens")), T.StructField("n", T.LongType()), T.StructField("n_target", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(shared.value, 1)}
-        get = number.get
-        for batch in batches:
-            ids = [np.array([get(w, 0) for w in words(t.as_py())], dtype="<u2").tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=schema.names)
-
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(target_col), F.col(text_col)).mapInArrow(run, schema)
+        number = TaskContext.get().partitionId() << 32
+        ids, target, lengths, held = [], [], [], []
 
+        def out() -> pa.RecordBatch:
+            own = pa.concat_arrays(ids)
+            coded = pa.array(held, pa.binary()).dictionary_encode()
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
+            n = np.array(lengths, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            values = [pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in (np.array(target, "u1").tobytes(), narrow(n), hashes.tobytes(), narrow(coded.indices.to_numpy().astype(np.int64)))), pa.array([int(n.sum())]), pa.array([int(n[np.array(target, bool)].sum())])]
+            return pa.RecordBatch.from_arrays(values, names=schema.names)
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch, and the document that each is from."""
-    parts = [np.frombuffer(x.as_py(), "<u2") for x in column]
-    return np.concatenate(parts or [np.zeros(0, "<u2")]).astype(np.int64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        for batch in batches:
+            flags = batch.column(1).to_pylist()
+            for i, text in enumerate(batch.column(2)):
+                own = words(text.as_py())
+                ids.append(batch.column(0).slice(i, 1))
+                target.append(flags[i])
+                lengths.append(len(own))
+                held += own
+                if len(held) >= pack_words or len(ids) >= pack_words:
+                    yield out()
+                    number += 1
+                    ids, target, lengths, held = [], [], [], []
+        if ids:
+            yield out()
+
+    return docs.select("doc_id", "target", "text").mapInArrow(run, schema)
+
+
+class Pack:
+    """A pack's documents as numbers, and what it asks of the blocks: ``keys`` in ascending order, with the pack's own
+    counts; ``place`` says where the words, contexts and bigrams, one after another, stand in that order."""
+
+    def __init__(self, target: bytes, lengths: bytes, hashes: bytes, tokens: bytes, n: int):
+        self.target = np.frombuffer(target, "u1").astype(bool)
+        self.lengths, self.tokens = wide(lengths, len(self.target)), wide(tokens, n)
+        hashed = np.frombuffer(hashes, "<u8")
+        self.distinct = len(hashed)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.joins = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        v, w = self.tokens[self.joins - 1], self.tokens[self.joins]
+        pairs, self.pair = np.unique(v * self.distinct + w, return_inverse=True)
+        own = self.target[self.doc]
+        count = lambda x, size, keep: np.bincount(x[keep], minlength=size)
+        counts = [[count(self.tokens, self.distinct, k), count(v, self.distinct, k[self.joins]), count(self.pair, len(pairs), k[self.joins])] for k in (np.ones(n, bool), own)]
+        first, second = hashed[pairs // max(1, self.distinct)], hashed[pairs % max(1, self.distinct)]
+        mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ ((second >> np.uint64(29)) | (second << np.uint64(35)))
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        kinds = ((hashed, WORD), (hashed, CONTEXT), (mixed ^ (mixed >> np.uint64(32)), PAIR))
+        keys = np.concatenate([(h & ~np.uint64(3)) | kind for h, kind in kinds])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.place = keys[order], np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.n, self.n_target = (np.concatenate(c)[order] for c in counts)
+
+    def blocks(self, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks that the keys fall into, in order, and where each begins; the last bound is the number of keys."""
+        block = ((self.keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+        return block[first].astype(np.int64), np.r_[first, len(block)]
+
+
+def entries(rows: DataFrame, blocks: int) -> DataFrame:
+    """block, pack, keys, n, t: what each pack sends to each block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, target, lengths, hashes, tokens, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = Pack(target, lengths, hashes, tokens, n)
+                block, bounds = p.blocks(blocks)
+                parts = [slice(lo, hi) for lo, hi in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.full(len(block), pack, np.int64)), *(pa.array([f(x[s]) for s in parts], pa.binary()) for x, f in ((p.keys, lambda k: k.astype("<u8").tobytes()), (p.n, narrow), (p.n_target, narrow)))], names=["block", "pack", "keys", "n", "t"])
 
-class Counts:
-    """Fixed-size counts, by model (0 target, 1 background): words, contexts (words that another follows), head bigrams."""
+    return rows.select("pack", "target", "lengths", "words", "tokens", "n").mapInArrow(run, "block int, pack long, keys binary, n binary, t binary")
 
-    def __init__(self, vocab: int, head: int, flat_: np.ndarray | None = None):
-        self.vocab, self.head = vocab, head
-        self.all = np.zeros(2 * (2 * vocab + head * head), np.int64) if flat_ is None else flat_
-        a = self.all.reshape(2, -1)
-        self.word, self.context, self.pair = a[:, :vocab], a[:, vocab : 2 * vocab], a[:, 2 * vocab :]
 
-    def add(self, ids: np.ndarray, doc: np.ndarray, target: np.ndarray) -> None:
-        joins = doc[1:] == doc[:-1]
-        v, w, own = ids[:-1][joins], ids[1:][joins], target[doc[1:][joins]]
-        heads = (v < self.head) & (w < self.head)
-        for model, keep_w, keep_b in ((0, target[doc], own), (1, slice(None), slice(None))):
-            self.word[model] += np.bincount(ids[keep_w], minlength=self.vocab)
-            self.context[model] += np.bincount(v[keep_b], minlength=self.vocab)
-            self.pair[model] += np.bincount((v * self.head + w)[heads & own if model == 0 else heads], minlength=self.head**2)
+def totals(sent: DataFrame, blocks: int) -> DataFrame:
+    """block, pack, n, t: the corpus's counts of what each pack sent. A partition is a block."""
 
-    def unigram(self, model: int) -> np.ndarray:
-        return (self.word[model] + 1.0) / (self.word[model].sum() + self.vocab)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if not parts:
+            return
+        keys = [np.frombuffer(p[2], "<u8") for p in parts]
+        size = [len(k) for k in keys]
+        kind, place = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum(size)
+        sums = []
+        for c in (3, 4):
+            own = np.concatenate([wide(p[c], s) for p, s in zip(parts, size, strict=True)])
+            whole = np.bincount(place, own, len(kind)).astype(np.int64)[place]  # sums below 2^53 are exact
+            sums.append(pa.array([narrow(whole[e - s : e]) for s, e in zip(size, ends, strict=True)], pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int64()), *sums], names=["block", "pack", "n", "t"])
 
-    def log_bigram(self, model: int, v: np.ndarray, w: np.ndarray, n: np.ndarray, bigram: float = BIGRAM) -> np.ndarray:
-        """Log probability of w after v, if n is the count of the two; a context that was never seen leaves the unigram."""
-        seen = self.context[model][v]
-        mix = np.where(seen > 0, bigram, 0.0)
-        return np.log(mix * n / np.maximum(seen, 1) + (1 - mix) * self.unigram(model)[w])
+    return sent.repartitionById(blocks, F.col("block")).mapInArrow(run, "block int, pack long, n binary, t binary")
 
 
-def fixed_counts(rows: DataFrame, vocab: int, head: int, piece: int = 8192) -> Counts:
-    """Counts over all rows: tasks send their arrays in pieces, a piece is summed in two rounds (first among the tasks of
-    a number modulo FAN_IN, so no task reads from all), the driver gets one sum of each."""
+def vocabulary_size(rows: DataFrame) -> int:
+    """Distinct words of all packs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(vocab, head)
         for batch in batches:
-            ids, doc = flat(batch.column(1))
-            counts.add(ids, doc, batch.column(0).to_numpy(zero_copy_only=False).astype(bool))
-        parts = [counts.all[lo : lo + piece].astype("<i8") for lo in range(0, len(counts.all), piece)]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN_IN] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "piece", "n"])
-
-    def total(table: pa.Table) -> pa.Table:
-        return pa.table({"piece": table["piece"][:1], "n": pa.array([sum(np.frombuffer(x.as_py(), "<i8") for x in table["n"]).tobytes()], pa.binary())})
-
-    sums = rows.select("target", "ids").mapInArrow(run, "part int, piece int, n binary")
-    for keys in (("part", "piece"), ("piece",)):
-        sums = sums.groupBy(*keys).applyInArrow(total, "piece int, n binary")
-    sums = sorted(sums.collect(), key=lambda r: r["piece"])
-    return Counts(vocab, head, np.concatenate([np.frombuffer(r["n"], "<i8") for r in sums]).copy()) if sums else Counts(vocab, head)
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8") >> 2)], names=["word"])
 
+    return rows.select("words").mapInArrow(run, "word long").distinct().count()
 
-_KEY = np.uint32(0x9E3779B1)
 
-
-def rare_bigrams(rows: DataFrame, blocks: int, head: int, vocab: int, pack: int = PACK) -> DataFrame:
-    """block, batch (of documents), rows and target (of the batch), entries: packed (document, bigram, times)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, pack):
-                batch = whole.slice(lo, pack)
-                ids, doc = flat(batch.column(2))
-                joins = (doc[1:] == doc[:-1]) & ((ids[:-1] >= head) | (ids[1:] >= head))
-                key, n = np.unique((ids[:-1][joins] * vocab + ids[1:][joins]) * pack + doc[1:][joins], return_counts=True)
-                bigram, doc = (key // pack).astype(np.uint32), (key % pack).astype("<u2")
-                block = ((bigram * _KEY).astype(np.uint64) * np.uint64(blocks)) >> np.uint64(32)
-                order = np.argsort(block, kind="stable")
-                bounds = np.searchsorted(block[order], np.arange(blocks + 1))
-                row, target = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-                out = {"block": [], "batch": [], "rows": [], "target": [], "doc": [], "bigram": [], "n": []}
-                for b in range(blocks):
-                    own = order[bounds[b] : bounds[b + 1]]
-                    if len(own):
-                        here, place = np.unique(doc[own], return_inverse=True)  # only the documents that the block needs
-                        for k, x in (("block", b), ("batch", int(row[0])), ("rows", row[here].astype("<i8").tobytes()), ("target", target[here].tobytes()), ("doc", place.astype("<u2").tobytes()), ("bigram", bigram[own].astype("<u4").tobytes()), ("n", n[own].astype("<u4").tobytes() if n[own].max() > 255 else n[own].astype("u1").tobytes())):
-                            out[k].append(x)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int32()), ("batch", pa.int64()), *((k, pa.binary()) for k in ("rows", "target", "doc", "bigram", "n"))]))
-
-    return rows.select("row", "target", "ids").mapInArrow(run, "block int, batch long, rows binary, target binary, doc binary, bigram binary, n binary")
+# -- scores
 
 
 def score_documents(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_size: int = VOCABULARY, head: int = HEAD, bigram: float = BIGRAM, block_entries: int = BLOCK_ENTRIES, pack: int = PACK
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", bigram: float = BIGRAM, pack_words: int = PACK_WORDS, block_words: int = BLOCK_WORDS, packs_a_task: int = PACKS_A_TASK
 ) -> DataFrame:
     """Cross-entropies (nats a word) of every document under both models, and their difference.
 
     Returns doc_id, n_words, target_loss, background_loss, score (target_loss - background_loss). A document's first
-    word has its unigram probability. Null and empty texts: 0 words and zeros. Repeated rows count and are scored
+    word, and a word after one that the model never saw as a context, has its unigram probability; unigrams are smoothed
+    by one count for each word of the vocabulary. A document is scored with all counts, its own included, so a target
+    document finds itself in the target model. Null and empty texts: 0 words and zeros. Repeated rows count and are scored
     each; null ids are never targets; no targets: the target model is uniform; other columns are ignored; empty
     table: no rows. ``target_ids``: a column doc_id, repeats do no harm.
     """
-    if not 0 < head <= vocab_size <= 1 << 16 or pack > 1 << 16:
-        raise ValueError("ids of words and places of documents have 16 bits")
-    spark = docs.sparkSession
     wanted = cut(target_ids.select(F.col("doc_id").alias("of")).filter(F.col("of").isNotNull()).distinct())
-    flagged = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small(wanted, BROADCAST_IDS), F.col("doc_id") == F.col("of"), "left").withColumn("target", F.col("of").isNotNull())
-    vocab = vocabulary(docs, text_col, vocab_size)
-    rows = stored(as_ids(flagged, vocab, "doc_id", "text", "target"), "lm-ids")
-    counts = fixed_counts(rows, vocab_size, head)
-    shared = spark.sparkContext.broadcast(counts)  # 2 (2 vocabulary + head^2) numbers
-    blocks = max(16, -(-int(counts.context[1].sum()) // block_entries))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        for batch in batches:
-            ids, doc = flat(batch.column(2))
-            n = batch.num_rows
-            first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
-            heads = ~first & np.r_[False, (ids[:-1] < head) & (ids[1:] < head)] if len(doc) else first
-            out = [np.bincount(doc, minlength=n)]
-            v, w = ids[np.flatnonzero(heads) - 1], ids[heads]
-            for model in (0, 1):
-                loss = np.bincount(doc[first], -np.log(c.unigram(model)[ids[first]]), minlength=n)
-                out.append(loss + np.bincount(doc[heads], -c.log_bigram(model, v, w, c.pair[model][v * head + w], bigram), minlength=n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=["row", "doc_id", "n", "t", "b"])
-
-    def block(table: pa.Table) -> pa.Table:
-        c = shared.value
-        parts, at = [], 0
-        for rows_, target, doc, gram, n in zip(*(table[k].to_pylist() for k in ("rows", "target", "doc", "bigram", "n")), strict=True):
-            doc, gram = np.frombuffer(doc, "<u2"), np.frombuffer(gram, "<u4")
-            parts.append((np.frombuffer(rows_, "<i8"), np.frombuffer(target, "u1"), doc.astype(np.int64) + at, gram, np.frombuffer(n, "u1" if len(n) == len(doc) else "<u4").astype(np.int64)))
-            at += len(parts[-1][0])
-        size = [len(p[0]) for p in parts]
-        row, target, doc, gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        kind, place = np.unique(gram, return_inverse=True)
-        times = (np.bincount(place, n * target[doc], len(kind)), np.bincount(place, n, len(kind)))
-        v, w = kind.astype(np.int64) // vocab_size, kind.astype(np.int64) % vocab_size
-        loss = [np.bincount(doc, -c.log_bigram(m, v, w, times[m], bigram)[place] * n, len(row)) for m in (0, 1)]
-        ends = np.cumsum(size)
-        cut_ = lambda x: [x[e - s : e].astype(x.dtype.newbyteorder("<")).tobytes() for s, e in zip(size, ends, strict=True)]
-        return pa.table({"batch": table["batch"], "rows": pa.array(cut_(row), pa.binary()), "t": pa.array(cut_(loss[0]), pa.binary()), "b": pa.array(cut_(loss[1]), pa.binary())})
-
-    def batch_sums(table: pa.Table) -> pa.Table:
-        row, t, b = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table[c]]) for c, k in (("rows", "<i8"), ("t", "<f8"), ("b", "<f8")))
-        own, place = np.unique(row, return_inverse=True)
-        return pa.table({"row": pa.array(own, pa.int64()), "t": pa.array(np.bincount(place, t), pa.float64()), "b": pa.array(np.bincount(place, b), pa.float64())})
-
-    own = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    here = rows.select("row", "doc_id", "ids").mapInArrow(local, own)
-    rare = rare_bigrams(rows, blocks, head, vocab_size, pack).groupBy("block").applyInArrow(block, "batch long, rows binary, t binary, b binary")
-    rare = rare.groupBy("batch").applyInArrow(batch_sums, "row long, t double, b double").withColumnsRenamed({"t": "rt", "b": "rb"})
-    both = here.join(rare, "row", "left")
-    mean = lambda x, y: F.coalesce(F.try_divide(F.col(x) + F.coalesce(F.col(y), F.lit(0.0)), F.col("n")), F.lit(0.0))
-    return both.select("doc_id", F.col("n").alias("n_words"), mean("t", "rt").alias("target_loss"), mean("b", "rb").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    flagged = own.join(small(wanted, BROADCAST_IDS), F.col("doc_id") == F.col("of"), "left").withColumn("target", F.col("of").isNotNull())
+    rows = stored(packs(flagged, pack_words), "lm-packs")
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
+    vocab, corpus = vocabulary_size(rows), (size[0], size[1])
+    blocks, tasks = max(1, -(-size[0] // block_words)), max(1, -(-size[2] // packs_a_task))
+    result = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss"))])
+
+    def losses(pack: pa.Table, answers: pa.Table) -> pa.Table:
+        p = Pack(*(pack[c][0].as_py() for c in ("target", "lengths", "words", "tokens", "n")))
+        _, bounds = p.blocks(blocks)
+        order = np.argsort(answers["block"].to_numpy(), kind="stable").tolist()
+        n_docs, out = len(p.lengths), []
+        at = p.place[: p.distinct], p.place[p.distinct : 2 * p.distinct], p.place[2 * p.distinct :]
+        v, first = p.tokens[p.joins - 1], np.ones(len(p.tokens), bool)
+        first[p.joins] = False
+        for column, total in (("t", corpus[1]), ("n", corpus[0])):
+            count = np.concatenate([wide(answers[column][i].as_py(), b - a) for i, a, b in zip(order, bounds[:-1], bounds[1:], strict=True)] or [np.zeros(0, np.int64)])
+            word, context, pair = (count[x] for x in at)
+            alone = ((word + 1.0) / (total + vocab))[p.tokens]
+            seen = context[v]
+            mix = np.where(seen > 0, bigram, 0.0)
+            joined = mix * pair[p.pair] / np.maximum(seen, 1) + (1 - mix) * alone[p.joins]
+            out.append(np.bincount(p.doc[first], -np.log(alone[first]), n_docs) + np.bincount(p.doc[p.joins], -np.log(joined), n_docs))
+        mean = [x / np.maximum(p.lengths, 1) for x in out]
+        return pa.table([pack["ids"].combine_chunks().flatten(), pa.array(p.lengths), *(pa.array(x) for x in mean)], names=result.names)
+
+    answered = totals(entries(rows, blocks), blocks).repartition(tasks, "pack").groupBy("pack")
+    asked = rows.select("pack", "ids", "target", "lengths", "words", "tokens", "n").repartition(tasks, "pack").groupBy("pack")
+    scored = asked.cogroup(answered).applyInArrow(losses, result)
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
