@@ -48,6 +48,39 @@ def test_search_against_brute_force(spark):
         assert [s for _, _, s in mine] == pytest.approx([s for _, s in want])
 
 
+def one_shard(texts, asked):
+    terms = [bm25.terms_of(t) for t in texts]
+    row = bm25.shard_row(list(range(len(texts))), [len(t) for t in terms], [bm25.encoded([w for t in terms for w in t])])
+    block = bm25.Block.of(enumerate(asked))
+    df = Counter(w for t in terms for w in set(t))
+    idf = np.array([np.log1p((len(texts) - df[w] + 0.5) / (df[w] + 0.5)) for w in block.vocabulary.to_pylist()])
+    return bm25.Shard(row, block.vocabulary, sum(map(len, terms)) / len(texts)), block, idf[block.terms] * block.times
+
+
+def test_bounds_prune_documents():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(["the"] * int(rng.integers(1, 9)) + (["rare"] if i % 500 == 3 else []) + [f"x{rng.integers(0, 4000)}"] * 3) for i in range(8000)]
+    shard, block, weights = one_shard(texts, ["rare the", "the rare rare"])
+    best = [(np.zeros(0), np.zeros(0, np.int64))] * 2
+    shard.search(block.terms, weights, block.ptr, 5, best)
+    first = shard.looked_up
+    shard.search(block.terms, weights, block.ptr, 5, [(b[0], b[1] + 10**6) for b in best])  # with the thresholds of a shard before
+    assert shard.looked_up - first < 0.1 * 2 * len(texts) and shard.scored < 0.02 * 4 * len(texts)
+
+
+def test_long_queries_are_exact():
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(rng.choice(words, 700)) for _ in range(200)]
+    texts += [t + " w1" for t in texts[:40]]  # scores that differ in the last places
+    asked = [" ".join(words), " ".join(words * 3)]
+    shard, block, weights = one_shard(texts, asked)
+    best = [(np.zeros(0), np.zeros(0, np.int64))] * 2
+    shard.search(block.terms, weights, block.ptr, 9, best)
+    for (q, want), (score, ids) in zip(slow_bm25(list(enumerate(texts)), list(enumerate(asked)), 9), best, strict=True):
+        assert ids.tolist() == [i for i, _ in want] and score.tolist() == pytest.approx([s for _, s in want])
+
+
 def test_search_of_nothing(spark):
     none, some = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert bm25.search(none, some).count() == 0 and bm25.search(some, none).count() == 0

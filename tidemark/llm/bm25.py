@@ -37,8 +37,11 @@ BLOCK_QUERIES, BLOCK_BYTES = 4096, 16 << 20
 CUT, LONG = 64, 16
 #: Queries that are taken through a shard together; words that are encoded together while a shard is built.
 TOGETHER, ENCODED = 64, 250_000
-#: What sums in single precision may differ by, relative to the score; what is listed is summed in double precision.
-SLACK = 1e-5
+#: Shards that one task takes, one after another, at most if there are more shards than slots for them.
+SHARDS_A_TASK = 4
+#: Twice the rounding unit of single precision. A sum of m positive products in it, of factors rounded to it, is off by
+#: under (m + 3) units, in any order; two such sums compare to within twice that. What is listed is summed in double precision.
+ROUNDING = 2.0**-23
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", bytes(range(97, 123)) + b" " * 32)
 
 
@@ -168,6 +171,7 @@ class Shard:
         self.place = np.full(len(vocabulary), -1, np.int32)
         self.place[term] = np.arange(len(own))
         self.weight = np.zeros(len(vocabulary))  # of a query's terms, while it is scored
+        self.looked_up = self.scored = 0  # documents, over all queries
         self.row = np.full(len(own), -1)  # of a long list, its row below
         many = np.flatnonzero(self.df * LONG >= self.n)
         self.row[many] = np.arange(len(many))
@@ -203,12 +207,13 @@ class Shard:
         lookup = np.zeros((len(ptr) - 1, len(self.dense)), np.float32)
         lookup[query[long], row[long]] = w[long]
         bound = lookup @ self.cut_top
+        slack = ROUNDING * (4 + np.bincount(query[long], minlength=len(ptr) - 1))
         added: np.ndarray | None = None
         at_short, at_all = (np.searchsorted(q, np.arange(len(ptr))) for q in (query[~long], query))
         short, w_short = place[~long], w[~long]
         for j in range(len(ptr) - 1):
             full = len(best[j][0]) == k
-            bar = best[j][0][-1] * (1 - SLACK) if full else 0.0
+            bar = best[j][0][-1] * (1 - slack[j]) if full else 0.0
             lists, w_lists = short[at_short[j] : at_short[j + 1]], w_short[at_short[j] : at_short[j + 1]]
             n = self.df[lists]
             at = spans(self.start[lists], n)
@@ -217,6 +222,7 @@ class Shard:
             docs = np.flatnonzero((reach >= bar) & (reach > 0))
             if not len(docs):
                 continue
+            self.looked_up += len(docs)
             if len(docs) * TOGETHER > self.n:  # many are left: one product looks them up for all queries at once
                 added = lookup @ self.dense if added is None else added
                 score = gained[docs] + added[j, docs]
@@ -224,10 +230,11 @@ class Shard:
                 used = np.flatnonzero(lookup[j])
                 score = gained[docs] + lookup[j, used] @ self.dense[used[:, None], docs]
             if len(docs) > k:
-                bar = max(bar, np.partition(score, len(docs) - k)[len(docs) - k] * (1 - SLACK))
+                bar = max(bar, np.partition(score, len(docs) - k)[len(docs) - k] * (1 - slack[j]))
             docs = docs[(score >= bar) & (score > 0)]
             if not len(docs):
                 continue
+            self.scored += len(docs)
             own = slice(at_all[j], at_all[j + 1])
             self.weight[terms[own]] = w[own]
             score = np.concatenate([best[j][0], self.exact(docs, self.weight)])
@@ -312,11 +319,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     spark = docs.sparkSession
     schema = "query_id long, rank int, doc_id long, score double"
     index = build_index(docs, id_col, text_col, shard_docs)
-    total = index.agg(F.sum("n"), F.sum("words")).first()
+    total = index.agg(F.sum("n"), F.sum("words"), F.count(F.lit(1))).first()
     if not total[0] or not total[1]:
         return spark.createDataFrame([], schema)
     asked = queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(query_text_col).alias("text")).filter(F.col("id").isNotNull())
-    found = [search_block(index, b, total[0], total[1] / total[0], k, spark.sparkContext.defaultParallelism).withColumn("block", F.lit(i)) for i, b in enumerate(blocks_of(asked, block_queries))]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total[2] // SHARDS_A_TASK))
+    found = [search_block(index, b, total[0], total[1] / total[0], k, tasks).withColumn("block", F.lit(i)) for i, b in enumerate(blocks_of(asked, block_queries))]
     if not found:
         return spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("block", "query_no").orderBy(F.desc("score"), "doc_id"))

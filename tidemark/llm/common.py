@@ -17,11 +17,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
-    sc = spark.sparkContext
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. In local mode, where driver and
+    executors are one, a folder of this machine will do; on a cluster a session without that setting is an error."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and sc.getCheckpointDir() is None and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,7 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A name in the application's own folder in the shared one; the folder goes when the application ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/tidemark-{sc.applicationId}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
