@@ -5,10 +5,10 @@ with unigrams over one vocabulary: all words of all documents. A document's scor
 target model less that under the background model; lower means more like the target.
 
 Nothing that grows with the vocabulary is gathered in one place. Documents are counted in packs of about PACK_WORDS words.
-A pack sends each of its words, contexts and bigrams once, as a 64-bit hash with its counts in the pack, to the block
-that the hash names. A block adds up what all packs sent and tells each pack the sums of its own entries; then the pack
-scores its documents. However frequent a bigram is, a block gets it once a pack, and blocks are hash ranges of equal
-size, as many as the words ask for.
+A pack sends each of its words and bigrams once, as a 54-bit hash with its counts in the pack, to the block that the hash
+names. A block adds up what all packs sent and tells each pack the sums of its own entries; then the pack scores its
+documents. However frequent a bigram is, a block gets it once a pack, and blocks are hash ranges of equal size, as many
+as the words ask for. What is sent is compressed: hashes as differences in ascending order, counts of which most are 1.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ from tidemark.llm.common import cut, small, stored
 #: Weight of the bigram estimate.
 BIGRAM = 0.7
 #: Words at which a pack of documents ends, and words of the corpus for each block of counts.
-PACK_WORDS, BLOCK_WORDS = 1 << 20, 1 << 21
+PACK_WORDS, BLOCK_WORDS = 1 << 19, 1 << 20
 #: Packs that one task scores.
 PACKS_A_TASK = 4
 BROADCAST_IDS = 1_000_000
-#: The last two bits of an entry's key.
-WORD, CONTEXT, PAIR = (np.uint64(x) for x in range(3))
+#: Bits of a key; its last bit says whether it is of a bigram.
+KEY_BITS = 55
 
 
 def words(text: str | None) -> list[bytes]:
@@ -41,14 +41,20 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def narrow(x: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold them all; :func:`wide` reads them."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, compressed byte place by byte place; :func:`expanded` reads them."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
-def wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4", 8: "<u8"}[len(raw) // n] if n else "u1").astype(np.int64)
+def expanded(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[1:], n * raw[0]), "u1").reshape(raw[0], n)
+    out = np.zeros((n, 8), "u1")
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8")[:, 0]
 
 
 # -- packs
@@ -70,7 +76,7 @@ def packs(docs: DataFrame, pack_words: int) -> DataFrame:
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
             n = np.array(lengths, np.int64)
             lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-            values = [pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in (np.array(target, "u1").tobytes(), narrow(n), hashes.tobytes(), narrow(coded.indices.to_numpy().astype(np.int64)))), pa.array([int(n.sum())]), pa.array([int(n[np.array(target, bool)].sum())])]
+            values = [pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in (np.array(target, "u1").tobytes(), squeezed(n), hashes.tobytes(), squeezed(coded.indices.to_numpy()))), pa.array([int(n.sum())]), pa.array([int(n[np.array(target, bool)].sum())])]
             return pa.RecordBatch.from_arrays(values, names=schema.names)
 
         for batch in batches:
@@ -93,70 +99,83 @@ def packs(docs: DataFrame, pack_words: int) -> DataFrame:
 
 class Pack:
     """A pack's documents as numbers, and what it asks of the blocks: ``keys`` in ascending order, with the pack's own
-    counts; ``place`` says where the words, contexts and bigrams, one after another, stand in that order."""
+    counts; ``place`` says where the words and bigrams, one after the other, stand in that order."""
 
     def __init__(self, target: bytes, lengths: bytes, hashes: bytes, tokens: bytes, n: int):
         self.target = np.frombuffer(target, "u1").astype(bool)
-        self.lengths, self.tokens = wide(lengths, len(self.target)), wide(tokens, n)
+        self.lengths, self.tokens = expanded(lengths, len(self.target)), expanded(tokens, n)
         hashed = np.frombuffer(hashes, "<u8")
         self.distinct = len(hashed)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.joins = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
-        v, w = self.tokens[self.joins - 1], self.tokens[self.joins]
-        pairs, self.pair = np.unique(v * self.distinct + w, return_inverse=True)
-        own = self.target[self.doc]
-        count = lambda x, size, keep: np.bincount(x[keep], minlength=size)
-        counts = [[count(self.tokens, self.distinct, k), count(v, self.distinct, k[self.joins]), count(self.pair, len(pairs), k[self.joins])] for k in (np.ones(n, bool), own)]
-        first, second = hashed[pairs // max(1, self.distinct)], hashed[pairs % max(1, self.distinct)]
-        mixed = (first * np.uint64(0x9E3779B97F4A7C15)) ^ ((second >> np.uint64(29)) | (second << np.uint64(35)))
+        pairs, self.pair = np.unique(self.tokens[self.joins - 1] * self.distinct + self.tokens[self.joins], return_inverse=True)
+        mixed = (hashed[pairs // max(1, self.distinct)] * np.uint64(0x9E3779B97F4A7C15)) ^ hashed[pairs % max(1, self.distinct)]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        kinds = ((hashed, WORD), (hashed, CONTEXT), (mixed ^ (mixed >> np.uint64(32)), PAIR))
-        keys = np.concatenate([(h & ~np.uint64(3)) | kind for h, kind in kinds])
+        shift, one = np.uint64(64 - KEY_BITS), np.uint64(1)
+        keys = np.concatenate([(hashed >> shift) & ~one, ((mixed ^ (mixed >> np.uint64(32))) >> shift) | one])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.place = keys[order], np.empty(len(order), np.int64)
+        self.order, self.keys, self.place = order, keys[order], np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
-        self.n, self.n_target = (np.concatenate(c)[order] for c in counts)
+
+    def counts(self) -> list[np.ndarray]:
+        """How often each key occurs, and how often it is a document's last word: in all documents, then in target ones."""
+        last = np.cumsum(self.lengths)[self.lengths > 0] - 1
+        out = []
+        for keep in (slice(None), self.target[self.doc]):
+            joined = keep if isinstance(keep, slice) else keep[self.joins]
+            seen = np.concatenate([np.bincount(self.tokens[keep], minlength=self.distinct), np.bincount(self.pair[joined], minlength=len(self.keys) - self.distinct)])
+            ends = np.bincount(self.tokens[last] if isinstance(keep, slice) else self.tokens[last][keep[last]], minlength=len(self.keys))
+            out += seen[self.order], ends[self.order]
+        return out
 
     def blocks(self, blocks: int) -> tuple[np.ndarray, np.ndarray]:
         """The blocks that the keys fall into, in order, and where each begins; the last bound is the number of keys."""
-        block = ((self.keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        block = ((self.keys >> np.uint64(KEY_BITS - 32)) * np.uint64(blocks)) >> np.uint64(32)
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
         return block[first].astype(np.int64), np.r_[first, len(block)]
 
 
+COUNTS = ("n", "ends", "target_n", "target_ends")
+
+
 def entries(rows: DataFrame, blocks: int) -> DataFrame:
-    """block, pack, keys, n, t: what each pack sends to each block."""
+    """block, pack, size, keys and counts: what each pack sends to each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, target, lengths, hashes, tokens, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = Pack(target, lengths, hashes, tokens, n)
+            for i in range(batch.num_rows):
+                number, *row = (c[i].as_py() for c in batch.columns)
+                p = Pack(*row)
                 block, bounds = p.blocks(blocks)
                 parts = [slice(lo, hi) for lo, hi in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.full(len(block), pack, np.int64)), *(pa.array([f(x[s]) for s in parts], pa.binary()) for x, f in ((p.keys, lambda k: k.astype("<u8").tobytes()), (p.n, narrow), (p.n_target, narrow)))], names=["block", "pack", "keys", "n", "t"])
+                keys = [np.r_[p.keys[s][:1], np.diff(p.keys[s])] for s in parts]
+                packed = (pa.array([squeezed(k) for k in keys], pa.binary()), *(pa.array([squeezed(c[s]) for s in parts], pa.binary()) for c in p.counts()))
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.full(len(block), number, np.int64)), pa.array(np.diff(bounds).astype(np.int64)), *packed], names=["block", "pack", "size", "keys", *COUNTS])
 
-    return rows.select("pack", "target", "lengths", "words", "tokens", "n").mapInArrow(run, "block int, pack long, keys binary, n binary, t binary")
+    schema = ", ".join(["block int", "pack long", "size long", "keys binary", *(f"{c} binary" for c in COUNTS)])
+    return rows.select("pack", "target", "lengths", "words", "tokens", "n").mapInArrow(run, schema)
 
 
 def totals(sent: DataFrame, blocks: int) -> DataFrame:
-    """block, pack, n, t: the corpus's counts of what each pack sent. A partition is a block."""
+    """block, pack, size and counts: those of the corpus for what each pack sent. A partition is a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        if not parts:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        keys = [np.frombuffer(p[2], "<u8") for p in parts]
-        size = [len(k) for k in keys]
-        kind, place = np.unique(np.concatenate(keys), return_inverse=True)
-        ends = np.cumsum(size)
-        sums = []
-        for c in (3, 4):
-            own = np.concatenate([wide(p[c], s) for p, s in zip(parts, size, strict=True)])
+        parts = pa.Table.from_batches(held)
+        size = parts["size"].to_pylist()
+        kind, place = np.unique(np.concatenate([np.cumsum(expanded(k.as_py(), s)) for k, s in zip(parts["keys"], size, strict=True)]), return_inverse=True)
+        ends, sums = np.cumsum(size), []
+        for c in COUNTS:
+            own = np.concatenate([expanded(x.as_py(), s) for x, s in zip(parts[c], size, strict=True)])
             whole = np.bincount(place, own, len(kind)).astype(np.int64)[place]  # sums below 2^53 are exact
-            sums.append(pa.array([narrow(whole[e - s : e]) for s, e in zip(size, ends, strict=True)], pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int64()), *sums], names=["block", "pack", "n", "t"])
+            sums.append(pa.array([squeezed(whole[e - s : e]) for s, e in zip(size, ends, strict=True)], pa.binary()))
+        whole = pa.table([parts["block"], parts["pack"], parts["size"], *sums], names=["block", "pack", "size", *COUNTS])
+        yield from whole.combine_chunks().to_batches()
 
-    return sent.repartitionById(blocks, F.col("block")).mapInArrow(run, "block int, pack long, n binary, t binary")
+    schema = ", ".join(["block int", "pack long", "size long", *(f"{c} binary" for c in COUNTS)])
+    return sent.repartitionById(blocks, F.col("block")).mapInArrow(run, schema)
 
 
 def vocabulary_size(rows: DataFrame) -> int:
@@ -165,7 +184,7 @@ def vocabulary_size(rows: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), "<i8") >> 2)], names=["word"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.frombuffer(x.as_py(), "<u8") >> np.uint64(64 - KEY_BITS + 1)).astype(np.int64))], names=["word"])
 
     return rows.select("words").mapInArrow(run, "word long").distinct().count()
 
@@ -196,19 +215,17 @@ def score_documents(
 
     def losses(pack: pa.Table, answers: pa.Table) -> pa.Table:
         p = Pack(*(pack[c][0].as_py() for c in ("target", "lengths", "words", "tokens", "n")))
-        _, bounds = p.blocks(blocks)
         order = np.argsort(answers["block"].to_numpy(), kind="stable").tolist()
+        told = {c: np.concatenate([np.zeros(0, np.int64), *(expanded(answers[c][i].as_py(), answers["size"][i].as_py()) for i in order)])[p.place] for c in COUNTS}
         n_docs, out = len(p.lengths), []
-        at = p.place[: p.distinct], p.place[p.distinct : 2 * p.distinct], p.place[2 * p.distinct :]
         v, first = p.tokens[p.joins - 1], np.ones(len(p.tokens), bool)
         first[p.joins] = False
-        for column, total in (("t", corpus[1]), ("n", corpus[0])):
-            count = np.concatenate([wide(answers[column][i].as_py(), b - a) for i, a, b in zip(order, bounds[:-1], bounds[1:], strict=True)] or [np.zeros(0, np.int64)])
-            word, context, pair = (count[x] for x in at)
-            alone = ((word + 1.0) / (total + vocab))[p.tokens]
-            seen = context[v]
+        for kind, total in (("target_", corpus[1]), ("", corpus[0])):
+            count = told[kind + "n"]
+            alone = ((count[: p.distinct] + 1.0) / (total + vocab))[p.tokens]
+            seen = (count - told[kind + "ends"])[v]  # as a context: wherever it is not the last word
             mix = np.where(seen > 0, bigram, 0.0)
-            joined = mix * pair[p.pair] / np.maximum(seen, 1) + (1 - mix) * alone[p.joins]
+            joined = mix * count[p.distinct :][p.pair] / np.maximum(seen, 1) + (1 - mix) * alone[p.joins]
             out.append(np.bincount(p.doc[first], -np.log(alone[first]), n_docs) + np.bincount(p.doc[p.joins], -np.log(joined), n_docs))
         mean = [x / np.maximum(p.lengths, 1) for x in out]
         return pa.table([pack["ids"].combine_chunks().flatten(), pa.array(p.lengths), *(pa.array(x) for x in mean)], names=result.names)
