@@ -252,11 +252,11 @@ def test_a_bigram_in_every_pack_is_sent_once_a_pack():
     coded = lm.pa.array(tokens, lm.pa.binary()).dictionary_encode()
     hashes = np.array([lm.xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
     lengths = np.array([len(d.split()) for d in docs])
-    pack = lm.Pack(b"\1\0\0\1", lm.squeezed(lengths), hashes.tobytes(), lm.squeezed(coded.indices.to_numpy()), len(tokens))
+    pack = lm.Pack(48, b"\1\0\0\1", lm.squeezed(lengths), hashes.tobytes(), lm.squeezed(coded.indices.to_numpy()), len(tokens))
     n, ends, target_n, target_ends = pack.counts()
     assert len(pack.keys) == len(set(pack.keys.tolist())) == 3 + 3 and sorted(n.tolist()) == [1, 1, 55, 58, 58, 58]
     assert sorted(ends.tolist()) == [0, 0, 0, 0, 1, 2] and target_ends.sum() == 2 and sorted(target_n.tolist()) == [0, 0, 55, 57, 57, 57]
-    block, bounds = pack.blocks(1000)
+    block, bounds = lm.split(pack.keys, 48, 1000)
     assert len(block) == len(set(block.tolist())) <= 6 and bounds[-1] == 6
 
 

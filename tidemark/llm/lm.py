@@ -5,7 +5,7 @@ with unigrams over one vocabulary: all words of all documents. A document's scor
 target model less that under the background model; lower means more like the target.
 
 Nothing that grows with the vocabulary is gathered in one place. Documents are counted in packs of about PACK_WORDS words.
-A pack sends each of its words and bigrams once, as a 54-bit hash with its counts in the pack, to the block that the hash
+A pack sends each of its words and bigrams once, as a hash with its counts in the pack, to the block that the hash
 names. A block adds up what all packs sent and tells each pack the sums of its own entries; then the pack scores its
 documents. However frequent a bigram is, a block gets it once a pack, and blocks are hash ranges of equal size, as many
 as the words ask for. What is sent is compressed: hashes as differences in ascending order, counts of which most are 1.
@@ -32,8 +32,13 @@ PACK_WORDS, BLOCK_WORDS = 1 << 19, 1 << 20
 #: Packs that one task scores.
 PACKS_A_TASK = 4
 BROADCAST_IDS = 1_000_000
-#: Bits of a key; its last bit says whether it is of a bigram.
-KEY_BITS = 55
+#: Bits that a hash has above those that number the corpus's words: one in 2^20 meets another. With all 63 bits in use, for
+#: corpora of 2^43 words and more, more do. A key is such a hash, and a last bit that says whether it is of a bigram.
+SPARE_BITS = 20
+
+
+def bits_of_keys(corpus_words: int) -> int:
+    return max(40, min(64, corpus_words.bit_length() + SPARE_BITS + 1))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -45,7 +50,12 @@ def squeezed(x: np.ndarray) -> bytes:
     """Numbers from 0 on, compressed byte place by byte place; :func:`expanded` reads them."""
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
     planes = np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+    return bytes([width]) + pa.Codec("zstd", 3).compress(planes, asbytes=True)
+
+
+def ascending(x: np.ndarray) -> bytes:
+    """Like :func:`squeezed`, for numbers in ascending order, as differences; their running sums give them back."""
+    return squeezed(np.r_[x[:1], np.diff(x)])
 
 
 def expanded(raw: bytes, n: int) -> np.ndarray:
@@ -61,8 +71,8 @@ def expanded(raw: bytes, n: int) -> np.ndarray:
 
 
 def packs(docs: DataFrame, pack_words: int) -> DataFrame:
-    """pack, ids and target of its documents, lengths (words of each), words (hashes of the distinct ones), tokens (their
-    places), n and n_target (words). ``docs``: doc_id, target, text. A document is never split."""
+    """pack, ids and target of its documents, lengths (words of each), words (hashes of the distinct ones, from the most
+    frequent on), tokens (their places), n and n_target (words). ``docs``: doc_id, target, text. A document is never split."""
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("target", "lengths", "words", "tokens")), T.StructField("n", T.LongType()), T.StructField("n_target", T.LongType())])
 
@@ -73,10 +83,14 @@ def packs(docs: DataFrame, pack_words: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             own = pa.concat_arrays(ids)
             coded = pa.array(held, pa.binary()).dictionary_encode()
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
+            place = coded.indices.to_numpy()
+            common = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.take(pa.array(common)).to_pylist()], "<u8")
+            number_of = np.empty(len(common), np.int64)
+            number_of[common] = np.arange(len(common))
             n = np.array(lengths, np.int64)
             lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-            values = [pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in (np.array(target, "u1").tobytes(), squeezed(n), hashes.tobytes(), squeezed(coded.indices.to_numpy()))), pa.array([int(n.sum())]), pa.array([int(n[np.array(target, bool)].sum())])]
+            values = [pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in (np.array(target, "u1").tobytes(), squeezed(n), hashes.tobytes(), squeezed(number_of[place]))), pa.array([int(n.sum())]), pa.array([int(n[np.array(target, bool)].sum())])]
             return pa.RecordBatch.from_arrays(values, names=schema.names)
 
         for batch in batches:
@@ -97,11 +111,22 @@ def packs(docs: DataFrame, pack_words: int) -> DataFrame:
     return docs.select("doc_id", "target", "text").mapInArrow(run, schema)
 
 
+def split(keys: np.ndarray, bits: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks that ascending keys fall into, in order, and where each begins; the last bound is the number of keys."""
+    block = ((keys >> np.uint64(bits - 32)) * np.uint64(blocks)) >> np.uint64(32)
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    return block[first].astype(np.int64), np.r_[first, len(block)]
+
+
+def word_keys(hashed: np.ndarray, bits: int) -> np.ndarray:
+    return (hashed >> np.uint64(64 - bits)) & ~np.uint64(1)
+
+
 class Pack:
     """A pack's documents as numbers, and what it asks of the blocks: ``keys`` in ascending order, with the pack's own
     counts; ``place`` says where the words and bigrams, one after the other, stand in that order."""
 
-    def __init__(self, target: bytes, lengths: bytes, hashes: bytes, tokens: bytes, n: int):
+    def __init__(self, bits: int, target: bytes, lengths: bytes, hashes: bytes, tokens: bytes, n: int):
         self.target = np.frombuffer(target, "u1").astype(bool)
         self.lengths, self.tokens = expanded(lengths, len(self.target)), expanded(tokens, n)
         hashed = np.frombuffer(hashes, "<u8")
@@ -111,8 +136,7 @@ class Pack:
         pairs, self.pair = np.unique(self.tokens[self.joins - 1] * self.distinct + self.tokens[self.joins], return_inverse=True)
         mixed = (hashed[pairs // max(1, self.distinct)] * np.uint64(0x9E3779B97F4A7C15)) ^ hashed[pairs % max(1, self.distinct)]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        shift, one = np.uint64(64 - KEY_BITS), np.uint64(1)
-        keys = np.concatenate([(hashed >> shift) & ~one, ((mixed ^ (mixed >> np.uint64(32))) >> shift) | one])
+        keys = np.concatenate([word_keys(hashed, bits), word_keys(mixed ^ (mixed >> np.uint64(32)), bits) | np.uint64(1)])
         order = np.argsort(keys, kind="stable")
         self.order, self.keys, self.place = order, keys[order], np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
@@ -128,28 +152,21 @@ class Pack:
             out += seen[self.order], ends[self.order]
         return out
 
-    def blocks(self, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-        """The blocks that the keys fall into, in order, and where each begins; the last bound is the number of keys."""
-        block = ((self.keys >> np.uint64(KEY_BITS - 32)) * np.uint64(blocks)) >> np.uint64(32)
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-        return block[first].astype(np.int64), np.r_[first, len(block)]
-
 
 COUNTS = ("n", "ends", "target_n", "target_ends")
 
 
-def entries(rows: DataFrame, blocks: int) -> DataFrame:
+def entries(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
     """block, pack, size, keys and counts: what each pack sends to each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 number, *row = (c[i].as_py() for c in batch.columns)
-                p = Pack(*row)
-                block, bounds = p.blocks(blocks)
+                p = Pack(bits, *row)
+                block, bounds = split(p.keys, bits, blocks)
                 parts = [slice(lo, hi) for lo, hi in zip(bounds, bounds[1:])]
-                keys = [np.r_[p.keys[s][:1], np.diff(p.keys[s])] for s in parts]
-                packed = (pa.array([squeezed(k) for k in keys], pa.binary()), *(pa.array([squeezed(c[s]) for s in parts], pa.binary()) for c in p.counts()))
+                packed = (pa.array([ascending(p.keys[s]) for s in parts], pa.binary()), *(pa.array([squeezed(c[s]) for s in parts], pa.binary()) for c in p.counts()))
                 yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.full(len(block), number, np.int64)), pa.array(np.diff(bounds).astype(np.int64)), *packed], names=["block", "pack", "size", "keys", *COUNTS])
 
     schema = ", ".join(["block int", "pack long", "size long", "keys binary", *(f"{c} binary" for c in COUNTS)])
@@ -178,15 +195,22 @@ def totals(sent: DataFrame, blocks: int) -> DataFrame:
     return sent.repartitionById(blocks, F.col("block")).mapInArrow(run, schema)
 
 
-def vocabulary_size(rows: DataFrame) -> int:
-    """Distinct words of all packs."""
+def vocabulary_size(rows: DataFrame, bits: int, blocks: int) -> int:
+    """Distinct words of all packs, counted block by block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array((np.frombuffer(x.as_py(), "<u8") >> np.uint64(64 - KEY_BITS + 1)).astype(np.int64))], names=["word"])
+                keys = np.unique(word_keys(np.frombuffer(x.as_py(), "<u8"), bits))
+                block, bounds = split(keys, bits, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int64)), pa.array([ascending(keys[lo:hi]) for lo, hi in zip(bounds, bounds[1:])], pa.binary())], names=["block", "size", "keys"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.cumsum(expanded(k.as_py(), n)) for batch in batches for n, k in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(np.concatenate(seen))) if seen else 0], pa.int64())], names=["words"])
 
-    return rows.select("words").mapInArrow(run, "word long").distinct().count()
+    sent = rows.select("words").mapInArrow(send, "block int, size long, keys binary").repartitionById(blocks, F.col("block"))
+    return sent.select("size", "keys").mapInArrow(count, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
 
 # -- scores
@@ -209,12 +233,12 @@ def score_documents(
     flagged = own.join(small(wanted, BROADCAST_IDS), F.col("doc_id") == F.col("of"), "left").withColumn("target", F.col("of").isNotNull())
     rows = stored(packs(flagged, pack_words), "lm-packs")
     size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
-    vocab, corpus = vocabulary_size(rows), (size[0], size[1])
-    blocks, tasks = max(1, -(-size[0] // block_words)), max(1, -(-size[2] // packs_a_task))
+    blocks, tasks, bits = max(1, -(-size[0] // block_words)), max(1, -(-size[2] // packs_a_task)), bits_of_keys(size[0])
+    vocab, corpus = vocabulary_size(rows, bits, blocks), (size[0], size[1])
     result = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss"))])
 
     def losses(pack: pa.Table, answers: pa.Table) -> pa.Table:
-        p = Pack(*(pack[c][0].as_py() for c in ("target", "lengths", "words", "tokens", "n")))
+        p = Pack(bits, *(pack[c][0].as_py() for c in ("target", "lengths", "words", "tokens", "n")))
         order = np.argsort(answers["block"].to_numpy(), kind="stable").tolist()
         told = {c: np.concatenate([np.zeros(0, np.int64), *(expanded(answers[c][i].as_py(), answers["size"][i].as_py()) for i in order)])[p.place] for c in COUNTS}
         n_docs, out = len(p.lengths), []
@@ -230,7 +254,7 @@ def score_documents(
         mean = [x / np.maximum(p.lengths, 1) for x in out]
         return pa.table([pack["ids"].combine_chunks().flatten(), pa.array(p.lengths), *(pa.array(x) for x in mean)], names=result.names)
 
-    answered = totals(entries(rows, blocks), blocks).repartition(tasks, "pack").groupBy("pack")
+    answered = totals(entries(rows, bits, blocks), blocks).repartition(tasks, "pack").groupBy("pack")
     asked = rows.select("pack", "ids", "target", "lengths", "words", "tokens", "n").repartition(tasks, "pack").groupBy("pack")
     scored = asked.cogroup(answered).applyInArrow(losses, result)
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
