@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tables of repeated rows up to this many rows are broadcast; larger ones join by shuffle.
+BROADCAST_REPEATS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +60,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
+def occurrences(rows: DataFrame, keys: Sequence[str], name: str = "nth") -> DataFrame:
+    """``rows``, computed once, with ``name``: from 0, which of the rows equal in ``keys`` a row is.
+
+    Repeats are counted by partition and numbered on from the partitions before, so however often a row repeats, no task
+    gets more of them than one partition holds."""
+    rows = cut(rows.withColumn("_key", F.xxhash64(*keys)).withColumn("_part", F.spark_partition_id()))
+    repeated = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"))
+    parts = rows.join(small(repeated, BROADCAST_REPEATS), "_key").groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")
+    parts = small(cut(parts.select("_key", "_part", before.alias("_before"))), BROADCAST_REPEATS)
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_key", "_part").orderBy(*keys)) - 1
+    alone = rows.join(parts, ["_key", "_part"], "left_anti").withColumn(name, F.lit(0).cast("long"))
+    return alone.unionByName(rows.join(parts, ["_key", "_part"]).withColumn(name, nth).drop("_before")).drop("_key", "_part")
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each document has an exponential key, scaled by its quality weight; keys order a source's documents. A source's
-budget is some complete epochs and a rest; the rest takes the longest prefix in key order that it holds, then one
-document more: that whose size is nearest to what is left, if it brings the source nearer to its target.
+budget is some complete epochs and a rest; the rest takes a prefix in key order, the one whose words come nearest to it.
 No source is sorted as a whole: keys fall into bins, bins are summed (partial sums before the shuffle), and only
-the bin in which a source's budget ends is ordered row by row.
+the bin in which a source's budget ends is ordered row by row. What that gives, the key at which a source's prefix ends,
+is one row a source; each document compares its own key with it, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, input_splits, small, text_digest, word_count
+from tidemark.llm.common import cut, input_splits, occurrences, small, text_digest
 
 MAX_EPOCHS = 3
 #: Bins of a source's keys, or as many as the input has partitions if those are more.
@@ -21,10 +21,14 @@ BINS = 4096
 BROADCAST_SOURCES = 100_000
 
 
-def typical_word_weight(text: Column, size: Column) -> Column:
-    """A document's quality weight, in (0, 1]: 1 at six characters a word, less the further its mean is from that."""
-    mean = F.length(text) / size
-    return F.when(size > 0, 1 / (1 + F.abs(mean - 6) / 6)).otherwise(F.lit(1.0))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def diversity(words: Column) -> Column:
+    """A document's quality weight where no other is given, in (0, 1]: Herdan's C, the logarithm of its distinct words over
+    that of its words (one added to both), which hardly depends on length; 1 without words."""
+    return F.when(F.size(words) > 0, F.log(F.size(F.array_distinct(words)) + 1.0) / F.log(F.size(words) + 1.0)).otherwise(F.lit(1.0))
 
 
 def uniform(*parts: Column) -> Column:
@@ -51,84 +55,98 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return shared.select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def keyed(rows: DataFrame, bins: int, seed: str) -> DataFrame:
+    """``rows`` (doc_id, source, digest, size, weight, nth) with key and bin."""
+    u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lower(F.hex("digest")), F.col("nth").cast("string"))
+    rows = rows.withColumn("key", -F.log(u) / F.col("weight"))
+    return rows.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * bins).cast("int"))
+
+
+def budgets(rows: DataFrame, max_epochs: int) -> DataFrame:
+    """rows: source, size, key, bin. One row a source: of, source_size, target, full (complete epochs), end_bin and
+    end_key: the last key taken for the rest. No end_key: nothing of that bin is taken; no end_bin: no rest."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, max_epochs).withColumn("full", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int"))
+    targets = cut(targets.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumnRenamed("source", "of"))
+
+    in_order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).withColumn("upto", F.sum("bin_size").over(in_order))
+    crossed = filled.join(small(targets, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of"))).filter((F.col("rest") > 0) & (F.col("upto") > F.col("rest")))
+    ends = crossed.groupBy("of", "rest").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("end"))
+    ends = cut(ends.select(F.col("of").alias("end_of"), "rest", F.col("end.bin").alias("end_bin"), F.col("end.before").alias("before")))
+
+    edge = rows.join(small(ends, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("end_of")) & (F.col("bin") == F.col("end_bin")))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = edge.withColumn("upto", upto).groupBy("end_of", "end_bin", "rest", "before").agg(
+        F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("key", "upto"))).alias("below"), F.min(F.when(F.col("upto") > F.col("rest"), F.struct("key", "upto"))).alias("above")
+    )
+    nearer = F.col("above.upto") - F.col("rest") < F.col("rest") - F.coalesce("below.upto", "before")
+    edge = edge.select("end_of", "end_bin", F.when(nearer, F.col("above.key")).otherwise(F.col("below.key")).alias("end_key"))
+    return cut(targets.join(edge, F.col("of").eqNullSafe(F.col("end_of")), "left").drop("end_of"))
+
+
+def dealt(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """``rows`` with source_size, target and epochs: how often the whole document is taken."""
+    joined = rows.join(small(budget, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
+    chosen = F.coalesce((F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & (F.col("key") <= F.col("end_key"))), F.lit(False))
+    return joined.withColumn("epochs", F.col("full") + chosen.cast("int"))
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, *keep: str) -> DataFrame:
+    """doc_id, source, digest, size (words), weight of each row, and the columns ``keep``."""
+    own = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_digest(F.col(text_col)).alias("digest"), words_of(F.col(text_col)).alias("words"), *([] if weight is None else [weight.alias("weight")]))
+    return own.withColumn("weight", diversity(F.col("words")) if weight is None else F.col("weight")).withColumn("size", F.size("words").cast("long")).drop("words")
+
+
 def mix_sources(
     docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = "mix", bins: int = BINS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
     Returns doc_id, size (words), source, source_size, target, epochs (times the whole document is taken), taken
-    (``epochs * size``), digest (MD5 of the text). Documents are taken whole, so a source misses its target by what the nearest size left over leaves. A null text has size 0; a null source is a source of its own, last in order; rows that share id
-    and text share a key, and those equal in all columns are interchangeable; empty table: no rows; other columns
-    are ignored. ``weight``: a positive expression over ``docs``.
+    (``epochs * size``). Documents are taken whole, so a source misses its target by half the size of one document at
+    most. A null text has size 0; a null source is a source of its own, last in order; rows that share id, text and
+    source have a key each, by their number among each other, and are interchangeable; empty table: no rows; other
+    columns are ignored. ``weight``: a positive expression over ``docs``; without it, :func:`diversity`.
     """
-    text, size = F.col(text_col), word_count(F.col(text_col))
-    weight = typical_word_weight(text, size) if weight is None else weight
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("w"), uniform(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("u"), text_digest(text).alias("digest"))
-    bins = max(bins, input_splits(docs))
-    rows = rows.withColumn("key", -F.log("u") / F.col("w")).drop("u", "w")
-    rows = cut(rows.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * bins).cast("int")))
+    rows = cut(keyed(occurrences(described(docs, id_col, text_col, source_col, weight), ["doc_id", "digest", "source"]), max(bins, input_splits(docs)), seed))
+    mixed = dealt(rows, budgets(rows, max_epochs))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
 
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, max_epochs).withColumn("full", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int"))
-    targets = targets.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
 
-    targets = cut(targets.withColumnRenamed("source", "of"))
+def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = "mix", bins: int = BINS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix_sources` takes it, with its columns, whatever their names.
 
-    in_order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).withColumn("upto", F.sum("bin_size").over(in_order))
-    crossed = filled.join(targets, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("upto") > F.col("rest"))
-    ends = crossed.groupBy("of").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("end"))
-    ends = ends.select(F.col("of").alias("end_of"), F.col("end.bin").alias("end_bin"), F.col("end.before").alias("end_before"))
-    budget = cut(targets.join(ends, F.col("of").eqNullSafe(F.col("end_of")), "left").drop("end_of"))
-
-    dealt = rows.join(small(budget, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    at_end = F.coalesce(F.col("bin") == F.col("end_bin"), F.lit(False))
-    clear = dealt.filter(~at_end).withColumn("chosen", (F.coalesce(F.col("bin") < F.col("end_bin"), F.lit(True)) & (F.col("rest") > 0)).cast("int"))
-    prefix = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = dealt.filter(at_end).withColumn("chosen", ((F.col("rest") > 0) & (F.col("end_before") + F.sum("size").over(prefix) <= F.col("rest"))).cast("int"))
-    dealt = cut(clear.unionByName(edge).drop("end_bin", "end_before"))
-
-    gaps = dealt.groupBy("source").agg((F.first("rest") - F.sum(F.col("chosen") * F.col("size"))).alias("gap")).withColumnRenamed("source", "of")
-    gaps = cut(gaps)
-    open_ = dealt.filter((F.col("chosen") == 0) & (F.col("size") > 0)).join(small(gaps, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
-    miss = F.abs(F.col("size") - F.col("gap"))
-    last = open_.filter(miss < F.col("gap")).groupBy("of").agg(F.min(F.struct(miss.alias("miss"), "key", "doc_id", "size")).alias("last"))
-    last = cut(last.select("of", F.col("last.key").alias("last_key"), F.col("last.doc_id").alias("last_id"), F.col("last.size").alias("last_size")))
-    ended = dealt.join(small(last, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")), "left")
-    is_last = (F.col("chosen") == 0) & (F.col("key") == F.col("last_key")) & F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("size") == F.col("last_size"))
-    is_last = F.coalesce(is_last, F.lit(False))
-    one = Window.partitionBy("source").orderBy("key")
-    last_rows = ended.filter(is_last).withColumn("chosen", (F.row_number().over(one) == 1).cast("int"))  # of repeated rows, one
-    mixed = ended.filter(~is_last).unionByName(last_rows).withColumn("epochs", F.col("full") + F.col("chosen"))
-    return mixed.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"), "digest")
-
-
-def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its columns, whatever their names.
-
-    Rows equal in id, text and source share their turns: the first by the other columns takes the first of them."""
+    Null ids, texts and sources are values like others; empty texts have size 0 and come as often as their keys say; of
+    rows equal in id, text and source, whatever their other columns, each has its own turn; empty table: no rows. Only
+    such repeated rows are written and numbered; all others decide by their own key, read once for the budgets and once
+    for the result.
+    """
     columns = docs.columns
-    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)))
-    key, text, source = (f"c{columns.index(c)}" for c in (id_col, text_col, source_col))
-    taken = mix_sources(own, max_epochs, seed, id_col=key, text_col=text, source_col=source).filter("epochs > 0")
-    turns = taken.groupBy("doc_id", "digest", F.col("source").alias("of")).agg(F.sort_array(F.collect_list("epochs"), asc=False).alias("turns"))
-    own = own.withColumn("own_digest", text_digest(F.col(text)))
-    same = F.col(key).eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest")) & F.col(source).eqNullSafe(F.col("of"))
-    dealt = own.join(turns, same)
-    alone = dealt.filter(F.size("turns") == 1).withColumn("turn", F.col("turns")[0])
-    nth = F.row_number().over(Window.partitionBy(key, "own_digest", source).orderBy(*(f"c{i}" for i in range(len(columns)) if f"c{i}" != text)))
-    shared = dealt.filter(F.size("turns") > 1).withColumn("nth", nth).filter(F.col("nth") <= F.size("turns")).withColumn("turn", F.element_at("turns", F.col("nth"))).drop("nth")
-    repeated = alone.unionByName(shared).withColumn("turn", F.explode(F.array_repeat("turn", F.col("turn"))))
-    return repeated.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), *([] if weight is None else [weight.alias("w")]))
+    kept = [f"c{i}" for i in range(len(columns))]
+    rows = described(own, *(f"c{columns.index(c)}" for c in (id_col, text_col, source_col)), None if weight is None else F.col("w"), *kept)
+    same = ["doc_id", "digest", "source"]
+    rows = rows.withColumn("same", F.xxhash64(*same))
+    repeated = small(cut(rows.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same")), BROADCAST_SOURCES)
+    alone = rows.join(repeated, "same", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    every = keyed(alone.unionByName(occurrences(rows.join(repeated, "same"), same)), max(bins, input_splits(docs)), seed)
+    budget = budgets(cut(every.select("source", "size", "key", "bin")), max_epochs)
+    turns = dealt(every, budget).filter("epochs > 0").withColumn("turn", F.explode(F.array_repeat(F.lit(0), F.col("epochs"))))
+    return turns.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         length(text) AS chars, (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  SELECT doc_id, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) - 1 AS nth
   FROM documents),
-k AS (SELECT *, -ln(u) / (CASE WHEN size > 0 THEN 1 / (1 + abs(chars::DOUBLE / size - 6) / 6) ELSE 1.0 END) AS key FROM d),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+x AS (
+  SELECT doc_id, source, len(words)::BIGINT AS size, CASE WHEN len(words) > 0 THEN ln(len(list_distinct(words)) + 1.0::DOUBLE) / ln(len(words) + 1.0::DOUBLE) ELSE 1.0 END AS w,
+         (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) || '|' || nth), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM d),
+k AS (SELECT *, -ln(u) / w AS key FROM x),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
 t AS (SELECT sum(source_size)::DOUBLE AS total FROM s),
 lv AS (
@@ -139,13 +157,10 @@ lv AS (
 g AS (SELECT source, source_size, least(source_size * 3.0, level * weight) AS target FROM w, lv),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS full_epochs FROM g),
 p AS (
-  SELECT k.doc_id, k.size, k.key, e.source, e.source_size, e.target, e.full_epochs, e.target - e.full_epochs * e.source_size AS rest,
-         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT k.doc_id, k.size, e.source, e.source_size, e.target, e.full_epochs, e.target - e.full_epochs * e.source_size AS rest,
+         sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key RANGE UNBOUNDED PRECEDING) AS upto
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
-c AS (SELECT *, CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS chosen FROM p),
-f AS (SELECT *, rest - sum(chosen * size) OVER (PARTITION BY source) AS gap FROM c),
-o AS (SELECT *, row_number() OVER (PARTITION BY source, chosen = 0 AND size > 0 AND abs(size - gap) < gap ORDER BY abs(size - gap), key, doc_id, size) AS nearest FROM f),
-z AS (SELECT *, full_epochs + CASE WHEN chosen = 1 OR (size > 0 AND abs(size - gap) < gap AND nearest = 1) THEN 1 ELSE 0 END AS epochs_taken FROM o)
+z AS (SELECT *, full_epochs + CASE WHEN rest > 0 AND (upto <= rest OR (size > 0 AND upto - size <= rest AND upto - rest < rest - (upto - size))) THEN 1 ELSE 0 END AS epochs_taken FROM p)
 SELECT doc_id, size, source, source_size, target::DOUBLE AS target, epochs_taken::INTEGER AS epochs, (epochs_taken * size)::BIGINT AS taken
 FROM z
 """

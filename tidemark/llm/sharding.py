@@ -13,12 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc, cut, new_path, small, utf8_bytes
+from tidemark.llm.common import crc, cut, new_path, occurrences, utf8_bytes
 
 SLOTS = 4096
 RECORD_OVERHEAD = 8
-#: Tables of repeated records up to this many rows are broadcast; larger ones join by shuffle.
-BROADCAST_REPEATS = 200_000
 
 
 @dataclass(frozen=True)
@@ -99,18 +97,10 @@ class SlotMapStore:
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One light row for each record: id, size (UTF-8 bytes plus 8; null text has none), CRC and virtual slot.
 
-    The slot hashes id, CRC, size and, for rows that repeat in all three, which of them a row is. So rows that share an
-    id, a text or everything spread over all slots. Repeats are counted by input partition and numbered on from the
-    partitions before, so however often a row repeats, no task gets more of them than one partition holds."""
+    The slot hashes id, CRC, size and, for rows that repeat in all three, which of them a row is: so rows that share an
+    id, a text or everything spread over all slots."""
     light = docs.select(F.col(id_col).alias("doc_id"), (utf8_bytes(F.col(text_col)) + RECORD_OVERHEAD).alias("size"), crc(F.col(text_col)).alias("text_crc32"))
-    light = cut(light.withColumn("key", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("part", F.spark_partition_id()))
-    repeated = cut(light.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
-    parts = light.join(small(repeated, BROADCAST_REPEATS), "key").groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
-    parts = small(cut(parts.select("key", "part", before.alias("before"))), BROADCAST_REPEATS)
-    nth = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id", "text_crc32", "size")) - 1
-    alone = light.join(parts, ["key", "part"], "left_anti").withColumn("nth", F.lit(0).cast("long"))
-    numbered = alone.unionByName(light.join(parts, ["key", "part"]).withColumn("nth", nth).drop("before"))
+    numbered = occurrences(light, ["doc_id", "text_crc32", "size"])
     return numbered.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "nth"), F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
