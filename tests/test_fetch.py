@@ -1,10 +1,14 @@
+import io
 import json
 import urllib.error
+import zipfile
 from datetime import date, datetime
 
 import pytest
 
-from tidemark.sources import fetch, readers
+from tidemark.config import StudyConfig
+from tidemark.plans import study
+from tidemark.sources import clients, fetch, readers
 
 
 class Net:
@@ -81,3 +85,49 @@ def test_prices_consensus_and_sample(spark, tmp_path):
     factors = spark.createDataFrame([(date(2019, 1, 1), 0.0), (date(2020, 1, 1), 0.0)], "date date, rf double")
     counts = fetch.build_sample({"prices": panel, "factors": factors}, spark.createDataFrame([("T1",), ("T1",)], "ticker string"), "2020-01-01", str(tmp_path / "s"))
     assert counts == {"prices": 1, "factors": 1}
+
+
+def zipped(text):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("x.csv", text)
+    return out.getvalue()
+
+
+def test_everything_lands_and_loads(spark, tmp_path):
+    """From nothing to the inputs of a study: two members, one without facts, and a benchmark."""
+    folder = tmp_path / "data"
+    folder.mkdir()
+    html = "<table><tr><th>Symbol</th><th>Security</th><th>GICS Sector</th><th>CIK</th><th>Date added</th></tr><tr><td>AAA</td><td>A</td><td>F</td><td>7</td><td>2010-02-16</td></tr><tr><td>BBB</td><td>B</td><td>F</td><td>8</td><td></td></tr></table>"
+    fetch.land_universe(html, str(folder / "universe.csv"))
+    block = {"accessionNumber": ["x"], "filingDate": ["2020-05-01"], "acceptanceDateTime": ["2020-05-01T21:00:00.000Z"], "form": ["8-K"], "items": ["2.02"]}
+    facts = {"units": {"USD/shares": [{"start": "2020-01-01", "end": "2020-03-31", "val": 1.0, "filed": "2020-05-01", "form": "10-Q", "fy": 2020, "fp": "Q1"}]}}
+
+    def get(url, agent):
+        if "0000000008" in url or "Basic" in url:
+            raise urllib.error.HTTPError(url, 404, "no", {}, None)
+        return json.dumps({"filings": {"recent": block, "files": []}} if "submissions" in url else facts).encode()
+
+    client = fetch.CachedJson(str(folder / "json"), "test", get, lambda: 0.0, lambda s: None)
+    files = {clients.THREE_FACTORS: "prose\n20200102,1.0,0.5,-0.5,0.01\n", clients.MOMENTUM: "20200102,0.25\n"}
+    prices = lambda tickers: [(date(2020, 1, 2), t, 1.0, 2.0) for t in tickers]
+    members = readers.universe(spark, fetch.universe_path(str(folder), "elsewhere.csv"))
+    run = lambda p: fetch.fetch_all(spark, str(folder), members, StudyConfig(), client, p, lambda name: zipped(files[name]), "test")
+    assert run(prices) == run(prices) == {"announcements": 1, "quarterly_eps": 1, "factors": 1, "prices": 3}
+    assert (folder / "prices.meta.json").exists() and (folder / "factors.meta.json").exists()
+    got = study.load_inputs(spark, str(folder))
+    assert got.consensus is None and [r.ticker for r in got.announcements.collect()] == ["AAA"] and got.universe.count() == 2
+    assert got.factors.first().mom == pytest.approx(0.0025) and got.eps.first().val == 1.0
+    with pytest.raises(RuntimeError, match="no prices"):
+        run(lambda tickers: [])
+    (folder / "universe.csv").unlink()
+    fetch.land_universe(html.replace("BBB", "CCC"), str(tmp_path / "pinned.csv"))
+    assert fetch.universe_path(str(folder), "pinned") == "pinned"
+    assert sorted(r.ticker for r in study.load_inputs(spark, str(folder), str(tmp_path / "pinned.csv")).universe.collect()) == ["AAA", "CCC"]
+    with pytest.raises(FileNotFoundError, match="fetch"):
+        study.load_inputs(spark, str(tmp_path / "nothing"))
+
+
+def test_a_missing_vendor_is_named():
+    with pytest.raises(RuntimeError, match="yfinance"):
+        list(clients.prices("2020-01-01", "2020-02-01")(["AAA"]))

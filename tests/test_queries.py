@@ -1,6 +1,8 @@
 """Queries against their SQL in DuckDB on the smallest tables, and the whole study end to end."""
 
+import json
 import math
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
@@ -8,6 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+import main
 from tidemark.plans import queries, study
 from tidemark.plans.adapters import BENCHMARK, Fixtures
 from tidemark.plans.oracles import ORACLES
@@ -55,7 +58,7 @@ def test_entry(spark):
 def test_study_end_to_end(spark, tmp_path):
     fx = Fixtures(spark, "/root/testdata/sf0.01")
     prices = fx.grid.select("session", "ticker", "open", "close")
-    cfg = queries.CFG.with_(n_bootstrap=40)
+    cfg = replace(queries.CFG, n_bootstrap=40)
     done = study.run_study(study.Inputs(fx.eps, fx.announcements, prices, fx.universe, fx.factors, fx.consensus), cfg)
     t = {k: v.collect() for k, v in done.tables.items()}
     audit = [r.n for r in t["sample_audit"]]
@@ -70,7 +73,16 @@ def test_study_end_to_end(spark, tmp_path):
     figures = study.figure_tables(done, fx.grid, cfg)
     assert {k[0] for k in figures} == set("123456789") and BENCHMARK == cfg.benchmark
     assert figures["2_bucket_d5"].count() == 3 and figures["8_legs"].count() == 3
-    n = done.tables["daily"].count()
+    n = done.tables["daily"].where("net_ret is not null").count()
     assert figures["6_equity"].count() == -(-n // 5)
+    assert figures["6_benchmark"].orderBy("session").first().growth == 1.0
+    assert [r.is_highest for r in figures["7_decay"].orderBy("spread").collect()].count(True) == 1 and figures["4_means"].first().gap is not None
+    assert {"ci_low", "ci_high", "mean_y"} <= set(figures["1_bins"].columns)
+    sinks.save_events(done.events, str(tmp_path / "panel"), cfg, "test", "made here")
+    side = json.loads((tmp_path / "panel.meta.json").read_text())
+    assert side["n_events"] == audit[-1] == sinks.load_events(spark, str(tmp_path / "panel")).count() and side["beat_threshold_sigma"] == cfg.beat_threshold
+    with pytest.raises(FileNotFoundError, match="main.py study"):
+        sinks.load_events(spark, str(tmp_path / "none"))
+    assert len(main.headline(done, "abdrift_d20")) == 1 + 3 + 2 + 2
     paths = sinks.write_results({k: done.tables[k] for k in ("sample_audit", "daily")}, str(tmp_path), "test", "made here", "2001-12-31")
     assert all(Path(p + ".meta.json").exists() for p in paths) and spark.read.option("header", True).csv(paths[0]).count() == len(audit)

@@ -40,16 +40,22 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def required_sample_size(effect: float, sd: float, power: float = 0.8, alpha: float = 0.05, variance_inflation: float = 1.0) -> float:
-    """Events, both arms together, that find ``effect`` with the power."""
+def required_sample_size(effect: float, sd: float, power: float = 0.8, alpha: float = 0.05, variance_inflation: float | None = None, icc: float = 0.0, cluster_size: float = 1.0) -> float:
+    """Events, both arms together, that find ``effect`` with the power. Clustering enters as a measured inflation of the
+    variance or, without one, as the design effect of clusters of a size with an intra-cluster correlation."""
     if effect == 0 or sd <= 0:
         return math.inf
+    if variance_inflation is None:
+        variance_inflation = 1 + (cluster_size - 1) * icc
     z = NORMAL.inv_cdf(1 - alpha / 2) + NORMAL.inv_cdf(power)
     return 2 * (2 * (z * sd / effect) ** 2) * variance_inflation
 
 
 def achieved_power(effect: float, se: float, alpha: float = 0.05) -> float:
-    return NORMAL.cdf(abs(effect) / se - NORMAL.inv_cdf(1 - alpha / 2)) if se > 0 else math.nan
+    """Chance that another sample of this design rejects; NaN where the effect or its error is not finite, or there is none."""
+    if not (math.isfinite(effect) and math.isfinite(se) and se > 0):
+        return math.nan
+    return NORMAL.cdf(abs(effect) / se - NORMAL.inv_cdf(1 - alpha / 2))
 
 
 def effective_sample_size(n: int, cluster_sizes: list[int], icc: float) -> float:

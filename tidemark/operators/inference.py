@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 
 from tidemark import schema
 from tidemark.functions import stats
+from tidemark.operators import ranks
 from tidemark.operators.fundamentals import BEAT, MISS
+from tidemark.session import checkpointed
 
 Z95 = 1.959963984540054
 NW_Z = Z95
+#: Draws that turn no sign, or all of them, give the statistic itself; rounding must not decide whether they reach it.
+TIE = 1e-9
 
 
 def by_metric(events: DataFrame, metrics: Sequence[str], cluster: str = "season") -> DataFrame:
@@ -144,7 +148,7 @@ def md5_signs(stats_: DataFrame, draws: int, seed: int) -> DataFrame:
 
 def first_seen(events: DataFrame, metrics: Sequence[str], order: Sequence[str], cluster: str = "season") -> DataFrame:
     """metric, season, place (from 0, in the order in which Beat and Miss rows first show a season), n_obs."""
-    arms = events.where(F.col("category").isin(BEAT, MISS)).withColumn("_i", F.row_number().over(Window.orderBy(*order)))
+    arms = ranks.with_sum_before(events.where(F.col("category").isin(BEAT, MISS)), order, None, "_i")
     long = arms.select("_i", F.col(cluster).alias("season"), *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(["_i", "season"], list(metrics), "metric", "value").where("value IS NOT NULL")
     seasons = long.groupBy("metric", "season").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
     own = Window.partitionBy("metric")
@@ -179,7 +183,7 @@ def wild_bootstrap(long: DataFrame, draws: int = 10_000, seed: int = 0, seen: Da
     signs = md5_signs(rs, draws, seed) if seen is None else numpy_signs(rs, seen, draws, seed)
     seen = _cluster_t(rs.withColumn("w", F.lit(1.0)), ["metric"])
     drawn = _cluster_t(signs, ["metric", "draw"]).where(F.col("t").isNotNull()).select("metric", F.col("t").alias("t_drawn"))
-    p = drawn.join(F.broadcast(seen.select("metric", "t")), "metric").groupBy("metric").agg(F.greatest(F.avg((F.abs("t_drawn") >= F.abs("t")).cast("double")), 1.0 / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    p = drawn.join(F.broadcast(seen.select("metric", "t")), "metric").groupBy("metric").agg(F.greatest(F.avg((F.abs("t_drawn") >= F.abs("t") * (1 - TIE)).cast("double")), 1.0 / (F.count(F.lit(1)) + 1)).alias("p_value"))
     out = seen.join(F.broadcast(p), "metric", "left")
     return out.select("metric", F.col("slope").alias("estimate"), F.col("se").alias("std_error"), F.col("t").alias("statistic"), "p_value", "n_obs", "n_clusters", (F.col("slope") - 1.96 * F.col("se")).alias("ci_low"), (F.col("slope") + 1.96 * F.col("se")).alias("ci_high"))
 
@@ -204,7 +208,7 @@ def with_t_tail(rows: DataFrame) -> DataFrame:
 
 def run_inference(events: DataFrame, metrics: dict[str, str], draws: int, seed: int) -> DataFrame:
     """metrics: column -> label. The result schema and icc_season: three tests a metric."""
-    long = by_metric(events, list(metrics)).persist()
+    long = checkpointed(by_metric(events, list(metrics)))
     seasons = season_stats(long)
     names = ["metric", "estimate", "std_error", "statistic", "p_value", "n_obs", "n_clusters", "ci_low", "ci_high"]
     none = F.lit(None).cast("double")
@@ -306,10 +310,10 @@ def calendar_time_alpha(portfolio: DataFrame, factors: DataFrame, column: str =
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, rank_correlation: Pearson's of average ranks, over rows where both are known."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-    return both.select(rank(x).alias("rx"), rank(y).alias("ry")).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rank_correlation"))
+    """n, rank_correlation: Pearson's of average ranks, over rows where both are known. Values are ranked once each."""
+    both = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y")))
+    ranked = both.join(ranks.average_rank(both, "x", "rx"), "x").join(ranks.average_rank(both, "y", "ry"), "y")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rank_correlation"))
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int, right_closed: bool) -> DataFrame:
@@ -333,7 +337,10 @@ def bin_medians(panel: DataFrame, x: str, y: str, bins: int = 20, min_n: int = 2
 
 
 def kde_grid(panel: DataFrame, metric: str, buckets: Sequence[str] = (BEAT, MISS), points: int = 256, trim: float = 0.005) -> DataFrame:
-    """category, x, density: Gaussian kernel density at ``points`` places between the trimmed quantiles, Scott's bandwidth."""
+    """category, x, density: Gaussian kernel density at ``points`` places between the trimmed quantiles, Scott's bandwidth.
+
+    Every row adds to every place, so the work is rows times places; a task sums them before anything is shuffled, and
+    what is shuffled is a row for each bucket and place of each task."""
     usable = panel.where(F.col(metric).isNotNull()).select("category", F.col(metric).alias("v"))
     ends = usable.agg(F.percentile("v", F.array(F.lit(trim), F.lit(1 - trim))).alias("e"))
     inside = usable.where(F.col("category").isin(*buckets)).join(F.broadcast(ends)).where((F.col("v") >= F.col("e")[0]) & (F.col("v") <= F.col("e")[1]))
@@ -350,13 +357,21 @@ def linear_fit(panel: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.pow(F.corr(x, y), F.lit(2.0)).alias("r2"))
 
 
+#: Cumulative probabilities of the Poisson distribution with mean 1.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726562, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
 def linear_fit_band(panel: DataFrame, x: str, y: str, row_id: Sequence[str], points: int = 50, draws: int = 400, seed: int = 0) -> DataFrame:
-    """x, low, high: 95 % band of the fitted line over event resamples. A draw's weight of an event is how often MD5 picks
-    its number, so a draw is a weighted fit from five sums."""
-    both = panel.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), *row_id)
-    rows = both.withColumn("i", F.row_number().over(Window.orderBy(*row_id)) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    picks = rows.select(F.col("i").alias("slot"), "n").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", F.pmod(md5_int(F.lit(seed), F.col("draw"), F.col("slot")), F.col("n")).cast("int").alias("i"))
-    fits = picks.join(rows, "i").groupBy("draw").agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"))
+    """x, low, high: 95 % band of the fitted line over event resamples.
+
+    In a draw each event counts a Poisson number of times with mean 1, which MD5 of the draw and the event's id gives, so
+    events need no numbers and no join: a task adds its events to five sums a draw, and those are all that is shuffled."""
+    both = panel.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.concat_ws("|", *row_id).alias("id"))
+    drawn = both.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("u", md5_int(F.lit(seed), F.col("draw"), F.col("id")) / float(1 << 32))
+    w = sum(((F.col("u") >= p).cast("int") for p in POISSON), F.lit(0))
+    sums = drawn.withColumn("w", w.cast("double")).groupBy("draw").agg(*(F.sum(e).alias(n) for n, e in (("n", F.col("w")), ("sx", F.col("w") * F.col("x")), ("sy", F.col("w") * F.col("y")), ("sxx", F.col("w") * F.col("x") * F.col("x")), ("sxy", F.col("w") * F.col("x") * F.col("y")))))
+    slope = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
+    fits = sums.withColumn("a", slope).withColumn("b", F.try_divide(F.col("sy") - F.col("a") * F.col("sx"), F.col("n")))
     ends = both.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     at = fits.join(F.broadcast(ends)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("p") / (points - 1))
     return at.groupBy("p").agg(F.first("x").alias("x"), F.percentile(F.col("a") * F.col("x") + F.col("b"), F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select("x", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
@@ -374,5 +389,18 @@ def group_means(panel: DataFrame, metric: str, group: Column, draws: int = 600,
     return out.select("metric", "mean", "n", F.when(F.col("g") >= 2, F.col("ci")[0]).alias("ci_low"), F.when(F.col("g") >= 2, F.col("ci")[1]).alias("ci_high"))
 
 
+def bin_intervals(panel: DataFrame, x: str, y: str, bins: int = 20, min_n: int = 20, draws: int = 600, seed: int = 0) -> DataFrame:
+    """:func:`bin_medians` with mean_y and the interval of that mean over resampled seasons; bins in few rows are left out."""
+    both = quantile_bins(panel.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, bins, right_closed=False)
+    means = group_means(both, y, F.col("bin"), draws, seed).select(F.col("metric").alias("bin"), F.col("mean").alias("mean_y"), "ci_low", "ci_high")
+    return bin_medians(panel, x, y, bins, min_n).join(means, "bin")
+
+
+def bucket_gap(panel: DataFrame, metric: str) -> DataFrame:
+    """mean_beat, mean_miss, gap and sd_all (of all events, over n), of every event: nothing is trimmed."""
+    mean = lambda c: F.avg(F.when(F.col("category") == c, F.col(metric)))
+    return panel.where(F.col(metric).isNotNull()).agg(mean(BEAT).alias("mean_beat"), mean(MISS).alias("mean_miss"), (mean(BEAT) - mean(MISS)).alias("gap"), F.stddev_pop(metric).alias("sd_all"))
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col(a) == F.col(b)).cast("double")) * 100).alias("bucket_agreement_pct"))

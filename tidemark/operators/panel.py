@@ -116,9 +116,10 @@ def point_in_time(known_by: Column, accepted_utc: Column) -> Column:
 
 
 def with_membership(events: DataFrame, universe: DataFrame, on: str = "announcement_date") -> DataFrame:
-    """Adds member: the ticker had joined by then. Unknown tickers and undated members count as members."""
-    joined = universe.select("ticker", F.col("date_added").alias("_added")).dropDuplicates(["ticker"])
-    return events.join(F.broadcast(joined), "ticker", "left").withColumn("member", F.col("_added").isNull() | (F.col("_added") <= F.col(on))).drop("_added")
+    """Adds member: the ticker had joined by then. Unknown tickers and undated members count as members; of several dates
+    of a ticker the first counts, and no date before any."""
+    joined = universe.groupBy("ticker").agg(F.when(F.count("date_added") == F.count(F.lit(1)), F.min("date_added")).alias("_added"))
+    return events.join(joined, "ticker", "left").withColumn("member", F.col("_added").isNull() | (F.col("_added") <= F.col(on))).drop("_added")
 
 
 def members_on(universe: DataFrame, day: str) -> DataFrame:

@@ -31,7 +31,7 @@ class CostModel:
 
     @property
     def impact_bps(self) -> float:
-        return self.assumptions.impact_coef_bps * math.sqrt(self.assumptions.participation_rate)
+        return self.assumptions.impact_coef_bps * math.sqrt(max(0.0, self.assumptions.participation_rate))
 
     @property
     def one_way_bps(self) -> float:
@@ -47,6 +47,14 @@ class CostModel:
     def borrow_bps_daily(self) -> float:
         return self.assumptions.borrow_bps_annual / TRADING_DAYS
 
+    def turnover_cost(self, traded: float) -> float:
+        """What trading a share of the capital costs, as a return."""
+        return traded * self.one_way_bps / 1e4
+
+    def borrow_cost(self, short: float) -> float:
+        """What a session's loan of a short share of the capital costs, as a return; the sign of the share does not matter."""
+        return abs(short) * self.borrow_bps_daily / 1e4
+
     def with_round_trip_bps(self, bps: float) -> CostModel:
         return replace(self, forced_round_trip_bps=bps)
 
@@ -183,18 +191,19 @@ def cost_curve(book: DataFrame, model: CostModel, grid_bps: Sequence[float] = CO
 
 
 def break_even_cost_bps(evaluate: Callable[[float], float], lo: float = 0.0, hi: float = 1000.0, tolerance: float = 0.05, max_iter: int = 60) -> float:
-    """The round-trip cost at which ``evaluate`` reaches 0: bisection to a width under the tolerance, then the middle.
-    0 if nothing is earned without costs, infinite if something is left at ``hi``."""
-    if evaluate(lo) <= 0:
+    """The round-trip cost at which ``evaluate`` reaches 0: the middle of the first interval narrower than the tolerance,
+    after so many halvings of [lo, hi] as its width asks for. 0 if nothing is earned without costs, infinite if something
+    is left at ``hi``."""
+    if not evaluate(lo) > 0:
         return 0.0
     if evaluate(hi) > 0:
         return math.inf
-    for _ in range(max_iter):
-        middle = (lo + hi) / 2
-        lo, hi = (middle, hi) if evaluate(middle) > 0 else (lo, middle)
-        if hi - lo < tolerance:
-            break
-    return (lo + hi) / 2
+    width, halvings = hi - lo, 1
+    while width / 2**halvings >= tolerance and halvings < max_iter:
+        halvings += 1
+    for i in range(1, halvings + 1):
+        lo += width / 2**i * (evaluate(lo + width / 2**i) > 0)
+    return lo + width / 2 ** (halvings + 1)
 
 
 def net_return_at_cost(book: DataFrame, model: CostModel) -> Callable[[float], float]:

@@ -31,11 +31,11 @@ def day_map(cal: DataFrame) -> DataFrame:
     (last on or before), is_session."""
     ends = cal.agg(F.min("session").alias("lo"), F.max("session").alias("hi")).where("lo is not null")
     days = ends.select(F.explode(F.sequence("lo", "hi")).alias("day")).join(F.broadcast(cal), F.col("day") == F.col("session"), "left")
-    order = Window.orderBy("day")
+    known_by = lambda order: F.last("session_pos", ignorenulls=True).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return days.select(
         "day",
-        F.first("session_pos", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("forward_pos"),
-        F.last("session_pos", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("backward_pos"),
+        known_by(F.desc("day")).alias("forward_pos"),
+        known_by(F.asc("day")).alias("backward_pos"),
         F.col("session").isNotNull().alias("is_session"),
     )
 
@@ -111,7 +111,7 @@ def lookahead_violations(fills: DataFrame, utc: str, session: str, entry_timing:
 def assert_no_lookahead(fills: DataFrame, utc: str, session: str, entry_timing: str) -> None:
     bad = lookahead_violations(fills, utc, session, entry_timing).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(F.col("fill_utc"), F.col(utc).alias("announced")), F.struct(utc, "fill_utc")).alias("first")).first()
     if bad["n"]:
-        raise AssertionError(f"look-ahead: {bad['n']} fills are at or before their announcement; first is fill {bad['first']['fill_utc']} vs announcement {bad['first']['announced']}")
+        raise AssertionError(f"look-ahead in {bad['n']} rows, the earliest announced {bad['first']['announced']} and filled {bad['first']['fill_utc']}")
 
 
 # -- as-of joins
@@ -119,12 +119,14 @@ def assert_no_lookahead(fills: DataFrame, utc: str, session: str, entry_timing:
 
 def asof_forward(left: DataFrame, right: DataFrame, by: str, left_key: str, right_key: str, take: Sequence[str], tolerance_days: int, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Every row of ``left`` with the columns ``take`` of the first row of ``right`` at or after its key, null if there is
-    none within the tolerance (inclusive). Of rows with one key the first by ``tiebreak``. Keys are dates."""
+    none within the tolerance (inclusive). Of rows with one key the first by ``tiebreak``. Keys are dates.
+
+    The window goes backward in time, so what is ahead of a row has been seen: a running value, one step a row."""
     payload = F.struct(F.col(right_key).alias("_key"), *(F.col(c).alias(c) for c in take))
     rights = right.where(F.col(right_key).isNotNull()).select(F.col(by).alias("_by"), F.col(right_key).alias("_at"), F.lit(1).alias("_kind"), F.struct(*(F.col(c).alias(f"t{i}") for i, c in enumerate(tiebreak or [right_key]))).alias("_tie"), payload.alias("_hit"))
     lefts = left.select(F.col(by).alias("_by"), F.col(left_key).alias("_at"), F.lit(0).alias("_kind"), F.struct(*(F.col(c) for c in left.columns)).alias("_row"))
-    ahead = Window.partitionBy("_by").orderBy("_at", "_kind", "_tie").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    joined = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_next", F.first("_hit", ignorenulls=True).over(ahead)).where("_kind = 0")
+    ahead = Window.partitionBy("_by").orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_next", F.last("_hit", ignorenulls=True).over(ahead)).where("_kind = 0")
     near = F.datediff("_next._key", "_at") <= tolerance_days
     return joined.select("_row.*", *(F.when(near, F.col(f"_next.{c}")).alias(c) for c in take))
 

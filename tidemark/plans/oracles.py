@@ -7,7 +7,7 @@ from tidemark.plans.adapters import BENCHMARK, duckdb_ctes
 
 WINDOWS = (0, 1, 5, 10, 20)
 METRICS = ("abret_d0", "abret_d20", "abdrift_d5", "abdrift_d20")
-DRAWS, SEED = 400, 20240719
+DRAWS, CURVE_DRAWS, BAND_DRAWS, SEED = 10_000, 2000, 400, 20240719
 
 
 def r(expression: str, name: str = "", places: int = 6) -> str:
@@ -139,11 +139,26 @@ sw AS (SELECT l.metric, sum((l.value - gr.m) ** 2) AS ssw FROM {0} l JOIN gr USI
 sb AS (SELECT gr.metric, count(*) AS k, sum(n) AS n, sum(n * n) AS n2, sum(n * (m - mm) ** 2) AS ssb FROM gr JOIN grand USING (metric) GROUP BY gr.metric),
 ic AS (SELECT metric, ssb / (k - 1) AS msb, ssw / greatest(n - k, 1) AS msw, (n - n2 / n) / (k - 1) AS m0 FROM sb JOIN sw USING (metric)),
 icc_ AS (SELECT metric, greatest((msb - msw) / greatest(m0, 1e-9), 0) / (greatest((msb - msw) / greatest(m0, 1e-9), 0) + msw) AS icc FROM ic)"""
-ROLL = """,
+
+
+def roll(width: int, least: int) -> str:
+    return f""",
 one AS (SELECT *, row_number() OVER (ORDER BY season) AS i FROM ss WHERE metric = 'abdrift_d20'),
-win AS (SELECT e.season AS metric, o.season, o.beat_sum, o.beat_n, o.miss_sum, o.miss_n FROM one e JOIN one o ON o.i BETWEEN e.i - 5 AND e.i WHERE e.i >= 6),
-ok AS (SELECT metric, {0} AS spread, sum(beat_n) AS n_beat, sum(miss_n) AS n_miss FROM win GROUP BY metric HAVING sum(beat_n) + sum(miss_n) >= 20),
-num AS (SELECT win.*, row_number() OVER (PARTITION BY metric ORDER BY season) - 1 AS g, count(*) OVER (PARTITION BY metric) AS clusters FROM win WHERE metric IN (SELECT metric FROM ok))""".format(SPREAD)
+win AS (SELECT e.season AS metric, o.season, o.beat_sum, o.beat_n, o.miss_sum, o.miss_n FROM one e JOIN one o ON o.i BETWEEN e.i - {width - 1} AND e.i WHERE e.i >= {width}),
+ok AS (SELECT metric, {SPREAD} AS spread, sum(beat_n) AS n_beat, sum(miss_n) AS n_miss FROM win GROUP BY metric HAVING sum(beat_n) + sum(miss_n) >= {least}),
+num AS (SELECT win.*, row_number() OVER (PARTITION BY metric ORDER BY season) - 1 AS g, count(*) OVER (PARTITION BY metric) AS clusters FROM win WHERE metric IN (SELECT metric FROM ok))"""
+
+
+def rolled(width: int, least: int) -> str:
+    return LONG + roll(width, least) + drawn(CURVE_DRAWS) + f""", ci AS (SELECT metric, quantile_cont(v, [0.05, 0.95]) AS q FROM drawn WHERE v IS NOT NULL GROUP BY metric)
+        SELECT metric AS season, {ENDED} AS end_date, {r('spread')}, {r('q[1]', 'ci_low')}, {r('q[2]', 'ci_high')}, (n_beat + n_miss)::BIGINT AS n_events, n_beat::BIGINT AS n_beat, n_miss::BIGINT AS n_miss FROM ok LEFT JOIN ci USING (metric)"""
+
+
+def quintiles(least: int) -> str:
+    cells = (f"SELECT 'Q' || bin AS quintile, {w}::BIGINT AS horizon, count(abret_d{w})::BIGINT AS n, {r(f'CASE WHEN count(abret_d{w}) >= {least} THEN avg(abret_d{w}) END', 'mean_abret')} FROM b GROUP BY bin" for w in WINDOWS)
+    return EVENTS + ", b AS " + BINS("sue", "[0.2, 0.4, 0.6, 0.8]", ">", "events") + " " + " UNION ALL ".join(cells)
+
+
 ENDED = "last_day(make_date(substr(metric, 1, 4)::INT, substr(metric, 6, 1)::INT * 3, 1))"
 WILD = f""",
 arms AS (SELECT l.*, value - avg(value) OVER (PARTITION BY metric) AS res FROM long l WHERE category IN ('Beat', 'Miss')),
@@ -153,7 +168,7 @@ signed AS (SELECT *, -1 AS draw, 1 AS w FROM rg UNION ALL SELECT rg.*, d.draw, 1
 bm AS (SELECT *, sum(w * sb) OVER (PARTITION BY metric, draw) / tb AS B, sum(w * sm) OVER (PARTITION BY metric, draw) / tm AS M FROM signed),
 tt AS (SELECT metric, draw, any_value(B - M) AS slope, any_value(tb + tm) AS n, any_value(gg) AS gg, sqrt(any_value(gg / (gg - 1) * (tb + tm - 1) / (tb + tm - 2)) * sum(((w * sb - nb * B) / tb - (w * sm - nm * M) / tm) ** 2)) AS se FROM bm GROUP BY metric, draw),
 seen AS (SELECT *, slope / se AS t FROM tt WHERE draw = -1),
-pv AS (SELECT s.metric, greatest(avg((abs(d.slope / d.se) >= abs(s.t))::INT), 1.0 / (count(*) + 1)) AS p_value FROM tt d JOIN seen s USING (metric) WHERE d.draw >= 0 GROUP BY s.metric)"""
+pv AS (SELECT s.metric, greatest(avg((abs(d.slope / d.se) >= abs(s.t) * (1 - 1e-9))::INT), 1.0 / (count(*) + 1)) AS p_value FROM tt d JOIN seen s USING (metric) WHERE d.draw >= 0 GROUP BY s.metric)"""
 METRIC_COLUMNS = """n_trades::BIGINT AS n_trades, n_long_trades::BIGINT AS n_long_trades, n_short_trades::BIGINT AS n_short_trades"""
 FILLS = " UNION ALL ".join(
     f"SELECT '{name}' AS fill, count(*)::BIGINT AS n FROM placed p JOIN cal c ON c.pos = p.reaction_pos + {extra} WHERE ((c.session + TIME '{clock}') AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' <= p.accepted_utc"
@@ -187,6 +202,82 @@ def _curve(timing: str) -> str:
 
 BINS = lambda col, edges, op, src: f"""(SELECT *, 1 + len(list_filter(cuts, lambda c: {col} {op} c)) AS bin FROM {src}, (SELECT quantile_cont({col}, {edges}) AS cuts FROM {src}))"""
 
+def t_tail(t: str, df: str) -> str:
+    """Two-sided tail of Student's t, by Simpson's rule over the density between 0 and |t|."""
+    return f"""(SELECT 1 - sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs({t}) * i / 2000, 2) / {df}, -({df} + 1) / 2)) * abs({t}) / 3000 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) FROM range(2001) s(i))"""
+
+
+def normal_tail(z: str) -> str:
+    return f"""(SELECT 1 - sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow({z} * i / 2000, 2) / 2)) * abs({z}) / 3000 / sqrt(2 * pi()) FROM range(2001) s(i))"""
+
+
+def tested(metrics: str = "long") -> str:
+    """welch_, boot_ and wild_: the three tests of every metric of ``long``; needs LONG, drawn draws and WILD."""
+    arm = lambda c: f"count(*) FILTER (category = '{c}') AS n{c[0]}, avg(value) FILTER (category = '{c}') AS a{c[0]}, var_samp(value) FILTER (category = '{c}') / count(*) FILTER (category = '{c}') AS e{c[0]}"
+    return f""",
+wm AS (SELECT metric, count(DISTINCT season) AS g, {arm("Beat")}, {arm("Miss")} FROM {metrics} GROUP BY metric),
+wt AS (SELECT *, (aB - aM) / sqrt(eB + eM) AS t, (eB + eM) ** 2 / (eB * eB / (nB - 1) + eM * eM / (nM - 1)) AS df FROM wm),
+welch_ AS (SELECT metric, aB - aM AS estimate, sqrt(eB + eM) AS std_error, t AS statistic, {t_tail("t", "df")} AS p_value, nB + nM AS n_obs, g AS n_clusters, aB - aM - 1.96 * sqrt(eB + eM) AS ci_low, aB - aM + 1.96 * sqrt(eB + eM) AS ci_high FROM wt),
+bp AS (SELECT metric, {SPREAD} AS e, sum(beat_n + miss_n) AS n, count(*) AS g FROM ss GROUP BY metric),
+boot_ AS (SELECT bp.metric, any_value(e) AS estimate, stddev_samp(v) AS std_error, NULL::DOUBLE AS statistic, greatest(avg((abs(v - e) >= abs(e))::INT), 1.0 / (count(*) + 1)) AS p_value, any_value(n) AS n_obs, any_value(g) AS n_clusters, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high
+  FROM bp JOIN drawn USING (metric) WHERE v IS NOT NULL GROUP BY bp.metric)"""
+
+
+LABELS = {"abret_d0": "Day 0", "abret_d20": "Day 0-20", "abdrift_d5": "Drift 1-5", "abdrift_d20": "Drift 1-20"}
+
+
+def _inference() -> str:
+    shown = f"metric, {r('estimate')}, {r('std_error')}, {r('statistic')}, {r('p_value')}, n_obs::BIGINT AS n_obs, n_clusters::BIGINT AS n_clusters, {r('ci_low')}, {r('ci_high')}, {r('icc', 'icc_season')}"
+    label = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{t}'" for m, t in LABELS.items()) + " END AS label"
+    return LONG + NUMBERED + drawn(DRAWS) + WILD + ICC.format("long") + tested() + ", wild_ AS (SELECT metric, slope AS estimate, se AS std_error, t AS statistic, p_value, n AS n_obs, gg AS n_clusters, slope - 1.96 * se AS ci_low, slope + 1.96 * se AS ci_high FROM seen JOIN pv USING (metric)) " + " UNION ALL ".join(
+        f"SELECT '{method}' AS method, {label}, {shown} FROM {table} JOIN icc_ USING (metric)" for method, table in (("welch_t", "welch_"), ("season_block_bootstrap", "boot_"), ("wild_cluster_bootstrap_t", "wild_"))
+    )
+
+
+def _alpha(column: str, excess: bool) -> str:
+    """CTEs that end in al_<column>: least squares by Gauss-Jordan steps on the Gram matrix beside the unit matrix, then
+    lagged products of the scores with Bartlett weights."""
+    k, p = 5, column.removesuffix("_ret")
+    cell = lambda i, j: f"c{i}_{j}"
+    steps, before = [], f"{p}g"
+    for s in range(k):
+        rows = [f"{cell(s, j)} / {cell(s, s)} AS {cell(s, j)}" if i == s else f"{cell(i, j)} - {cell(i, s)} * {cell(s, j)} / {cell(s, s)} AS {cell(i, j)}" for i in range(k) for j in range(2 * k)]
+        steps.append(f"{p}s{s} AS (SELECT {', '.join(rows)}, {', '.join(f'm{i}' for i in range(k))} FROM {before})")
+        before = f"{p}s{s}"
+    gram = ", ".join([f"sum(x{i} * x{j}) AS {cell(i, j)}" for i in range(k) for j in range(k)] + [f"{float(i == j)} AS {cell(i, j + k)}" for i in range(k) for j in range(k)] + [f"sum(x{i} * y) AS m{i}" for i in range(k)])
+    beta = ", ".join(" + ".join(f"{cell(i, j + k)} * m{j}" for j in range(k)) + f" AS b{i}" for i in range(k))
+    fitted = " + ".join(f"x{i} * b{i}" for i in range(k))
+    weight = "CASE WHEN a.t = b.t THEN 1 ELSE 1 - abs(a.t - b.t) / 21.0 END"
+    middle = ", ".join(f"sum({weight} * a.e{i} * b.e{j}) AS h{i}_{j}" for i in range(k) for j in range(k))
+    variance = " + ".join(f"{cell(0, i + k)} * h{i}_{j} * {cell(j, k)}" for i in range(k) for j in range(k))
+    return f""",
+{p}r AS (SELECT {column} {'- f.rf' if excess else ''} AS y, 1.0::DOUBLE AS x0, mkt_rf AS x1, smb AS x2, hml AS x3, mom AS x4, row_number() OVER (ORDER BY session) AS t FROM ct JOIN factors f ON f.date = ct.session WHERE {column} IS NOT NULL AND mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL AND f.rf IS NOT NULL),
+{p}g AS (SELECT {gram} FROM {p}r), {", ".join(steps)},
+{p}b AS (SELECT {beta} FROM {before}), {p}e AS (SELECT t, {", ".join(f"x{i} * (y - ({fitted})) AS e{i}" for i in range(k))} FROM {p}r, {p}b),
+{p}h AS (SELECT {middle} FROM {p}e a JOIN {p}e b ON abs(a.t - b.t) <= 20),
+{p}v AS (SELECT b0, b1, b2, b3, b4, sqrt({variance}) AS se FROM {before}, {p}h, {p}b),
+al_{column} AS (SELECT '{column}' AS portfolio, {r('b0 * 1e4', 'alpha_bps')}, {r('se * 1e4', 'std_error_bps')}, {r('b0 / se', 't')}, {r(normal_tail('(b0 / se)'), 'p_value')}, {r('(b0 - 1.959963984540054 * se) * 1e4', 'ci_low_bps')}, {r('(b0 + 1.959963984540054 * se) * 1e4', 'ci_high_bps')},
+  {r('b1', 'beta_mkt_rf')}, {r('b2', 'beta_smb')}, {r('b3', 'beta_hml')}, {r('b4', 'beta_mom')}, (SELECT count(*) FROM {p}r)::BIGINT AS n_obs FROM {p}v)"""
+
+
+def _definitions() -> str:
+    by = {"SUE (point-in-time)": "CASE WHEN sue > 1 THEN 'Beat' WHEN sue < -1 THEN 'Miss' ELSE 'In-Line' END", "percent of consensus (not point-in-time)": "CASE WHEN pct_surprise > 5 THEN 'Beat' WHEN pct_surprise < -5 THEN 'Miss' ELSE 'In-Line' END"}
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS metric, season, {bucket} AS category, abdrift_d20 AS value FROM both_ WHERE sue IS NOT NULL" for name, bucket in by.items())
+    leg = lambda c, k: f"coalesce(sum(value) FILTER (category = '{c}'), 0) AS {k}_sum, count(*) FILTER (category = '{c}') AS {k}_n"
+    first, second = by.values()
+    return BOTH + f""", long AS ({rows}), ss AS (SELECT metric, season, {leg("Beat", "beat")}, {leg("Miss", "miss")} FROM long GROUP BY ALL){NUMBERED}{drawn(DRAWS)}{tested()},
+rk AS (SELECT rank() OVER (ORDER BY sue) + (count(*) OVER (PARTITION BY sue) - 1) / 2 AS a, rank() OVER (ORDER BY pct_surprise) + (count(*) OVER (PARTITION BY pct_surprise) - 1) / 2 AS b FROM both_ WHERE sue IS NOT NULL),
+ov AS (SELECT count(*) AS n, min(announcement_date) AS d0, max(announcement_date) AS d1, avg(({first} = {second})::INT) * 100 AS agree FROM both_ WHERE sue IS NOT NULL)
+SELECT w.metric AS definition, (SELECT count(*) FROM long l WHERE l.metric = w.metric AND category = 'Beat')::BIGINT AS n_beat, (SELECT count(*) FROM long l WHERE l.metric = w.metric AND category = 'Miss')::BIGINT AS n_miss, {r('w.estimate', 'drift_d20_spread_pp')}, {r('w.p_value', 'p_naive')}, {r('b.p_value', 'p_season_clustered')},
+  ov.n::BIGINT AS n_overlap_events, d0 AS first_overlap, d1 AS last_overlap, {r('(SELECT corr(a, b) FROM rk)', 'rank_correlation')}, {r('agree', 'bucket_agreement_pct')} FROM welch_ w JOIN boot_ b ON b.metric = w.metric, ov"""
+
+
+def _break_even(timing: str, side: str) -> str:
+    """The search halves [0, 1000] fifteen times, so its answer is the middle of the last of 32768 cells that starts above zero."""
+    return f"""SELECT '{timing}' AS entry_timing, '{side}' AS legs, {r("CASE WHEN max(total) FILTER (k = 0) <= 0 THEN 0 WHEN max(total) FILTER (k = 32768) > 0 THEN 'inf'::DOUBLE ELSE (max(k) FILTER (total > 0) + 0.5) * 1000 / 32768 END", "break_even_round_trip_bps")}
+      FROM (SELECT k, product(1 + coalesce(gross_ret + {0.002 if side == 'lifted' else 0.0} - turnover * (k * 1000.0 / 32768) / 2e4 - short_exposure * 40.0 / 252 / 1e4, 0)) - 1 AS total FROM book_{timing}, range(32769) s(k) GROUP BY k)"""
+
+
 ORACLES: dict[str, str] = {
     "drop_empty": BASE + " SELECT ticker, count(*)::BIGINT AS n, count(*)::BIGINT AS closes FROM prices WHERE ticker NOT IN ('Brand#3', 'Brand#7') GROUP BY ticker",
     "panel_subset": BASE + " SELECT ticker, count(*)::BIGINT AS n FROM prices WHERE ticker IN (SELECT ticker FROM universe WHERE cik <= 5) GROUP BY ticker",
@@ -247,29 +338,46 @@ ORACLES: dict[str, str] = {
     "calendar_time": EVENTS + CT + f" SELECT session, {r('long_ret')}, n_long::BIGINT AS n_long, {r('short_ret')}, n_short::BIGINT AS n_short, {r('spread_ret')} FROM ct",
     "hac_moments": EVENTS + CT + ", m AS (SELECT spread_ret AS y, mkt_rf AS x1, smb AS x2, hml AS x3, mom AS x4 FROM ct JOIN factors f ON f.date = ct.session WHERE spread_ret IS NOT NULL AND mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL AND rf IS NOT NULL) SELECT count(*)::BIGINT AS n, "
     + ", ".join([r("sum(y)", "y"), *(r(f"sum(x{i} * y)", f"x{i}y") for i in range(1, 5)), *(r(f"sum(x{i} * x{j})", f"x{i}x{j}") for i in range(1, 5) for j in range(i, 5))]) + " FROM m",
-    "rolling_spread": LONG + ROLL + drawn(DRAWS) + f""", ci AS (SELECT metric, quantile_cont(v, [0.05, 0.95]) AS q FROM drawn WHERE v IS NOT NULL GROUP BY metric)
-        SELECT metric AS season, {ENDED} AS end_date, {r('spread')}, {r('q[1]', 'ci_low')}, {r('q[2]', 'ci_high')}, (n_beat + n_miss)::BIGINT AS n_events, n_beat::BIGINT AS n_beat, n_miss::BIGINT AS n_miss FROM ok LEFT JOIN ci USING (metric)""",
-    "trend": LONG + ROLL + f""", c AS (SELECT spread, {ENDED} AS d FROM ok), y AS (SELECT spread, d, (d - (SELECT min(d) FROM c)) / 365.25 AS x FROM c WHERE spread IS NOT NULL)
+    "rolling_spread": rolled(12, 50),
+    "rolling_spread_short": rolled(6, 20),
+    "trend": LONG + roll(6, 20) + f""", c AS (SELECT spread, {ENDED} AS d FROM ok), y AS (SELECT spread, d, (d - (SELECT min(d) FROM c)) / 365.25 AS x FROM c WHERE spread IS NOT NULL)
         SELECT count(*)::BIGINT AS n_windows, {r('CASE WHEN count(*) >= 3 THEN regr_slope(spread, x) * 10 END', 'slope_per_decade')}, {r('arg_min(spread, d)', 'first_spread')}, {r('arg_max(spread, d)', 'last_spread')} FROM y""",
     "spearman": BOTH + f""", k AS (SELECT rank() OVER (ORDER BY sue) + (count(*) OVER (PARTITION BY sue) - 1) / 2 AS a, rank() OVER (ORDER BY pct_surprise) + (count(*) OVER (PARTITION BY pct_surprise) - 1) / 2 AS b FROM both_ WHERE sue IS NOT NULL)
         SELECT count(*)::BIGINT AS n, {r('corr(a, b)', 'rank_correlation')} FROM k""",
     "bucket_agreement": BOTH + f" SELECT count(*)::BIGINT AS n, {r('''avg((category = CASE WHEN pct_surprise > 5 THEN 'Beat' WHEN pct_surprise < -5 THEN 'Miss' ELSE 'In-Line' END)::INT) * 100''', 'bucket_agreement_pct')} FROM both_",
-    "quintile_matrix": EVENTS + ", b AS " + BINS("sue", "[0.2, 0.4, 0.6, 0.8]", ">", "events") + " " + " UNION ALL ".join(f"SELECT 'Q' || bin AS quintile, {w}::BIGINT AS horizon, count(abret_d{w})::BIGINT AS n, {r(f'CASE WHEN count(abret_d{w}) >= 40 THEN avg(abret_d{w}) END', 'mean_abret')} FROM b GROUP BY bin" for w in WINDOWS),
+    "quintile_matrix": quintiles(100),
+    "quintile_matrix_small": quintiles(40),
     "bin_medians": EVENTS + ", b AS " + BINS("sue", "[0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]", ">=", "events") + f" SELECT bin::BIGINT AS bin, count(*)::BIGINT AS n, {r('median(sue)', 'median_x')}, {r('median(abret_d0)', 'median_y')} FROM b GROUP BY bin HAVING count(*) >= 20",
     "kde_grid": EVENTS + f""", e AS (SELECT quantile_cont(abret_d20, 0.005) AS lo, quantile_cont(abret_d20, 0.995) AS hi FROM events), v AS (SELECT category, abret_d20 AS v, lo, hi FROM events, e WHERE category IN ('Beat', 'Miss') AND abret_d20 BETWEEN lo AND hi),
-        w AS (SELECT category, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h FROM v GROUP BY category HAVING count(*) >= 10), i AS (SELECT unnest(range(64)) AS i)
-        SELECT v.category, {r('any_value(lo + (hi - lo) / 63 * i.i)', 'x')}, {r('sum(exp(-0.5 * (((lo + (hi - lo) / 63 * i.i) - v) / h) ** 2)) / any_value(n * h * sqrt(2 * pi()))', 'density')} FROM v JOIN w USING (category), i GROUP BY v.category, i.i""",
+        w AS (SELECT category, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h FROM v GROUP BY category HAVING count(*) >= 10), i AS (SELECT unnest(range(256)) AS i)
+        SELECT v.category, {r('any_value(lo + (hi - lo) / 255 * i.i)', 'x')}, {r('sum(exp(-0.5 * (((lo + (hi - lo) / 255 * i.i) - v) / h) ** 2)) / any_value(n * h * sqrt(2 * pi()))', 'density')} FROM v JOIN w USING (category), i GROUP BY v.category, i.i""",
     "linear_fit": EVENTS + f" SELECT count(*)::BIGINT AS n, {r('regr_slope(abret_d0, sue)', 'slope')}, {r('regr_intercept(abret_d0, sue)', 'intercept')}, {r('corr(sue, abret_d0) ** 2', 'r2')} FROM events WHERE sue IS NOT NULL AND abret_d0 IS NOT NULL",
-    "linear_fit_band": EVENTS + f""", z AS (SELECT sue AS x, abret_d0 AS y, row_number() OVER (ORDER BY ticker, accession) - 1 AS i, count(*) OVER () AS n FROM events WHERE sue IS NOT NULL AND abret_d0 IS NOT NULL),
-        pk AS (SELECT d.draw, {picked(str(SEED), "d.draw", "z.i")} % z.n AS i FROM z, (SELECT unnest(range(100)) AS draw) d), ft AS (SELECT draw, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM pk JOIN z USING (i) GROUP BY draw),
-        pt AS (SELECT p.p, (SELECT min(x) FROM z) + ((SELECT max(x) FROM z) - (SELECT min(x) FROM z)) * p.p / 9 AS x FROM (SELECT unnest(range(10)) AS p) p)
+    "linear_fit_band": EVENTS + f""", z AS (SELECT sue AS x, abret_d0 AS y, ticker || '|' || accession AS id FROM events WHERE sue IS NOT NULL AND abret_d0 IS NOT NULL),
+        pk AS (SELECT d.draw, z.x, z.y, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726562, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]::DOUBLE[], lambda p: p <= {picked(str(SEED), "d.draw", "z.id")} / 4294967296.0::DOUBLE)) AS times
+          FROM z, (SELECT unnest(range({BAND_DRAWS})) AS draw) d),
+        ft AS (SELECT draw, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM (SELECT draw, x, y, unnest(range(times)) FROM pk) GROUP BY draw),
+        pt AS (SELECT p.p, (SELECT min(x) FROM z) + ((SELECT max(x) FROM z) - (SELECT min(x) FROM z)) * p.p / 159 AS x FROM (SELECT unnest(range(160)) AS p) p)
         SELECT {r('any_value(x)', 'x')}, {r('quantile_cont(a * x + b, 0.025)', 'low')}, {r('quantile_cont(a * x + b, 0.975)', 'high')} FROM pt, ft GROUP BY p""",
-    "bucket_means": EVENTS + ", ss AS (SELECT category AS metric, season, sum(abret_d5) AS beat_sum, count(*) AS beat_n, 0.0 AS miss_sum, 0 AS miss_n FROM events WHERE abret_d5 IS NOT NULL GROUP BY ALL)" + NUMBERED + drawn(DRAWS, "sum(beat_sum) / sum(beat_n)") + f""",
+    "bucket_means": EVENTS + ", ss AS (SELECT category AS metric, season, sum(abret_d5) AS beat_sum, count(*) AS beat_n, 0.0 AS miss_sum, 0 AS miss_n FROM events WHERE abret_d5 IS NOT NULL GROUP BY ALL)" + NUMBERED + drawn(CURVE_DRAWS, "sum(beat_sum) / sum(beat_n)") + f""",
         ci AS (SELECT metric, quantile_cont(v, [0.025, 0.975]) AS q FROM drawn GROUP BY metric) SELECT ss.metric, {r('sum(beat_sum) / sum(beat_n)', 'mean')}, sum(beat_n)::BIGINT AS n, {r('any_value(CASE WHEN g >= 2 THEN q[1] END)', 'ci_low')}, {r('any_value(CASE WHEN g >= 2 THEN q[2] END)', 'ci_high')}
         FROM ss JOIN ci USING (metric) JOIN (SELECT metric, count(*) AS g FROM ss GROUP BY metric) USING (metric) GROUP BY ss.metric""",
     "daily_book": EVENTS + book("next_close") + book("next_open") + f" SELECT pos AS session_pos, {BOOK_ROWS} FROM book_next_close UNION ALL SELECT pos + 100000, {BOOK_ROWS} FROM book_next_open",
     "trade_log": EVENTS + book("next_open") + trades("next_open") + f" SELECT ticker, category, side::BIGINT AS side, entry_pos, exit_pos, entry_date, exit_date, {r('entry_price')}, {r('exit_price')}, {r('gross_ret_pct')}, {r('net_ret_pct')} FROM log_next_open",
     "equity_drawdown": EVENTS + book("next_close") + CURVE + f" SELECT pos AS session_pos, {r('equity', places=4)}, {r('peak', places=4)}, {r('drawdown', places=4)} FROM fall",
     "book_metrics": _metrics(),
+    "inference_tests": _inference(),
+    "calendar_time_alpha": EVENTS + CT + _alpha("spread_ret", False) + _alpha("long_ret", True) + _alpha("short_ret", True) + " SELECT * FROM al_spread_ret UNION ALL SELECT * FROM al_long_ret UNION ALL SELECT * FROM al_short_ret",
+    "surprise_definitions": _definitions(),
+    "break_even": EVENTS + book("next_close") + book("next_open") + " " + " UNION ALL ".join(_break_even(t, side) for t in ("next_close", "next_open") for side in ("as held", "lifted")),
+    "cost_pivot": EVENTS + book("next_close") + book("next_open") + f" SELECT round_trip_bps, max(net_total_return_pct) FILTER (timing = 'next_close') AS next_close, max(net_total_return_pct) FILTER (timing = 'next_open') AS next_open FROM ({_curve('next_close')} UNION ALL {_curve('next_open')}) GROUP BY round_trip_bps",
+    "equity_drawn": EVENTS + book("next_close") + f""", eq AS (SELECT session, product(1 + net) OVER (ORDER BY pos) AS equity_net, product(1 + gross) OVER (ORDER BY pos) AS equity_gross, row_number() OVER (ORDER BY pos) - 1 AS i FROM net_next_close WHERE gross_ret IS NOT NULL)
+        SELECT session, {r('equity_net', places=4)}, {r('equity_gross', places=4)} FROM eq WHERE i % 5 = 0""",
+    "bin_intervals": EVENTS + ", b AS " + BINS("sue", "[0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]", ">=", "events") + f""",
+        ss AS (SELECT bin AS metric, season, sum(abret_d0) AS beat_sum, count(*) AS beat_n, 0.0 AS miss_sum, 0 AS miss_n FROM b GROUP BY ALL){NUMBERED}{drawn(600, "sum(beat_sum) / sum(beat_n)")},
+        ci AS (SELECT metric, quantile_cont(v, [0.025, 0.975]) AS q FROM drawn GROUP BY metric), g AS (SELECT metric, count(*) AS g FROM ss GROUP BY metric)
+        SELECT bin::BIGINT AS bin, count(*)::BIGINT AS n, {r('median(sue)', 'median_x')}, {r('median(abret_d0)', 'median_y')}, {r('avg(abret_d0)', 'mean_y')}, {r('any_value(CASE WHEN g >= 2 THEN q[1] END)', 'ci_low')}, {r('any_value(CASE WHEN g >= 2 THEN q[2] END)', 'ci_high')}
+        FROM b JOIN ci ON ci.metric = b.bin JOIN g ON g.metric = b.bin GROUP BY bin HAVING count(*) >= 20""",
+    "untrimmed_means": EVENTS + f""", v AS (SELECT category, abdrift_d20 AS x FROM events WHERE abdrift_d20 IS NOT NULL), m AS (SELECT avg(x) FILTER (category = 'Beat') AS beat, avg(x) FILTER (category = 'Miss') AS miss, stddev_pop(x) AS sd FROM v)
+        SELECT {r('beat', 'mean_beat')}, {r('miss', 'mean_miss')}, {r('beat - miss', 'gap')}, {r('sd', 'sd_all')} FROM m""",
     "cost_curve": EVENTS + book("next_close") + book("next_open") + " " + _curve("next_close") + " UNION ALL " + _curve("next_open"),
 }

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tidemark.config import StudyConfig
 from tidemark.operators import decay, fundamentals, inference, panel, portfolio, temporal
+from tidemark.plans import study
 from tidemark.plans.adapters import BENCHMARK, Fixtures
 from tidemark.session import checkpointed
 
 CFG = StudyConfig(event_start_date="1997-06-01", end_date="2001-12-31", benchmark=BENCHMARK, windows=(0, 1, 5, 10, 20))
 METRICS = ("abret_d0", "abret_d20", "abdrift_d5", "abdrift_d20")
-DRAWS, SEED = 400, 20240719
+DRAWS, CURVE_DRAWS, BAND_DRAWS, SEED = 10_000, 2000, 400, 20240719
 MODEL = portfolio.CostModel(CFG.costs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -264,6 +265,12 @@ def wild_bootstrap(fx):
     return inference.wild_bootstrap(long(fx), DRAWS, SEED)
 
 
+@query
+def inference_tests(fx):
+    """All three tests of every metric, with the season's intra-cluster correlation."""
+    return inference.run_inference(events(fx), {m: study.METRICS[m] for m in METRICS}, DRAWS, SEED)
+
+
 @query
 def icc(fx):
     return inference.icc(long(fx))
@@ -287,10 +294,31 @@ def hac_moments(fx):
     return m.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), *(F.sum(x(i) * F.col("y")).alias(f"x{i}y") for i in range(1, 5)), *(F.sum(x(i) * x(j)).alias(f"x{i}x{j}") for i in range(1, 5) for j in range(i, 5)))
 
 
+@query
+def calendar_time_alpha(fx):
+    """Daily alphas in basis points, with Newey-West errors and betas."""
+    rows = study.run_calendar_time(events(fx), fx.grid, fx.factors, 20)
+    bps = lambda c: (F.col(c) * 1e4).alias(f"{c}_bps")
+    return rows.select("portfolio", bps("alpha"), bps("std_error"), "t", "p_value", bps("ci_low"), bps("ci_high"), "beta_mkt_rf", "beta_smb", "beta_hml", "beta_mom", F.col("n_obs").cast("long").alias("n_obs"))
+
+
+@query
+def surprise_definitions(fx):
+    """On however many events have both measures: small tables have fewer than the study asks for."""
+    return study.compare_definitions(events(fx), fx.consensus, CFG, least=0)
+
+
 @query
 def rolling_spread(fx):
     own = seasons(fx).where("metric = 'abdrift_d20'")
-    return decay.rolling_spread(own, 6, DRAWS, SEED, 20)
+    return decay.rolling_spread(own, 12, CURVE_DRAWS, SEED, 50)
+
+
+@query
+def rolling_spread_short(fx):
+    """Windows that the few seasons of small tables fill."""
+    own = seasons(fx).where("metric = 'abdrift_d20'")
+    return decay.rolling_spread(own, 6, CURVE_DRAWS, SEED, 20)
 
 
 @query
@@ -316,6 +344,12 @@ def bucket_agreement(fx):
 
 @query
 def quintile_matrix(fx):
+    return inference.quintile_matrix(events(fx), CFG.windows)
+
+
+@query
+def quintile_matrix_small(fx):
+    """With the least number of events that small tables reach."""
     return inference.quintile_matrix(events(fx), CFG.windows, min_n=40)
 
 
@@ -324,9 +358,19 @@ def bin_medians(fx):
     return inference.bin_medians(events(fx), "sue", "abret_d0", 8, 20)
 
 
+@query
+def bin_intervals(fx):
+    return inference.bin_intervals(events(fx), "sue", "abret_d0", 8, 20, seed=SEED)
+
+
+@query
+def untrimmed_means(fx):
+    return inference.bucket_gap(events(fx), "abdrift_d20")
+
+
 @query
 def kde_grid(fx):
-    return inference.kde_grid(events(fx), "abret_d20", points=64)
+    return inference.kde_grid(events(fx), "abret_d20")
 
 
 @query
@@ -336,12 +380,12 @@ def linear_fit(fx):
 
 @query
 def linear_fit_band(fx):
-    return inference.linear_fit_band(events(fx), "sue", "abret_d0", ["ticker", "accession"], points=10, draws=100, seed=SEED)
+    return inference.linear_fit_band(events(fx), "sue", "abret_d0", ["ticker", "accession"], points=160, draws=BAND_DRAWS, seed=SEED)
 
 
 @query
 def bucket_means(fx):
-    return inference.group_means(events(fx), "abret_d5", F.col("category"), DRAWS, SEED)
+    return inference.group_means(events(fx), "abret_d5", F.col("category"), CURVE_DRAWS, SEED)
 
 
 # -- the book
@@ -373,3 +417,22 @@ def book_metrics(fx):
 def cost_curve(fx):
     close, open_ = (portfolio.cost_curve(book(fx, t), MODEL).withColumn("timing", F.lit(t)) for t in ("next_close", "next_open"))
     return rounded(close.unionByName(open_), 4)
+
+
+@query
+def cost_pivot(fx):
+    curves = [portfolio.cost_curve(book(fx, t), MODEL).withColumn("entry_timing", F.lit(t)) for t in ("next_close", "next_open")]
+    return rounded(study.pivoted_curves(curves[0].unionByName(curves[1])), 4)
+
+
+@query
+def break_even(fx):
+    """Of both books as they are held, and with 20 basis points more a session, so that there is something to lose."""
+    books = {t: book(fx, t) for t in ("next_close", "next_open")}
+    lifted = {t: b.withColumn("gross_ret", F.col("gross_ret") + 0.002) for t, b in books.items()}
+    return study.break_evens(books, MODEL).withColumn("legs", F.lit("as held")).unionByName(study.break_evens(lifted, MODEL).withColumn("legs", F.lit("lifted")))
+
+
+@query
+def equity_drawn(fx):
+    return rounded(study.equity_drawn(portfolio.with_equity(book(fx), MODEL)).select("session", "equity_net", "equity_gross"), 4)

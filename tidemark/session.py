@@ -17,8 +17,11 @@ def session(app: str = "tidemark", **settings: str) -> SparkSession:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, into the folder that the cluster shares, with its lineage cut: operators that join it many times
-    then plan in no time, and a lost executor costs no rerun. Only where no folder is set (tests) a local one is made."""
-    sc = df.sparkSession.sparkContext
+    then plan in no time, and a lost executor costs no rerun. In local mode without such a folder one of this machine is
+    made; on a cluster that is an error."""
+    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)

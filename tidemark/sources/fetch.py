@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema
+from tidemark.config import StudyConfig
 from tidemark.operators import temporal
 
 #: Fixed values of the public filing service.
@@ -146,6 +147,42 @@ def land_consensus(spark: SparkSession, tickers: Iterable[str], fetch: Callable[
     return spark.read.parquet(path)
 
 
+def universe_path(folder: str, default: str | None = None) -> str:
+    """``universe.csv`` of the folder, if it has one; else the default."""
+    own = Path(folder) / "universe.csv"
+    if own.exists() or default is None:
+        return str(own)
+    return default
+
+
+def fetch_all(spark: SparkSession, folder: str, members: DataFrame, cfg: StudyConfig, client: CachedJson, prices: Callable[[Sequence[str]], Iterable[tuple]], factor_file: Callable[[str], bytes], command: str) -> dict[str, int]:
+    """Lands everything that a study reads, as tables of ``folder`` with sidecars; returns the rows of each.
+
+    The downloads are a loop over the members, spaced out as the services ask; what they bring is parsed by Spark."""
+    from tidemark.operators.fundamentals import quarterly_eps
+    from tidemark.sources import clients, readers, sinks
+
+    known = members.select("ticker", "cik").where("cik IS NOT NULL").collect()  # an index's members
+    for r in known:
+        land_company(client, r["cik"])
+    announced = readers.announcements(spark, f"{client.folder}/filings", members)
+    eps = quarterly_eps(readers.eps_facts(spark, f"{client.folder}/concepts")).join(members.select("ticker", "cik"), "cik").select(*(f.split()[0] for f in schema.QUARTERLY_EPS.split(", ")))
+    spark.createDataFrame([], schema.PRICES).write.mode("overwrite").parquet(f"{folder}/prices")  # batches are appended to it
+    land_prices(spark, sorted({*(r["ticker"] for r in known), cfg.benchmark}), prices, f"{folder}/prices")
+    if spark.read.parquet(f"{folder}/prices").isEmpty():
+        raise RuntimeError("no prices came back; are the network and the tickers right?")
+    for name in (clients.THREE_FACTORS, clients.MOMENTUM):
+        path = Path(folder) / "factor_files" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(factor_file(name))
+    factors = readers.factors(spark, *(f"{folder}/factor_files/{n}" for n in (clients.THREE_FACTORS, clients.MOMENTUM)))
+    written = {"announcements": (announced, SUBMISSIONS), "quarterly_eps": (eps, CONCEPT), "factors": (factors, clients.FACTORS)}
+    for name, (table, source) in written.items():
+        sinks.write_parquet(table, f"{folder}/{name}", command, source, cfg.end_date)
+    sinks.write_provenance(spark, f"{folder}/prices", command, "daily adjusted prices", cfg.end_date)
+    return {name: spark.read.parquet(f"{folder}/{name}").count() for name in (*written, "prices")}
+
+
 def build_sample(inputs: dict[str, DataFrame], tickers: DataFrame, start: str, folder: str) -> dict[str, int]:
     """Every input cut to the tickers (factors to the days from ``start`` on), as Parquet; returns the rows of each."""
     names = tickers.select("ticker").distinct()

@@ -42,7 +42,7 @@ def filings(spark: SparkSession, path: str) -> DataFrame:
 def announcements(spark: SparkSession, path: str, universe_: DataFrame) -> DataFrame:
     """Earnings announcements of the universe's companies, with their tickers."""
     found = fundamentals.earnings_announcements(filings(spark, path))
-    return found.join(F.broadcast(universe_.select("cik", "ticker")), "cik").select("ticker", "cik", "accession", "filing_date", "accepted_utc")
+    return found.join(universe_.select("cik", "ticker"), "cik").select("ticker", "cik", "accession", "filing_date", "accepted_utc")
 
 
 def eps_facts(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,9 @@ import subprocess
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.config import StudyConfig
 
 
 def git_commit() -> str:
@@ -39,6 +42,22 @@ def write_csv(df: DataFrame, path: str, command: str, data_source: str, data_as_
     write_provenance(df.sparkSession, path, command, data_source, data_as_of, **extra)
 
 
+def save_events(events: DataFrame, path: str, cfg: StudyConfig, command: str, data_source: str) -> None:
+    """The event panel as Parquet; its sidecar says how many events of how many companies, from when to when, and how they
+    were scored."""
+    write_parquet(events, path, command, data_source, cfg.end_date)
+    saved = events.sparkSession.read.parquet(path).agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("ticker").alias("n_tickers"), F.min("announcement_date").cast("string").alias("first_event"), F.max("announcement_date").cast("string").alias("last_event")).first()
+    scored = {"sue_history_quarters": cfg.sue_history_quarters, "beat_threshold_sigma": cfg.beat_threshold, "miss_threshold_sigma": cfg.miss_threshold}
+    write_provenance(events.sparkSession, path, command, data_source, cfg.end_date, **saved.asDict(), **scored)
+
+
+def load_events(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`save_events` wrote; if it is not there, the error names the command that writes it."""
+    from tidemark.sources.readers import load
+
+    return load(spark, path, "main.py study")
+
+
 def write_results(tables: dict[str, DataFrame], folder: str, command: str, data_source: str, data_as_of: str) -> list[str]:
     """Every table as CSV with its sidecar, ``daily`` as Parquet; an empty ``surprise_definitions`` is left out."""
     done = []
