@@ -7,6 +7,7 @@ the same rows; what is done with them is written twice, as DataFrame operators a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,13 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A frame that operators join again and again: computed when first asked for, then read back."""
+        if name not in self._kept:
+            self._kept[name] = checkpointed(make())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

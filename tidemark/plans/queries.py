@@ -12,7 +12,6 @@ from tidemark.config import StudyConfig
 from tidemark.operators import decay, fundamentals, inference, panel, portfolio, temporal
 from tidemark.plans import study
 from tidemark.plans.adapters import BENCHMARK, Fixtures
-from tidemark.session import checkpointed
 
 CFG = StudyConfig(event_start_date="1997-06-01", end_date="2001-12-31", benchmark=BENCHMARK, windows=(0, 1, 5, 10, 20))
 METRICS = ("abret_d0", "abret_d20", "abdrift_d5", "abdrift_d20")
@@ -21,8 +20,21 @@ MODEL = portfolio.CostModel(CFG.costs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+_FIXTURES: dict[tuple[str, str], Fixtures] = {}
+
+
+def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
+    """The inputs over one folder, one for an application: grid, events and books are written once and shared by its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FIXTURES:
+        for old in [k for k in _FIXTURES if k[0] != key[0]]:
+            del _FIXTURES[old]
+        _FIXTURES[key] = Fixtures(spark, sf_dir)
+    return _FIXTURES[key]
+
+
 def query(f: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(Fixtures(spark, sf_dir)))
+    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(fixtures(spark, sf_dir)))
     return f
 
 
@@ -38,10 +50,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def events(fx: Fixtures) -> DataFrame:
-    """The event panel, kept: with the grid, the only frame that a query uses again and again."""
-    if not hasattr(fx, "kept_events"):
-        fx.kept_events = checkpointed(panel.build_events(fx.eps, fx.announcements, fx.grid, fx.universe, CFG).panel)
-    return fx.kept_events
+    return fx.kept("events", lambda: panel.build_events(fx.eps, fx.announcements, fx.grid, fx.universe, CFG).panel)
 
 
 def long(fx: Fixtures) -> DataFrame:
@@ -49,11 +58,11 @@ def long(fx: Fixtures) -> DataFrame:
 
 
 def seasons(fx: Fixtures) -> DataFrame:
-    return checkpointed(inference.season_stats(long(fx)))
+    return fx.kept("seasons", lambda: inference.season_stats(long(fx)))
 
 
 def book(fx: Fixtures, timing: str = "next_close") -> DataFrame:
-    return checkpointed(portfolio.daily_book(events(fx), fx.grid, CFG.hold_days, timing))
+    return fx.kept(f"book {timing}", lambda: portfolio.daily_book(events(fx), fx.grid, CFG.hold_days, timing))
 
 
 # -- sources and fundamentals
