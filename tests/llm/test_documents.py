@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, packing, quality, sharding, simhash
+from tidemark.llm import linededup, mixing, nearcopies, packing, quality, sharding, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Null id, null and empty and blank texts, null source, repeated rows, one id with two texts, a long text without spaces.
@@ -18,9 +18,15 @@ ODD = [
 ]
 OPERATORS = {
     "shard": lambda d: sharding.shard_records(d, 3, 16), "lines": linededup.drop_boilerplate, "simhash": simhash.near_duplicates, "keep_one": simhash.keep_one, "mix": mixing.mix_sources, "mixed": mixing.mixed_documents, "pack": packing.pack,
+    "classify": lambda d: quality.classify(d, learned(d)), "keep_good": lambda d: quality.keep_good(d, learned(d)), "near_copies": nearcopies.keep_one,
 }
 
 
+def learned(docs):
+    """Labels that some odd rows have, with nulls and repeats."""
+    return docs.sparkSession.createDataFrame([(i, int(i in (1, 2, 4, 8)), 0) for i in range(1, 9)] + [(1, None, 0), (None, 1, None), (7, 1, 0)], "doc_id long, quality int, toxic int")
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(ODD, SCHEMA)
@@ -34,12 +40,19 @@ def test_empty_table(spark, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_odd_rows_and_clashing_columns(odd, name):
     plain = OPERATORS[name](odd)
-    clash = odd.selectExpr("*", "1 AS size", "'x' AS fp", "2 AS bin", "3 AS c0", "4 AS lines", "5 AS piece", "6 AS digest", "7 AS of", "'q' AS turn")
+    clash = odd.selectExpr("*", "1 AS size", "'x' AS fp", "2 AS bin", "3 AS c0", "4 AS lines", "5 AS piece", "6 AS digest", "7 AS of", "'q' AS turn", "8 AS score", "9 AS label", "10 AS source_size", "11 AS nth", "12 AS w")
     wide = OPERATORS[name](clash)
     assert plain.count() > 0
     assert sorted(map(str, wide.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_megabyte_texts(spark, name):
+    long = [(1, "word " * 200_000, "en", "a", 0), (2, "x" * 1_000_000, "en", "a", 0), (3, " " * 1_000_000, "en", "b", 0), (4, "a line\n" * 150_000, "en", "b", 0), (5, "short", "en", "b", 0)]
+    docs = spark.createDataFrame(long, SCHEMA).repartition(2)
+    assert OPERATORS[name](docs).count() >= 1
+
+
 # -- sharding
 
 
@@ -233,6 +246,63 @@ def test_classifier_learns_and_holds_out(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, r in got.items() if r.predicted)
 
 
+def slow_statistics(text):
+    """The statistics by plain loops over the text's bytes, words and lines."""
+    raw = (text or "").encode()
+    words, lines, n = raw.split(), [x for x in raw.split(b"\n") if x.strip()], len(raw.split())
+    m, size = max(1, n), max(1, len(raw))
+    odds = lambda k, of: float(np.log((k + 0.5) / (of - k + 0.5)))
+    upper, lower, digit, high = ([sum(f(b) for b in w) for w in words] for f in (lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: 48 <= b <= 57, lambda b: b > 127))
+    count = lambda s: sum(b in s for b in raw)
+    cased = max(1, sum(upper) + sum(lower))
+    lengths = np.array([len(w) for w in words] or [0])
+    plain = sum(u + lo + h == len(w) - (w[-1:] in (b".", b"!", b"?", b",", b";", b":", b"'", b'"', b"(", b")", b"-")) for w, u, lo, h in zip(words, upper, lower, high))
+    some = max(1, len(lines))
+    return [
+        np.log1p(n), np.log(max(1.0, lengths.sum() / m)), np.log1p(lengths.std()), odds(len(set(words)), m) - 0.5 * np.log1p(n) * (n > 0), odds(sum(a == b for a, b in zip(words, words[1:])), m), odds(sum(upper), cased),
+        odds(sum(u >= 2 and not lo for u, lo in zip(upper, lower)), m), odds(count(b"0123456789"), size), odds(count(b".!?,;:'\"()-"), size), odds(count(b"#$%&*+/<=>@[\\]^_`{|}~"), size), odds(plain, m),
+        odds(sum(not (u or lo or d or h) for u, lo, d, h in zip(upper, lower, digit, high)), m), np.log1p(n / (1 + sum(w[-1:] in b".!?" for w in words))), np.log1p(len(raw) / some), odds(some - len(set(lines)) if lines else 1, some),
+        odds(sum(len(w) <= 3 for w in words), m), odds(sum(b > 127 for b in raw), size),
+    ]
+
+
+TEXTS = ["", None, "The cat sat on the mat.", "BUY NOW!! 100% $$$\n\n | | x", "été déjà\tvu\nline\nline\n", "a a a a b", "\x00\x01 odd \u3000 wide", "word " * 300, "x" * 4000, "(He said: 'no'-)\n \nEnd?"]
+
+
+def test_statistics_against_plain_loops():
+    import pyarrow as pa
+
+    got = quality.statistics(pa.array(TEXTS))
+    np.testing.assert_allclose(got, [slow_statistics(t) for t in TEXTS], rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(quality.statistics(pa.array(TEXTS).slice(2, 5)), got[2:7])  # a slice, and groups of any size
+    small, quality.GROUP_BYTES = quality.GROUP_BYTES, 7
+    try:
+        np.testing.assert_allclose(quality.statistics(pa.array(TEXTS)), got)
+    finally:
+        quality.GROUP_BYTES = small
+
+
+def test_scores_against_brute_force(spark):
+    """Shrunk covariances and log-densities by inverse and determinant, from labelled rows that are not held out."""
+    rng = np.random.default_rng(8)
+    words = ["alpha", "beta,", "gamma.", "Delta", "of", "the", "x1", "été"]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(3, 40)))) if i % 3 else " ".join(["NOW!!", "$$$"] * int(rng.integers(2, 20)))) for i in range(240)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 240, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    x = {i: np.array(slow_statistics(t)) for i, t in rows}
+    own = {c: np.array([x[i] for i in range(0, 240, 2) if int(i % 3 > 0) == c and zlib.crc32(str(i).encode()) % 5]) for c in (0, 1)}
+    n, cov = {c: len(own[c]) for c in own}, {c: np.cov(own[c].T, bias=True) for c in own}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    d = len(pooled)
+    log = {}
+    for c in own:
+        p = max(0.2, d / (d + n[c]))
+        s = 0.9 * ((1 - p) * cov[c] + p * pooled) + 0.1 * np.diag(np.diag(pooled)) + 1e-3 * np.trace(pooled) / d * np.eye(d)
+        log[c] = {i: np.log(n[c] / (n[0] + n[1])) - 0.5 * ((v - own[c].mean(0)) @ np.linalg.inv(s) @ (v - own[c].mean(0)) + np.linalg.slogdet(s)[1]) for i, v in x.items()}
+    want = {i: 1 / (1 + np.exp(np.clip(log[0][i] - log[1][i], -700, 700))) for i in x}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_without_labels_nothing_is_rejected(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in quality.classify(odd, none).collect()} == {1}

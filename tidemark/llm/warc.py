@@ -28,6 +28,8 @@ VERSION = b"WARC/1.1"
 #: Payloads below this size are always stored whole.
 REVISIT_BYTES = 1000
 LEVEL = 4
+#: Records, and bytes of their payloads, that a task holds before it passes them on.
+BATCH_RECORDS, BATCH_BYTES = 1000, 8 << 20
 BROADCAST_GROUPS = 100_000
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -42,7 +44,8 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """page_id, url, payload (binary), payload_digest (hex SHA-1), record_type, refers_to.
 
     Of equal payloads of ``least`` bytes and more, the one with the largest page_id is the response and the others
-    revisit it. Null html: empty payload. Null ids are below all others; rows that share the largest id are all responses."""
+    revisit it. Null html: empty payload. Null ids are below all others; rows that share the largest id, repeated rows
+    among them, are all responses. Other columns are ignored; an empty table gives no rows."""
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")).withColumn("payload_digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least
     groups = cut(own.filter(large).groupBy(F.col("payload_digest").alias("of")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
@@ -198,17 +201,18 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, verify:
                 if next(texts, b""):
                     raise ValueError(f"{file} does not begin with a gzip member")
             orphans: list[bytes] = []
-            found, left = [], b""
+            found, held, left = [], 0, b""
             for m in assembled((MAGIC + p for p in texts), orphans):
                 if not m.whole:
                     left = b"".join(m.raw)
                 elif content := b"".join(m.content):
-                    found.append(content)
-                if len(found) >= 1000:
-                    yield pa.RecordBatch.from_pylist(_records(found, file, at, payloads, verify), _OUT)
-                    found = []
+                    found += _records([content], file, at, payloads, verify)
+                    held += len(content) if payloads else 0
+                if len(found) >= BATCH_RECORDS or held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(found, _OUT)
+                    found, held = [], 0
             ends = [{"path": file, "at": at, "nth": n, "left": x} for n, x in enumerate([*orphans, *([left] if left else [])])]
-            yield pa.RecordBatch.from_pylist(_records(found, file, at, payloads, verify) + ends, _OUT)
+            yield pa.RecordBatch.from_pylist(found + ends, _OUT)
 
     def join_ends(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["at", "nth", "left"]).to_pylist(), key=lambda r: (r["at"], r["nth"]))
@@ -230,7 +234,10 @@ def page_id_of(urn: Column) -> Column:
 
 def archived(pages: DataFrame, path: str) -> DataFrame:
     """Write ``pages`` under ``path``, read the archives back, each response's payload held against its digest: page_id,
-    payload_bytes, payload_digest, record_type, refers_to."""
+    payload_bytes, payload_digest, record_type, refers_to.
+
+    Nulls, repeated rows and other columns are as in :func:`with_revisits`: each row is a record of its own and comes back
+    as one row, a page without an id with a null page_id. Payloads of any length are whole. Empty table: no rows."""
     write_archives(pages, path)
     back = read_archives(pages.sparkSession, path, payloads=False, verify=True)
     return back.select(page_id_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id_of(F.col("refers_to")).alias("refers_to"))
