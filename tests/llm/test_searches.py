@@ -250,9 +250,9 @@ def test_a_bigram_in_every_pack_is_sent_once_a_pack():
     docs = [b"a b " * 50, b"a b c", b"", b"a b " * 7]
     tokens = [w for d in docs for w in d.split()]
     coded = lm.pa.array(tokens, lm.pa.binary()).dictionary_encode()
-    hashes = np.array([lm.xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
+    hashes = np.array([lm.xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8") >> np.uint64(16)
     lengths = np.array([len(d.split()) for d in docs])
-    pack = lm.Pack(48, b"\1\0\0\1", lm.squeezed(lengths), hashes.tobytes(), lm.squeezed(coded.indices.to_numpy()), len(tokens))
+    pack = lm.Pack(48, b"\1\0\0\1", lm.squeezed(lengths), lm.squeezed(hashes), lm.squeezed(coded.indices.to_numpy()), len(tokens), 3)
     n, ends, target_n, target_ends = pack.counts()
     assert len(pack.keys) == len(set(pack.keys.tolist())) == 3 + 3 and sorted(n.tolist()) == [1, 1, 55, 58, 58, 58]
     assert sorted(ends.tolist()) == [0, 0, 0, 0, 1, 2] and target_ends.sum() == 2 and sorted(target_n.tolist()) == [0, 0, 55, 57, 57, 57]

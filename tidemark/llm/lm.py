@@ -32,13 +32,13 @@ PACK_WORDS, BLOCK_WORDS = 1 << 19, 1 << 20
 #: Packs that one task scores.
 PACKS_A_TASK = 4
 BROADCAST_IDS = 1_000_000
-#: Bits that a hash has above those that number the corpus's words: one in 2^20 meets another. With all 63 bits in use, for
-#: corpora of 2^43 words and more, more do. A key is such a hash, and a last bit that says whether it is of a bigram.
+#: Bits that a hash has above those that number the corpus's bytes, of which its words are fewer: less than one in 2^20 meets
+#: another. Corpora of 2^43 bytes and more use all 63 bits, and more meet.
 SPARE_BITS = 20
 
 
-def bits_of_keys(corpus_words: int) -> int:
-    return max(40, min(64, corpus_words.bit_length() + SPARE_BITS + 1))
+def hash_bits(corpus_bytes: int) -> int:
+    return max(40, min(63, corpus_bytes.bit_length() + SPARE_BITS))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -70,11 +70,11 @@ def expanded(raw: bytes, n: int) -> np.ndarray:
 # -- packs
 
 
-def packs(docs: DataFrame, pack_words: int) -> DataFrame:
+def packs(docs: DataFrame, bits: int, pack_words: int) -> DataFrame:
     """pack, ids and target of its documents, lengths (words of each), words (hashes of the distinct ones, from the most
-    frequent on), tokens (their places), n and n_target (words). ``docs``: doc_id, target, text. A document is never split."""
+    frequent on), tokens (their places), n and n_target (words), n_distinct. ``docs``: doc_id, target, text. A document is never split."""
     id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("target", "lengths", "words", "tokens")), T.StructField("n", T.LongType()), T.StructField("n_target", T.LongType())])
+    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(c, T.BinaryType()) for c in ("target", "lengths", "words", "tokens")), *(T.StructField(c, T.LongType()) for c in ("n", "n_target", "n_distinct"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -85,12 +85,12 @@ def packs(docs: DataFrame, pack_words: int) -> DataFrame:
             coded = pa.array(held, pa.binary()).dictionary_encode()
             place = coded.indices.to_numpy()
             common = np.argsort(-np.bincount(place, minlength=len(coded.dictionary)), kind="stable")
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.take(pa.array(common)).to_pylist()], "<u8")
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.take(pa.array(common)).to_pylist()], "<u8") >> np.uint64(64 - bits)
             number_of = np.empty(len(common), np.int64)
             number_of[common] = np.arange(len(common))
             n = np.array(lengths, np.int64)
             lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-            values = [pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in (np.array(target, "u1").tobytes(), squeezed(n), hashes.tobytes(), squeezed(number_of[place]))), pa.array([int(n.sum())]), pa.array([int(n[np.array(target, bool)].sum())])]
+            values = [pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in (np.array(target, "u1").tobytes(), squeezed(n), squeezed(hashes), squeezed(number_of[place]))), *(pa.array([int(x)]) for x in (n.sum(), n[np.array(target, bool)].sum(), len(common)))]
             return pa.RecordBatch.from_arrays(values, names=schema.names)
 
         for batch in batches:
@@ -112,31 +112,28 @@ def packs(docs: DataFrame, pack_words: int) -> DataFrame:
 
 
 def split(keys: np.ndarray, bits: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks that ascending keys fall into, in order, and where each begins; the last bound is the number of keys."""
-    block = ((keys >> np.uint64(bits - 32)) * np.uint64(blocks)) >> np.uint64(32)
+    """The blocks that ascending keys fall into, in order, and where each begins; the last bound is the number of keys. Keys
+    of words are hashes, those of bigrams have one more bit: they come last, and their blocks are numbered on."""
+    hashed, pair = keys & np.uint64((1 << bits) - 1), keys >> np.uint64(bits)
+    block = (((hashed >> np.uint64(bits - 32)) * np.uint64(blocks)) >> np.uint64(32)) + pair * np.uint64(blocks)
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
     return block[first].astype(np.int64), np.r_[first, len(block)]
 
 
-def word_keys(hashed: np.ndarray, bits: int) -> np.ndarray:
-    return (hashed >> np.uint64(64 - bits)) & ~np.uint64(1)
-
-
 class Pack:
     """A pack's documents as numbers, and what it asks of the blocks: ``keys`` in ascending order, with the pack's own
     counts; ``place`` says where the words and bigrams, one after the other, stand in that order."""
 
-    def __init__(self, bits: int, target: bytes, lengths: bytes, hashes: bytes, tokens: bytes, n: int):
+    def __init__(self, bits: int, target: bytes, lengths: bytes, hashes: bytes, tokens: bytes, n: int, distinct: int):
         self.target = np.frombuffer(target, "u1").astype(bool)
         self.lengths, self.tokens = expanded(lengths, len(self.target)), expanded(tokens, n)
-        hashed = np.frombuffer(hashes, "<u8")
-        self.distinct = len(hashed)
+        hashed, self.distinct = expanded(hashes, distinct).view(np.uint64), distinct
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.joins = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
         pairs, self.pair = np.unique(self.tokens[self.joins - 1] * self.distinct + self.tokens[self.joins], return_inverse=True)
         mixed = (hashed[pairs // max(1, self.distinct)] * np.uint64(0x9E3779B97F4A7C15)) ^ hashed[pairs % max(1, self.distinct)]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        keys = np.concatenate([word_keys(hashed, bits), word_keys(mixed ^ (mixed >> np.uint64(32)), bits) | np.uint64(1)])
+        keys = np.concatenate([hashed, ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - bits)) | np.uint64(1 << bits)])
         order = np.argsort(keys, kind="stable")
         self.order, self.keys, self.place = order, keys[order], np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
@@ -153,6 +150,7 @@ class Pack:
         return out
 
 
+PACKED = ("target", "lengths", "words", "tokens", "n", "n_distinct")
 COUNTS = ("n", "ends", "target_n", "target_ends")
 
 
@@ -170,7 +168,7 @@ def entries(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.full(len(block), number, np.int64)), pa.array(np.diff(bounds).astype(np.int64)), *packed], names=["block", "pack", "size", "keys", *COUNTS])
 
     schema = ", ".join(["block int", "pack long", "size long", "keys binary", *(f"{c} binary" for c in COUNTS)])
-    return rows.select("pack", "target", "lengths", "words", "tokens", "n").mapInArrow(run, schema)
+    return rows.select("pack", *PACKED).mapInArrow(run, schema)
 
 
 def totals(sent: DataFrame, blocks: int) -> DataFrame:
@@ -200,8 +198,8 @@ def vocabulary_size(rows: DataFrame, bits: int, blocks: int) -> int:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0):
-                keys = np.unique(word_keys(np.frombuffer(x.as_py(), "<u8"), bits))
+            for x, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                keys = np.unique(expanded(x.as_py(), n).view(np.uint64))
                 block, bounds = split(keys, bits, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int64)), pa.array([ascending(keys[lo:hi]) for lo, hi in zip(bounds, bounds[1:])], pa.binary())], names=["block", "size", "keys"])
 
@@ -209,7 +207,7 @@ def vocabulary_size(rows: DataFrame, bits: int, blocks: int) -> int:
         seen = [np.cumsum(expanded(k.as_py(), n)) for batch in batches for n, k in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(np.concatenate(seen))) if seen else 0], pa.int64())], names=["words"])
 
-    sent = rows.select("words").mapInArrow(send, "block int, size long, keys binary").repartitionById(blocks, F.col("block"))
+    sent = rows.select("words", "n_distinct").mapInArrow(send, "block int, size long, keys binary").repartitionById(blocks, F.col("block"))
     return sent.select("size", "keys").mapInArrow(count, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
 
@@ -231,14 +229,15 @@ def score_documents(
     wanted = cut(target_ids.select(F.col("doc_id").alias("of")).filter(F.col("of").isNotNull()).distinct())
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     flagged = own.join(small(wanted, BROADCAST_IDS), F.col("doc_id") == F.col("of"), "left").withColumn("target", F.col("of").isNotNull())
-    rows = stored(packs(flagged, pack_words), "lm-packs")
+    bits = hash_bits(own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
+    rows = stored(packs(flagged, bits, pack_words), "lm-packs")
     size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0)), F.count(F.lit(1))).first()
-    blocks, tasks, bits = max(1, -(-size[0] // block_words)), max(1, -(-size[2] // packs_a_task)), bits_of_keys(size[0])
+    blocks, tasks = max(1, -(-size[0] // block_words)), max(1, -(-size[2] // packs_a_task))
     vocab, corpus = vocabulary_size(rows, bits, blocks), (size[0], size[1])
     result = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss"))])
 
     def losses(pack: pa.Table, answers: pa.Table) -> pa.Table:
-        p = Pack(bits, *(pack[c][0].as_py() for c in ("target", "lengths", "words", "tokens", "n")))
+        p = Pack(bits, *(pack[c][0].as_py() for c in PACKED))
         order = np.argsort(answers["block"].to_numpy(), kind="stable").tolist()
         told = {c: np.concatenate([np.zeros(0, np.int64), *(expanded(answers[c][i].as_py(), answers["size"][i].as_py()) for i in order)])[p.place] for c in COUNTS}
         n_docs, out = len(p.lengths), []
@@ -255,6 +254,6 @@ def score_documents(
         return pa.table([pack["ids"].combine_chunks().flatten(), pa.array(p.lengths), *(pa.array(x) for x in mean)], names=result.names)
 
     answered = totals(entries(rows, bits, blocks), blocks).repartition(tasks, "pack").groupBy("pack")
-    asked = rows.select("pack", "ids", "target", "lengths", "words", "tokens", "n").repartition(tasks, "pack").groupBy("pack")
+    asked = rows.select("pack", "ids", *PACKED).repartition(tasks, "pack").groupBy("pack")
     scored = asked.cogroup(answered).applyInArrow(losses, result)
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
