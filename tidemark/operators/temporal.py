@@ -111,7 +111,7 @@ def lookahead_violations(fills: DataFrame, utc: str, session: str, entry_timing:
 def assert_no_lookahead(fills: DataFrame, utc: str, session: str, entry_timing: str) -> None:
     bad = lookahead_violations(fills, utc, session, entry_timing).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(F.col("fill_utc"), F.col(utc).alias("announced")), F.struct(utc, "fill_utc")).alias("first")).first()
     if bad["n"]:
-        raise AssertionError(f"look-ahead in {bad['n']} rows, the earliest announced {bad['first']['announced']} and filled {bad['first']['fill_utc']}")
+        raise AssertionError(f"{bad['n']} fills look ahead; the earliest announcement among them, {bad['first']['announced']}, was filled at {bad['first']['fill_utc']}")
 
 
 # -- as-of joins
