@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, input_splits, occurrences, small, text_digest
+from tidemark.operators import ranks
 
 MAX_EPOCHS = 3
 #: Bins of a source's keys, or as many as the input has partitions if those are more.
@@ -42,17 +43,18 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
     Targets share the sum of all sizes by weight and stop at ``max_epochs`` sizes; the excess goes to the others by
     weight until none is above. That is the level at which ``min(cap, level * weight)`` sums to the total: sources
-    fill in the order of cap / weight, so prefix sums in that order give it."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = (
-        sizes.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1)
-        .withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-        .withColumn("level", F.try_divide(F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("v")))).over(everything)["v"])
-    )
-    return shared.select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    fill in the order of cap / weight, so prefix sums in that order give it. Sources may be as many as hosts: they are
+    numbered and summed range by range, and what meets in one place is a row a range."""
+    own = ranks.with_sum_before(sizes.withColumn("last", F.col("source").isNull()), ["last", "source"], None, "i").withColumn("weight", F.col("i") % 3 + 1)
+    own = own.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs))).withColumn("full_at", F.col("cap") / F.col("weight"))
+    for amount in ("cap", "weight"):
+        own = ranks.with_sum_before(own, ["full_at", "last", "source"], amount, f"{amount}_before")
+    own = cut(own)
+    whole = own.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    level = F.try_divide(F.col("total") - F.col("cap_before"), F.col("weights") - F.col("weight_before"))
+    reached = own.join(F.broadcast(whole)).withColumn("level", level).filter(F.col("level") <= F.col("full_at"))
+    reached = reached.agg(F.min(F.struct("full_at", "level")).alias("at"))  # one row
+    return own.join(F.broadcast(reached)).select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(F.col("at.level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def keyed(rows: DataFrame, bins: int, seed: str) -> DataFrame:
