@@ -15,6 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_REPEATS = 200_000
 
 
+#: Bytes of rows that go to a Python worker together, and so of the buffers that the JVM and the worker hold for them.
+BATCH_BYTES = 4 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +59,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, which goes to Python with its texts: from now on the session sends at most BATCH_BYTES of rows together (a longer
+    row goes alone). Plans read the setting when they run, which for a lazy result is after its operator has returned, so it stays."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (computed before) marked for broadcast if it has at most ``rows`` rows; else as it is, so that the join shuffles."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, input_splits
+from tidemark.llm.common import cut, in_batches, input_splits
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -107,7 +107,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str | None = None, capacity: int
                     crcs.append(zlib.crc32(ids[s : s + n].tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, in_batches
 
 THRESHOLD = 0.3
 #: Shares of the pooled covariance and of its diagonal in each class's covariance.
@@ -143,7 +143,7 @@ def class_moments(docs: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndar
                 total[c] += np.concatenate([[len(z)], z.sum(axis=0), (z.T @ z).ravel()])
         yield pa.RecordBatch.from_pydict({"label": pa.array(np.repeat([0, 1], total.shape[1]), pa.int32()), "k": pa.array(np.tile(np.arange(total.shape[1]), 2), pa.int32()), "v": pa.array(total.ravel(), pa.float64())})
 
-    sums = docs.select("label", "text").mapInArrow(run, "label int, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()  # 2 (1 + d + d^2) rows
+    sums = in_batches(docs.select("label", "text")).mapInArrow(run, "label int, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).collect()  # 2 (1 + d + d^2) rows
     out = np.zeros((2, 1 + d + d * d))
     for r in sums:
         out[r["label"], r["k"]] = r["v"]
@@ -173,7 +173,7 @@ def with_score(docs: DataFrame, model: Discriminant | None, name: str, text_col:
             score = np.ones(batch.num_rows) if model is None else model.score(statistics(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=schema.names)
 
-    return own.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("score").alias(name))
+    return in_batches(own).mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("score").alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
