@@ -15,6 +15,7 @@ document that the short lists did not bring.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -23,7 +24,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, stored
@@ -32,11 +34,17 @@ K1, B = 1.2, 0.75
 #: A shard ends at this many documents or words.
 SHARD_DOCS, SHARD_WORDS = 12288, 8_000_000
 #: A block of queries ends at this many queries or bytes of text.
-BLOCK_QUERIES, BLOCK_BYTES = 4096, 16 << 20
+BLOCK_QUERIES, BLOCK_BYTES = 16384, 64 << 20
 #: Documents between two cuts of the lists; a list is long if it holds at least one document in LONG.
 CUT, LONG = 64, 16
 #: Queries that are taken through a shard together; words that are encoded together while a shard is built.
-TOGETHER, ENCODED = 64, 250_000
+TOGETHER, ENCODED = 256, 250_000
+#: Steps of the highest gain of a short list.
+STEPS = 65535
+#: Shards are searched together up to so many documents (at most 65,536) or words.
+MERGED_DOCS, MERGED_WORDS = 16384, 16_000_000
+#: Postings that are weighed together while a shard is read.
+STRETCH = 1 << 18
 #: Shards that one task takes, one after another, at most if there are more shards than slots for them.
 SHARDS_A_TASK = 4
 #: Twice the rounding unit of single precision. A sum of m positive products in it, of factors rounded to it, is off by
@@ -122,28 +130,37 @@ class Block:
 
     @classmethod
     def of(cls, queries: Iterable[tuple[int, str | None]]) -> Block:
-        ids, counts = [], []
+        """Takes the queries one by one; of a text, only the numbers of its terms are kept."""
+        ids, sizes, terms, times, number = [], [], [], [], {}
         for i, text in queries:
+            c = Counter(terms_of(text))
             ids.append(i)
-            counts.append(Counter(terms_of(text)))
-        vocabulary = sorted(set().union(*counts)) if counts else []
-        number = {t: i for i, t in enumerate(vocabulary)}
-        rows = [sorted((number[t], n) for t, n in c.items()) for c in counts]
-        flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
-        return cls(pa.array(vocabulary, pa.binary()), np.array(ids, np.int64), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)], flat[:, 0], flat[:, 1])
+            sizes.append(len(c))
+            terms.append(np.fromiter((number.setdefault(t, len(number)) for t in c), np.int32, len(c)))
+            times.append(np.fromiter(c.values(), np.int32, len(c)))
+        vocabulary = sorted(number)
+        rank = np.empty(len(number), np.int32)
+        rank[[number[t] for t in vocabulary]] = np.arange(len(number))
+        for i, (t, n) in enumerate(zip(terms, times, strict=True)):
+            order = np.argsort(rank[t])
+            terms[i], times[i] = rank[t[order]], n[order]
+        none = [np.zeros(0, np.int32)]
+        return cls(pa.array(vocabulary, pa.binary()), np.array(ids, np.int64), np.r_[0, np.cumsum(sizes, dtype=np.int64)], np.concatenate(terms or none), np.concatenate(times or none))
 
 
 def blocks_of(queries: DataFrame, most: int = BLOCK_QUERIES, most_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Streams ``queries`` (id, text) to the driver, which holds one block at a time."""
-    held, size = [], 0
-    for r in queries.toLocalIterator():
-        held.append((r["id"], r["text"]))
-        size += len(r["text"] or "")
-        if len(held) >= most or size >= most_bytes:
-            yield Block.of(held)
-            held, size = [], 0
-    if held:
-        yield Block.of(held)
+    rows = queries.toLocalIterator()
+
+    def some(first: Row) -> Iterator[tuple[int, str | None]]:
+        n, size, r = 0, 0, first
+        while r is not None:
+            yield r["id"], r["text"]
+            n, size = n + 1, size + len(r["text"] or "")
+            r = next(rows, None) if n < most and size < most_bytes else None
+
+    while (first := next(rows, None)) is not None:
+        yield Block.of(some(first))
 
 
 # -- search
@@ -154,83 +171,140 @@ def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
+def tf_type(row: dict[str, object]) -> np.dtype:
+    return np.dtype("u1" if 2 * len(row["tf"]) == len(row["docs"]) else "<u4")
+
+
 class Shard:
-    """What a block of queries needs of one shard: its lists, as they are stored, the long ones also by document with their
-    maxima, and each document's own terms."""
+    """What a block of queries needs of one row of the index, or of a list of rows (which it empties) as if they were one: long lists by document, with
+    their maxima, short lists, and each document's own terms. The memory that it takes for a while goes with one row."""
 
-    def __init__(self, row: dict[str, object], vocabulary: pa.Array, mean_length: float):
-        self.ids, lengths = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["lengths"], "<i4")
-        df, self.docs = np.frombuffer(row["df"], "<i4").astype(np.int64), np.frombuffer(row["docs"], "<u2")
-        self.tf = np.frombuffer(row["tf"], "u1" if len(row["tf"]) == len(self.docs) else "<u4")
+    def __init__(self, rows: dict[str, object] | list[dict[str, object]], vocabulary: pa.Array, mean_length: float, idf: np.ndarray | None = None):
+        rows = [rows] if isinstance(rows, dict) else rows
+        self.ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows])
+        self.damp = K1 * (1 - B + B * np.concatenate([np.frombuffer(r["lengths"], "<i4") for r in rows]) / mean_length)
         self.n, self.cuts = len(self.ids), -(-len(self.ids) // CUT)
-        self.damp = K1 * (1 - B + B * lengths / mean_length)
-        asked = pc.fill_null(pc.index_in(row["terms"], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-        own = np.flatnonzero(asked >= 0)
-        own = own[np.argsort(asked[own])]
-        term, self.df, self.start = asked[own], df[own], (np.cumsum(df) - df)[own]
+        total, owns = np.zeros(len(vocabulary), np.int64), []
+        for r in rows:
+            asked = pc.fill_null(pc.index_in(r["terms"], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(asked >= 0)
+            own = own[np.argsort(asked[own])]
+            owns.append((own, asked[own]))
+            total[asked[own]] += np.frombuffer(r["df"], "<i4")[own]
+        term = np.flatnonzero(total)
+        self.df = total[term]
         self.place = np.full(len(vocabulary), -1, np.int32)
-        self.place[term] = np.arange(len(own))
+        self.place[term] = np.arange(len(term))
         self.weight = np.zeros(len(vocabulary))  # of a query's terms, while it is scored
         self.looked_up = self.scored = 0  # documents, over all queries
-        self.row = np.full(len(own), -1)  # of a long list, its row below
-        many = np.flatnonzero(self.df * LONG >= self.n)
+        is_long = self.df * LONG >= self.n
+        many, few = np.flatnonzero(is_long), np.flatnonzero(~is_long)
+        self.row = np.full(len(term), -1)  # of a long list, its row below
         self.row[many] = np.arange(len(many))
         self.dense = np.zeros((len(many), self.cuts * CUT), np.float32)
-        at = spans(self.start[many], self.df[many])
-        self.dense[np.repeat(np.arange(len(many)), self.df[many]), self.docs[at]] = self.impact(at)
+        # A posting of a short list is one number: the document, and its gain in steps, rounded up.
+        self.unit = np.ones(len(term)) if idf is None else idf[term]  # what impacts are multiplied with beforehand
+        self.step = 2.0 ** np.ceil(np.log2((K1 + 1) * max(self.unit[few].max(initial=0), 1e-300) / STEPS))
+        begin = np.zeros(len(term), np.int64)
+        begin[few] = np.cumsum(self.df[few]) - self.df[few]
+        packed, free, first, done = np.empty(self.df[few].sum(), np.uint32), begin.copy(), 0, 0
+        self.doc_term, self.doc_tf = np.empty(self.df.sum(), np.int32), np.empty(self.df.sum(), max((tf_type(r) for r in rows), key=lambda t: t.itemsize))
+        self.doc_n = np.empty(self.n, np.int64)
+        rows.reverse()
+        for own, asked in owns:
+            r = rows.pop()  # the memory of one after another is given back
+            df, n = np.frombuffer(r["df"], "<i4").astype(np.int64), len(r["ids"]) // 8
+            at, df, place = spans((np.cumsum(df) - df)[own], df[own]), df[own], self.place[asked]
+            docs, tf = np.frombuffer(r["docs"], "<u2")[at], np.frombuffer(r["tf"], tf_type(r))[at]
+            at = np.argsort(docs, kind="stable")  # terms stay in order: equal documents add up alike in every shard
+            self.doc_term[done : done + len(at)] = np.repeat(asked.astype(np.int32), df)[at]
+            self.doc_tf[done : done + len(at)] = tf[at]
+            self.doc_n[first : first + n] = np.bincount(docs, minlength=n)
+            done += len(at)
+            at = None
+            places = np.repeat(place.astype(np.int32), df)
+            shift = np.repeat((free[place] - (np.cumsum(df) - df)).astype(np.int32), df)
+            for lo in range(0, len(docs), STRETCH):
+                part = slice(lo, lo + STRETCH)
+                here, own = docs[part].astype(np.int64) + first, places[part]
+                impact = tf[part] * (K1 + 1) / (tf[part] + self.damp[here])
+                to_short = ~is_long[own]
+                to_dense = np.flatnonzero(~to_short)
+                self.dense[self.row[own[to_dense]], here[to_dense]] = impact[to_dense]
+                to_short = np.flatnonzero(to_short)
+                steps = np.ceil(impact[to_short] * (self.unit / self.step)[own[to_short]]).astype(np.uint32)
+                packed[to_short + lo + shift[to_short + lo]] = here[to_short].astype(np.uint32) << np.uint32(16) | steps
+            free[place] += df
+            first += n
         self.cut_top = self.dense.reshape(len(many), self.cuts, CUT).max(axis=2)
-        at = spans(self.start, self.df)
-        by_doc = np.argsort(self.docs[at], kind="stable")  # terms stay in order: equal documents add up alike in every shard
-        self.doc_term = np.repeat(term.astype(np.int32), self.df)[by_doc]
-        self.doc_tf = self.tf[at][by_doc]
-        self.doc_n = np.bincount(self.docs[at], minlength=self.n)
         self.doc_start = np.cumsum(self.doc_n) - self.doc_n
-
-    def impact(self, at: np.ndarray) -> np.ndarray:
-        tf = self.tf[at].astype(np.float64)
-        return tf * (K1 + 1) / (tf + self.damp[self.docs[at]])
+        self.short = np.full(len(term), None)
+        for i, lo, hi in zip(few.tolist(), begin[few].tolist(), free[few].tolist()):
+            self.short[i] = packed[lo:hi]
 
     def exact(self, docs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        at, n = spans(self.doc_start[docs], self.doc_n[docs]), self.doc_n[docs]
-        tf = self.doc_tf[at].astype(np.float64)
-        return np.bincount(np.repeat(np.arange(len(docs)), n), weight[self.doc_term[at]] * (tf * (K1 + 1) / (tf + np.repeat(self.damp[docs], n))), len(docs))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        parts = [slice(a, a + n) for a, n in zip(self.doc_start[docs].tolist(), self.doc_n[docs].tolist())]
+        w = weight[np.concatenate([self.doc_term[p] for p in parts])]
+        used = np.flatnonzero(w)
+        which = np.repeat(np.arange(len(docs)), self.doc_n[docs])[used]
+        tf = np.concatenate([self.doc_tf[p] for p in parts])[used].astype(np.float64)
+        return np.bincount(which, w[used] * (tf * (K1 + 1) / (tf + self.damp[docs][which])), len(docs))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray | None = None) -> None:
         """Bring ``best``, the k best (scores, ids) of each query, up to date with this shard. Query j: terms and weights
-        from ptr[j] to ptr[j + 1]."""
+        from ptr[j] to ptr[j + 1]. ``floor``: scores that k documents are known to reach, here or elsewhere; what is below is left out."""
+        queries = len(ptr) - 1
         place = self.place[terms]
         known = place >= 0
-        query = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[known]
+        query = np.repeat(np.arange(queries), np.diff(ptr))[known]
         place, w, terms = place[known], weights[known], terms[known]
         row = self.row[place]
         long = row >= 0
-        lookup = np.zeros((len(ptr) - 1, len(self.dense)), np.float32)
+        lookup = np.zeros((queries, len(self.dense)), np.float32)
         lookup[query[long], row[long]] = w[long]
         bound = lookup @ self.cut_top
-        slack = ROUNDING * (4 + np.bincount(query[long], minlength=len(ptr) - 1))
-        added: np.ndarray | None = None
-        at_short, at_all = (np.searchsorted(q, np.arange(len(ptr))) for q in (query[~long], query))
-        short, w_short = place[~long], w[~long]
-        for j in range(len(ptr) - 1):
-            full = len(best[j][0]) == k
-            bar = best[j][0][-1] * (1 - slack[j]) if full else 0.0
-            lists, w_lists = short[at_short[j] : at_short[j + 1]], w_short[at_short[j] : at_short[j + 1]]
-            n = self.df[lists]
-            at = spans(self.start[lists], n)
-            gained = np.bincount(self.docs[at], self.impact(at) * np.repeat(w_lists, n), self.n)
-            reach = gained + np.repeat(bound[j], CUT)[: self.n]
-            docs = np.flatnonzero((reach >= bar) & (reach > 0))
-            if not len(docs):
-                continue
-            self.looked_up += len(docs)
-            if len(docs) * TOGETHER > self.n:  # many are left: one product looks them up for all queries at once
-                added = lookup @ self.dense if added is None else added
-                score = gained[docs] + added[j, docs]
+        slack = ROUNDING * (4 + np.bincount(query[long], minlength=queries))
+        bars = np.zeros(queries) if floor is None else floor.copy()
+        for j, (scores, _) in enumerate(best):
+            if len(scores) == k:
+                bars[j] = max(bars[j], scores[-1])
+        bars *= 1 - slack
+        # Where long lists alone may give half of what is needed, the bounds leave too many documents: one product looks all up.
+        wide = bound.max(axis=1, initial=0) * 2 >= bars
+        at_wide, added = np.cumsum(wide) - 1, lookup[wide] @ self.dense if wide.any() else None
+        at_short, at_all = (np.searchsorted(q, np.arange(queries + 1)) for q in (query[~long], query))
+        short, times = place[~long], w[~long] / self.unit[place[~long]]
+        often = times != 1
+        order = np.argsort((query[~long] * 2 + often).astype(np.int16), kind="stable")  # of a query: lists that count once, then others
+        short, times = short[order], times[order]
+        lists, n = self.short[short], self.df[short]
+        at_often = at_short[1:] - np.bincount(query[~long], often, queries).astype(np.int64)
+        over = self.step * np.bincount(query[~long], w[~long] / self.unit[place[~long]], queries)  # what gains may be too high by
+        for j in range(queries):
+            bar, lo, mid, hi = bars[j], at_short[j], at_often[j], at_short[j + 1]
+            if hi > lo:
+                pairs = np.concatenate(lists[lo:hi]).view("<u2")
+                gain = pairs[::2].astype(np.float64)
+                if mid < hi:
+                    gain[len(gain) - n[mid:hi].sum() :] *= np.repeat(times[mid:hi], n[mid:hi])
+                gained = np.bincount(pairs[1::2], gain, self.cuts * CUT)
+                gained *= self.step
             else:
+                gained = np.zeros(self.cuts * CUT)
+            if wide[j]:
+                self.looked_up += self.n
+                gained += added[at_wide[j]]
+                docs = np.flatnonzero(gained >= bar) if bar else np.flatnonzero(gained)
+                score = gained[docs]
+            else:
+                cuts = np.flatnonzero(gained.reshape(-1, CUT).max(axis=1) + bound[j] >= bar)
+                docs = (cuts[:, None] * CUT + np.arange(CUT)).ravel()
+                docs = docs[gained[docs] + np.repeat(bound[j, cuts], CUT) >= bar]
+                self.looked_up += len(docs)
                 used = np.flatnonzero(lookup[j])
                 score = gained[docs] + lookup[j, used] @ self.dense[used[:, None], docs]
             if len(docs) > k:
-                bar = max(bar, np.partition(score, len(docs) - k)[len(docs) - k] * (1 - slack[j]))
+                bar = max(bar, np.partition(score, len(docs) - k)[len(docs) - k] * (1 - slack[j]) - over[j])
             docs = docs[(score >= bar) & (score > 0)]
             if not len(docs):
                 continue
@@ -256,9 +330,12 @@ def one_row_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k: int, tasks: int) -> DataFrame:
-    """query_no, query_id, doc_id, score: for each task that took shards, its k best of each query of the block."""
-    sc = index.sparkSession.sparkContext
+def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k: int, tasks: int) -> list[DataFrame]:
+    """query_no, query_id, doc_id, score: for each task that took shards, its k best of each query of the block.
+
+    About the square root of all files of the index is searched first; the k-th best score there is every query's bar elsewhere."""
+    spark = index.sparkSession
+    sc = spark.sparkContext
     shared = sc.broadcast(block)  # at most BLOCK_QUERIES queries of BLOCK_BYTES
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,34 +356,64 @@ def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k:
         df[part.column(0).to_numpy()] = part.column(1).to_numpy()
     idf = sc.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        vocabulary = q.vocabulary
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q.ids)
-        weights = idf.value[q.terms] * q.times
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = None  # one shard at a time
-                pa.default_memory_pool().release_unused()
-                shard = Shard({c: (batch.column(c)[i].values if c == "terms" else batch.column(c)[i].as_py()) for c in batch.schema.names}, vocabulary, mean_length)
+    names = [f.split()[0] for f in INDEX.split(", ")][:6]
+
+    def found_in(files: list[str], floor: Broadcast | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = shared.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q.ids)
+            weights = idf.value[q.terms] * q.times
+            for rows in merged(batches):
+                shard = Shard(rows, q.vocabulary, mean_length, idf.value)
                 for lo in range(0, len(q.ids), TOGETHER):
                     hi = min(lo + TOGETHER, len(q.ids))
                     own, some = slice(q.ptr[lo], q.ptr[hi]), best[lo:hi]
-                    shard.search(q.terms[own], weights[own], q.ptr[lo : hi + 1] - q.ptr[lo], k, some)
+                    shard.search(q.terms[own], weights[own], q.ptr[lo : hi + 1] - q.ptr[lo], k, some, None if floor is None else floor.value[lo:hi])
                     best[lo:hi] = some
-        size = [len(s) for s, _ in best]
-        which = np.repeat(np.arange(len(best)), size)
-        score, ids = (np.concatenate(x) if best else np.zeros(0) for x in (list(zip(*best)) or [[], []]))
-        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(q.ids[which]), pa.array(ids.astype(np.int64)), pa.array(score.astype(np.float64))], names=["query_no", "query_id", "doc_id", "score"])
-
-    names = [f.split()[0] for f in INDEX.split(", ")][:6]
-    with one_row_batches(index.sparkSession):
-        found = cut(index.select(*names).coalesce(tasks).mapInArrow(search, "query_no int, query_id long, doc_id long, score double"))
+                shard = None  # one at a time
+                pa.default_memory_pool().release_unused()
+            size = [len(s) for s, _ in best]
+            which = np.repeat(np.arange(len(best)), size)
+            score, ids = (np.concatenate(x) if best else np.zeros(0) for x in (list(zip(*best)) or [[], []]))
+            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(q.ids[which]), pa.array(ids.astype(np.int64)), pa.array(score.astype(np.float64))], names=["query_no", "query_id", "doc_id", "score"])
+
+        rows = spark.read.schema(index.schema).parquet(*files).select(*names)
+        with one_row_batches(spark):
+            return cut(rows.coalesce(tasks).mapInArrow(run, "query_no int, query_id long, doc_id long, score double"))
+
+    files = sorted(index.inputFiles())
+    every = max(1, math.isqrt(len(files)))
+    found = [found_in(files[::every], None)]
+    if rest := [f for i, f in enumerate(files) if i % every]:
+        nth = F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("score")))
+        bars = np.zeros(len(block.ids))
+        for part in found[0].withColumn("nth", nth).filter(F.col("nth") == k).select("query_no", "score").toArrow().to_batches():  # at most a row a query
+            bars[part.column(0).to_numpy()] = part.column(1).to_numpy()
+        floor = sc.broadcast(bars)
+        found.append(found_in(rest, floor))
+        floor.unpersist()
     shared.unpersist()
     idf.unpersist()
     return found
 
 
+def merged(batches: Iterator[pa.RecordBatch], most: int = MERGED_DOCS, most_words: int = MERGED_WORDS) -> Iterator[list[dict[str, object]]]:
+    """Rows of the index that are searched as one: what a query costs in a shard besides its postings is then paid once."""
+    held, docs, words = [], 0, 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: (batch.column(c)[i].values if c == "terms" else batch.column(c)[i].as_buffer()) for c in batch.schema.names}
+            n, w = len(row["ids"]) // 8, int(np.frombuffer(row["lengths"], "<i4").sum(dtype=np.int64))
+            if held and (docs + n > most or words + w > most_words):
+                whole, held, docs, words = held, [], 0, 0
+                yield whole
+            held.append(row)
+            row = None
+            docs, words = docs + n, words + w
+    if held:
+        yield held
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text", shard_docs: int = SHARD_DOCS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The k best documents for each query, exactly.
 
@@ -324,7 +431,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         return spark.createDataFrame([], schema)
     asked = queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(query_text_col).alias("text")).filter(F.col("id").isNotNull())
     tasks = max(spark.sparkContext.defaultParallelism, -(-total[2] // SHARDS_A_TASK))
-    found = [search_block(index, b, total[0], total[1] / total[0], k, tasks).withColumn("block", F.lit(i)) for i, b in enumerate(blocks_of(asked, block_queries))]
+    found = [f.withColumn("block", F.lit(i)) for i, b in enumerate(blocks_of(asked, block_queries)) for f in search_block(index, b, total[0], total[1] / total[0], k, tasks)]
     if not found:
         return spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("block", "query_no").orderBy(F.desc("score"), "doc_id"))
