@@ -81,6 +81,62 @@ def test_long_queries_are_exact():
         assert ids.tolist() == [i for i, _ in want] and score.tolist() == pytest.approx([s for _, s in want])
 
 
+def tongues(rng, documents):
+    """Texts of three vocabularies in turn, with some words that all share."""
+    share = 1 / np.arange(1, 401)
+    return [" ".join(f"{'abc'[i % 3]}{w}" if w % 40 else f"all{w}" for w in rng.choice(400, 120, p=share / share.sum())) for i in range(documents)]
+
+
+def rows_of(texts, size):
+    terms = [bm25.terms_of(t) for t in texts]
+    parts = [range(lo, min(lo + size, len(texts))) for lo in range(0, len(texts), size)]
+    return [bm25.shard_row(list(p), [len(terms[i]) for i in p], [bm25.encoded([w for i in p for w in terms[i]])]) for p in parts]
+
+
+def test_documents_of_other_groups_are_not_looked_up(monkeypatch):
+    monkeypatch.setattr(bm25, "GROUP_DOCS", 200, raising=False)
+    texts = tongues(np.random.default_rng(12), 2000)
+    asked = texts[:60]
+    shard, block, weights = one_shard(texts, asked)
+    best = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
+    shard.search(block.terms, weights, block.ptr, 5, best)
+    for (_, want), (score, ids) in zip(slow_bm25(list(enumerate(texts)), list(enumerate(asked)), 5), best, strict=True):
+        assert ids.tolist() == [i for i, _ in want] and score.tolist() == pytest.approx([s for _, s in want])
+    first = shard.looked_up
+    shard.search(block.terms, weights, block.ptr, 5, [(b[0], b[1] + 10**6) for b in best])
+    assert shard.looked_up - first < 0.5 * len(texts) * len(asked)
+
+
+@pytest.mark.parametrize("group_docs", [50, 10**6])
+def test_rows_are_searched_as_one_from_a_known_score_on(monkeypatch, group_docs):
+    monkeypatch.setattr(bm25, "GROUP_DOCS", group_docs, raising=False)
+    texts = tongues(np.random.default_rng(13), 900) + ["", "w " * 70_000 + "a1", "a1", "a1"]
+    asked = [*texts[:30], "a1 a1 all0", "a1", "", "none", "b399 c399 c399"]
+    _, block, weights = one_shard(texts, asked)
+    idf = np.zeros(len(block.vocabulary))
+    idf[block.terms] = weights / block.times
+    idf = np.where(idf > 0, idf, 1)
+    mean = sum(len(bm25.terms_of(t)) for t in texts) / len(texts)
+    want = slow_bm25(list(enumerate(texts)), list(enumerate(asked)), 6)
+    shard = bm25.Shard(rows_of(texts, 250), block.vocabulary, mean, idf)
+    floor = np.array([w[5][1] * (1 - 1e-12) if len(w) == 6 else 0.0 for _, w in want])
+    for bar in (None, floor, floor * 0.7):
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
+        before = shard.scored
+        shard.search(block.terms, weights, block.ptr, 6, best, bar)
+        for (_, w), (score, ids) in zip(want, best, strict=True):
+            assert ids.tolist() == [i for i, _ in w] and score.tolist() == pytest.approx([s for _, s in w])
+        assert bar is not floor or shard.scored - before <= sum(len(w) for _, w in want) + 10
+
+
+def test_index_rows_are_taken_together_up_to_a_size():
+    schema = [f.split()[0] for f in bm25.INDEX.split(", ")][:6]
+    rows = rows_of(tongues(np.random.default_rng(14), 100), 10)
+    batches = [bm25.pa.RecordBatch.from_arrays([bm25.pa.array([r[c].to_pylist() if c == "terms" else r[c]], bm25.pa.list_(bm25.pa.binary()) if c == "terms" else bm25.pa.binary()) for c in schema], names=schema) for r in rows]
+    assert [len(x) for x in bm25.merged(iter(batches), most=35)] == [3, 3, 3, 1]
+    assert [len(x) for x in bm25.merged(iter(batches), most_words=2400)] == [2] * 5 and [len(x) for x in bm25.merged(iter(batches), most=1)] == [1] * 10
+
+
 def test_search_of_nothing(spark):
     none, some = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert bm25.search(none, some).count() == 0 and bm25.search(some, none).count() == 0

@@ -38,11 +38,15 @@ BLOCK_QUERIES, BLOCK_BYTES = 16384, 64 << 20
 #: Documents between two cuts of the lists; a list is long if it holds at least one document in LONG.
 CUT, LONG = 64, 16
 #: Queries that are taken through a shard together; words that are encoded together while a shard is built.
-TOGETHER, ENCODED = 256, 250_000
+TOGETHER, ENCODED = 512, 250_000
 #: Steps of the highest gain of a short list.
-STEPS = 65535
-#: Shards are searched together up to so many documents (at most 65,536) or words.
+STEPS = 65534
+#: Shards are searched together up to so many documents (at most 32,768) or words.
 MERGED_DOCS, MERGED_WORDS = 16384, 16_000_000
+#: Groups of a shard at most, and documents for each; a list is long in a group only from LEAST of its documents on.
+GROUPS, GROUP_DOCS, LEAST = 8, 1024, 8
+#: Queries whose short lists are fetched together.
+FETCHED = 16
 #: Postings that are weighed together while a shard is read.
 STRETCH = 1 << 18
 #: Shards that one task takes, one after another, at most if there are more shards than slots for them.
@@ -104,7 +108,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(held) >= ENCODED:
                     coded.append(encoded(held))
                     held = []
-                if len(ids) >= min(shard_docs, 1 << 16) or words >= shard_words:
+                if len(ids) >= min(shard_docs, 1 << 15) or words >= shard_words:
                     yield shard()
                     ids, lengths, coded, held, words = [], [], [], [], 0
                     pa.default_memory_pool().release_unused()
@@ -168,79 +172,133 @@ def blocks_of(queries: DataFrame, most: int = BLOCK_QUERIES, most_bytes: int = B
 
 def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
-    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+    at = np.repeat(start - np.cumsum(n) + n, n)
+    at += np.arange(len(at))
+    return at
 
 
-def tf_type(row: dict[str, object]) -> np.dtype:
-    return np.dtype("u1" if 2 * len(row["tf"]) == len(row["docs"]) else "<u4")
+def groups_of(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Each document's group, of up to ``most``: that of the nearest of as many documents, which are chosen one by one from a
+    few hundred so that these come nearest to them. Which group it is changes no result. ``vectors``: a column a document."""
+    length = np.sqrt(np.einsum("ij,ij->j", vectors, vectors))
+    some = np.flatnonzero(length)
+    some = some[:: -(-len(some) // 512) or 1]
+    of = vectors[:, some] / length[some]
+    alike, near, chosen = of.T @ of, np.zeros(len(some), np.float32), []
+    while len(chosen) < min(most, len(some)):
+        chosen.append(int(np.maximum(alike - near, 0).sum(axis=1).argmax()))
+        near = np.maximum(near, alike[chosen[-1]])
+    return (of[:, chosen].T @ vectors).argmax(axis=0) if chosen else np.zeros(vectors.shape[1], np.int64)
 
 
 class Shard:
-    """What a block of queries needs of one row of the index, or of a list of rows (which it empties) as if they were one: long lists by document, with
-    their maxima, short lists, and each document's own terms. The memory that it takes for a while goes with one row."""
+    """What a block of queries needs of one row of the index, or of a list of rows (which it empties) as if they were one.
+
+    Documents that share frequent terms, as those of one language do, lie together in a group of columns. A list that is long
+    in a group is kept there by column, with the maxima of its cuts; all other postings are in the terms' short lists."""
 
     def __init__(self, rows: dict[str, object] | list[dict[str, object]], vocabulary: pa.Array, mean_length: float, idf: np.ndarray | None = None):
         rows = [rows] if isinstance(rows, dict) else rows
         self.ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows])
         self.damp = K1 * (1 - B + B * np.concatenate([np.frombuffer(r["lengths"], "<i4") for r in rows]) / mean_length)
-        self.n, self.cuts = len(self.ids), -(-len(self.ids) // CUT)
-        total, owns = np.zeros(len(vocabulary), np.int64), []
+        self.n = len(self.ids)
+        total, owns, tf_type = np.zeros(len(vocabulary), np.int64), [], np.uint8
         for r in rows:
             asked = pc.fill_null(pc.index_in(r["terms"], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
             own = np.flatnonzero(asked >= 0)
             own = own[np.argsort(asked[own])]
-            owns.append((own, asked[own]))
-            total[asked[own]] += np.frombuffer(r["df"], "<i4")[own]
+            df = np.frombuffer(r["df"], "<i4").astype(np.int64)
+            total[asked[own]] += df[own]
+            at, n = spans((np.cumsum(df) - df)[own], df[own]), len(r["ids"]) // 8
+            docs, tf = np.frombuffer(r["docs"], "<u2"), r["tf"]
+            tf = np.frombuffer(tf, "u1" if len(tf) == len(docs) else "<u4")
+            tf_type = max(tf_type, tf.dtype.type, key=lambda t: np.dtype(t).itemsize)
+            owns.append((asked[own].astype(np.int32), df[own], docs[at], tf[at], n))
+        rows.clear()
         term = np.flatnonzero(total)
-        self.df = total[term]
+        df = total[term]
         self.place = np.full(len(vocabulary), -1, np.int32)
         self.place[term] = np.arange(len(term))
         self.weight = np.zeros(len(vocabulary))  # of a query's terms, while it is scored
         self.looked_up = self.scored = 0  # documents, over all queries
-        is_long = self.df * LONG >= self.n
-        many, few = np.flatnonzero(is_long), np.flatnonzero(~is_long)
-        self.row = np.full(len(term), -1)  # of a long list, its row below
-        self.row[many] = np.arange(len(many))
-        self.dense = np.zeros((len(many), self.cuts * CUT), np.float32)
-        # A posting of a short list is one number: the document, and its gain in steps, rounded up.
+
+        # Groups, by the lists that are long in the whole; and each document's column.
+        many = np.flatnonzero(df * LONG >= self.n)
+        row = np.full(len(term), -1, np.int32)
+        row[many] = np.arange(len(many))
+        groups, first = max(1, min(GROUPS, self.n // GROUP_DOCS)), 0
+        vectors = np.zeros((len(many), self.n), np.float32)
+        for asked, n_docs, docs, tf, n in owns:
+            at = np.repeat(row[self.place[asked]], n_docs)
+            used = np.flatnonzero(at >= 0)
+            here = docs[used].astype(np.int64) + first
+            vectors[at[used], here] = tf[used] / (tf[used] + self.damp[here])
+            first += n
+        group = groups_of(vectors, groups) if groups > 1 else np.zeros(self.n, np.int64)
+        vectors = None
+        size = np.bincount(group, minlength=groups)
+        self.cut_at = np.r_[0, np.cumsum(-(-size // CUT))]  # of each group, its first cut
+        self.cuts = int(self.cut_at[-1])
+        order = np.argsort(group, kind="stable")
+        column = np.empty(self.n, np.int64)
+        column[order] = np.arange(self.n) + (self.cut_at[:-1] * CUT - (np.cumsum(size) - size))[group[order]]
+        self.doc = np.full(self.cuts * CUT, -1)
+        self.doc[column] = np.arange(self.n)
+        self.group_docs, self.group = size, np.repeat(np.arange(groups), np.diff(self.cut_at))
+
+        # Lists that are long in a group: a row each there.
+        count, first = np.zeros((groups, len(term)), np.int32), 0
+        for asked, n_docs, docs, _, n in owns:
+            at = np.repeat(self.place[asked], n_docs) + group[first : first + n][docs] * len(term)
+            count += np.bincount(at, minlength=count.size).reshape(count.shape)
+            first += n
+        is_long = (count * LONG >= size[:, None]) & (count >= np.minimum(LEAST, df))
+        self.row = np.where(is_long, np.cumsum(is_long, axis=1) - 1, -1).astype(np.int32)
+        self.in_row = is_long.any(axis=0)
+        self.df = df - (count * is_long).sum(axis=0)  # of what is left in the short lists
+        rows_of, width = is_long.sum(axis=1), np.diff(self.cut_at) * CUT
+        base = np.r_[0, np.cumsum(rows_of * width)]
+        dense = np.zeros(base[-1], np.float32)
+        self.dense = [dense[base[g] : base[g + 1]].reshape(rows_of[g], width[g]) for g in range(groups)]
+        offset = base[:-1] - self.cut_at[:-1] * CUT  # of a group's row 0, less its first column
+
+        # A posting of a short list is one number: the column, and its gain in steps, rounded up.
         self.unit = np.ones(len(term)) if idf is None else idf[term]  # what impacts are multiplied with beforehand
-        self.step = 2.0 ** np.ceil(np.log2((K1 + 1) * max(self.unit[few].max(initial=0), 1e-300) / STEPS))
-        begin = np.zeros(len(term), np.int64)
-        begin[few] = np.cumsum(self.df[few]) - self.df[few]
-        packed, free, first, done = np.empty(self.df[few].sum(), np.uint32), begin.copy(), 0, 0
-        self.doc_term, self.doc_tf = np.empty(self.df.sum(), np.int32), np.empty(self.df.sum(), max((tf_type(r) for r in rows), key=lambda t: t.itemsize))
+        self.step = 2.0 ** np.ceil(np.log2((K1 + 1) * max(self.unit.max(initial=0), 1e-300) / STEPS))
+        steps = self.unit / self.step
+        self.start = np.cumsum(self.df) - self.df
+        self.packed, free, first, done = np.empty(self.df.sum(), np.uint32), self.start.copy(), 0, 0
+        self.doc_term, self.doc_tf = np.empty(df.sum(), np.int32), np.empty(df.sum(), tf_type)
         self.doc_n = np.empty(self.n, np.int64)
-        rows.reverse()
-        for own, asked in owns:
-            r = rows.pop()  # the memory of one after another is given back
-            df, n = np.frombuffer(r["df"], "<i4").astype(np.int64), len(r["ids"]) // 8
-            at, df, place = spans((np.cumsum(df) - df)[own], df[own]), df[own], self.place[asked]
-            docs, tf = np.frombuffer(r["docs"], "<u2")[at], np.frombuffer(r["tf"], tf_type(r))[at]
+        owns.reverse()
+        while owns:
+            asked, n_docs, docs, tf, n = owns.pop()
             at = np.argsort(docs, kind="stable")  # terms stay in order: equal documents add up alike in every shard
-            self.doc_term[done : done + len(at)] = np.repeat(asked.astype(np.int32), df)[at]
+            self.doc_term[done : done + len(at)] = np.repeat(asked, n_docs)[at]
             self.doc_tf[done : done + len(at)] = tf[at]
             self.doc_n[first : first + n] = np.bincount(docs, minlength=n)
             done += len(at)
-            at = None
-            places = np.repeat(place.astype(np.int32), df)
-            shift = np.repeat((free[place] - (np.cumsum(df) - df)).astype(np.int32), df)
+            at, places, own_group, own_column = None, np.repeat(self.place[asked], n_docs), group[first : first + n], column[first : first + n]
+            left = np.zeros(len(term), np.int64)
             for lo in range(0, len(docs), STRETCH):
-                part = slice(lo, lo + STRETCH)
-                here, own = docs[part].astype(np.int64) + first, places[part]
-                impact = tf[part] * (K1 + 1) / (tf[part] + self.damp[here])
-                to_short = ~is_long[own]
-                to_dense = np.flatnonzero(~to_short)
-                self.dense[self.row[own[to_dense]], here[to_dense]] = impact[to_dense]
-                to_short = np.flatnonzero(to_short)
-                steps = np.ceil(impact[to_short] * (self.unit / self.step)[own[to_short]]).astype(np.uint32)
-                packed[to_short + lo + shift[to_short + lo]] = here[to_short].astype(np.uint32) << np.uint32(16) | steps
-            free[place] += df
+                here, at = docs[lo : lo + STRETCH], places[lo : lo + STRETCH]
+                own = own_group[here]
+                to = self.row[own, at]
+                impact = tf[lo : lo + STRETCH] * (K1 + 1) / (tf[lo : lo + STRETCH] + self.damp[first : first + n][here])
+                used = np.flatnonzero(to >= 0)
+                dense[offset[own[used]] + to[used] * width[own[used]] + own_column[here[used]]] = impact[used]
+                used = np.flatnonzero(to < 0)
+                at = at[used]
+                if not len(at):
+                    continue
+                number = np.bincount(at - at[0])  # places ascend
+                to = np.arange(len(at)) - np.repeat(np.cumsum(number) - number, number) + (free + left)[at]
+                self.packed[to] = own_column[here[used]].astype(np.uint32) << np.uint32(16) | np.ceil(impact[used] * steps[at]).astype(np.uint32)
+                left[at[0] : at[0] + len(number)] += number
+            free += left
             first += n
-        self.cut_top = self.dense.reshape(len(many), self.cuts, CUT).max(axis=2)
         self.doc_start = np.cumsum(self.doc_n) - self.doc_n
-        self.short = np.full(len(term), None)
-        for i, lo, hi in zip(few.tolist(), begin[few].tolist(), free[few].tolist()):
-            self.short[i] = packed[lo:hi]
+        self.cut_top = [d.reshape(len(d), d.shape[1] // CUT, CUT).max(axis=2) for d in self.dense]
 
     def exact(self, docs: np.ndarray, weight: np.ndarray) -> np.ndarray:
         parts = [slice(a, a + n) for a, n in zip(self.doc_start[docs].tolist(), self.doc_n[docs].tolist())]
@@ -258,32 +316,45 @@ class Shard:
         known = place >= 0
         query = np.repeat(np.arange(queries), np.diff(ptr))[known]
         place, w, terms = place[known], weights[known], terms[known]
-        row = self.row[place]
-        long = row >= 0
-        lookup = np.zeros((queries, len(self.dense)), np.float32)
-        lookup[query[long], row[long]] = w[long]
-        bound = lookup @ self.cut_top
-        slack = ROUNDING * (4 + np.bincount(query[long], minlength=queries))
+        some = np.flatnonzero(self.in_row[place])
+        slack = ROUNDING * (4 + np.bincount(query[some], minlength=queries))
         bars = np.zeros(queries) if floor is None else floor.copy()
         for j, (scores, _) in enumerate(best):
             if len(scores) == k:
                 bars[j] = max(bars[j], scores[-1])
         bars *= 1 - slack
-        # Where long lists alone may give half of what is needed, the bounds leave too many documents: one product looks all up.
-        wide = bound.max(axis=1, initial=0) * 2 >= bars
-        at_wide, added = np.cumsum(wide) - 1, lookup[wide] @ self.dense if wide.any() else None
-        at_short, at_all = (np.searchsorted(q, np.arange(queries + 1)) for q in (query[~long], query))
-        short, times = place[~long], w[~long] / self.unit[place[~long]]
+        # Where a group's long lists alone may give half of what is needed, one product looks its documents up, with no other test.
+        lookups, bound, added = [], np.zeros((queries, self.cuts)), np.zeros((queries, self.cuts * CUT), np.float32)
+        for g, (dense, top) in enumerate(zip(self.dense, self.cut_top, strict=True)):
+            row = self.row[g, place[some]]
+            used = np.flatnonzero(row >= 0)
+            lookup = np.zeros((queries, len(dense)), np.float32)
+            lookup[query[some[used]], row[used]] = w[some[used]]
+            lookups.append(lookup)
+            own, cuts = lookup @ top, slice(self.cut_at[g], self.cut_at[g + 1])
+            wide = np.flatnonzero(own.max(axis=1, initial=0) * 2 >= bars)
+            if len(wide):
+                added[wide, cuts.start * CUT : cuts.stop * CUT] = lookup[wide] @ dense
+                own[wide] = 0
+                self.looked_up += len(wide) * int(self.group_docs[g])
+            bound[:, cuts] = own
+        most = bound.max(axis=1)  # under half the bar
+        at_all, in_short = np.searchsorted(query, np.arange(queries + 1)), np.flatnonzero(self.df[place])
+        at_short, times = np.searchsorted(query[in_short], np.arange(queries + 1)), (w / self.unit[place])[in_short]
+        over = self.step * np.bincount(query[in_short], times, queries)  # what gains may be too high by
         often = times != 1
-        order = np.argsort((query[~long] * 2 + often).astype(np.int16), kind="stable")  # of a query: lists that count once, then others
-        short, times = short[order], times[order]
-        lists, n = self.short[short], self.df[short]
-        at_often = at_short[1:] - np.bincount(query[~long], often, queries).astype(np.int64)
-        over = self.step * np.bincount(query[~long], w[~long] / self.unit[place[~long]], queries)  # what gains may be too high by
+        at_often = at_short[1:] - np.bincount(query[in_short][often], minlength=queries)
+        order = np.argsort((query[in_short] * 2 + often).astype(np.int16), kind="stable")  # of a query: lists that count once, then others
+        short, times = place[in_short][order], times[order]
+        start, n = self.start[short], self.df[short]
         for j in range(queries):
+            if j % FETCHED == 0:
+                lo, hi = at_short[j], at_short[min(j + FETCHED, queries)]
+                fetched = self.packed.take(spans(start[lo:hi], n[lo:hi]), mode="clip").view("<u2")  # faster than an index; none is out of range
+                ends = np.r_[0, np.cumsum(n[lo:hi])][at_short[j : j + FETCHED + 1] - lo] * 2
             bar, lo, mid, hi = bars[j], at_short[j], at_often[j], at_short[j + 1]
             if hi > lo:
-                pairs = np.concatenate(lists[lo:hi]).view("<u2")
+                pairs = fetched[ends[j % FETCHED] : ends[j % FETCHED + 1]]
                 gain = pairs[::2].astype(np.float64)
                 if mid < hi:
                     gain[len(gain) - n[mid:hi].sum() :] *= np.repeat(times[mid:hi], n[mid:hi])
@@ -291,18 +362,19 @@ class Shard:
                 gained *= self.step
             else:
                 gained = np.zeros(self.cuts * CUT)
-            if wide[j]:
-                self.looked_up += self.n
-                gained += added[at_wide[j]]
-                docs = np.flatnonzero(gained >= bar) if bar else np.flatnonzero(gained)
-                score = gained[docs]
-            else:
-                cuts = np.flatnonzero(gained.reshape(-1, CUT).max(axis=1) + bound[j] >= bar)
-                docs = (cuts[:, None] * CUT + np.arange(CUT)).ravel()
-                docs = docs[gained[docs] + np.repeat(bound[j, cuts], CUT) >= bar]
-                self.looked_up += len(docs)
-                used = np.flatnonzero(lookup[j])
-                score = gained[docs] + lookup[j, used] @ self.dense[used[:, None], docs]
+            gained += added[j]
+            docs = np.flatnonzero(gained >= bar - most[j]) if bar else np.flatnonzero(gained)
+            docs = docs[gained[docs] + bound[j, docs // CUT] >= bar] if most[j] else docs
+            if not len(docs):
+                continue
+            score = gained[docs]
+            far = np.flatnonzero(bound[j, docs // CUT] > 0)
+            self.looked_up += len(far)
+            for g in np.unique(self.group[docs[far] // CUT]):
+                own = far[self.group[docs[far] // CUT] == g]
+                used = np.flatnonzero(lookups[g][j])
+                score[own] += lookups[g][j, used] @ self.dense[g][used[:, None], docs[own] - self.cut_at[g] * CUT]
+            docs = self.doc[docs]  # none of the columns between groups, which gain nothing
             if len(docs) > k:
                 bar = max(bar, np.partition(score, len(docs) - k)[len(docs) - k] * (1 - slack[j]) - over[j])
             docs = docs[(score >= bar) & (score > 0)]
