@@ -4,13 +4,12 @@ A shard is the documents of a stretch of one input partition, so building moves
 row of a Parquet table. Collection statistics (documents, mean length, document frequencies) are global sums, so
 scores do not depend on the sharding.
 
-Queries come in blocks of bounded size; a block is broadcast, and tasks take shards one after another, carrying each
-query's k best so far: its threshold in the next shard. In a shard all lists are cut at the same document numbers, and
-a long list keeps its largest impact in each cut. A query reads its short lists; the block maxima of its long ones,
-summed cut by cut, bound what those can add. Only a document whose sum so far and its cut's bound reach the threshold is
-looked up in the long lists (the pivot test of WAND, done for a whole shard at once), and only one that then still
-reaches it, or the k-th best of the shard, is scored in full. Cuts whose bound alone stays below the threshold give no
-document that the short lists did not bring.
+Queries come in blocks of bounded size; a block is broadcast. A first part of the index gives each query a bar, which its k
+best documents reach; tasks take the rest, some shards at a time, carrying the k best so far. Documents that share frequent
+terms lie together; a list that is long among them keeps its largest impact in each cut. A query reads its short lists; the
+block maxima of its long ones, summed cut by cut, bound what those can add (the pivot test of WAND, done for a whole shard at
+once). Documents whose bound reaches the bar are looked up in the long lists, all at once where the maxima alone reach half
+of it, and only one that then still reaches the bar, or the k-th best of the shard, is scored in full.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +28,31 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, stored
+from tidemark.llm.common import cut, in_batches, stored
 
 K1, B = 1.2, 0.75
 #: A shard ends at this many documents or words.
-SHARD_DOCS, SHARD_WORDS = 12288, 8_000_000
+SHARD_DOCS, SHARD_WORDS = 4096, 8_000_000
 #: A block of queries ends at this many queries or bytes of text.
-BLOCK_QUERIES, BLOCK_BYTES = 16384, 64 << 20
+BLOCK_QUERIES, BLOCK_BYTES = 8192, 32 << 20
 #: Documents between two cuts of the lists; a list is long if it holds at least one document in LONG.
 CUT, LONG = 64, 16
 #: Queries that are taken through a shard together; words that are encoded together while a shard is built.
-TOGETHER, ENCODED = 512, 250_000
+TOGETHER, ENCODED = 256, 250_000
 #: Steps of the highest gain of a short list.
 STEPS = 65534
 #: Shards are searched together up to so many documents (at most 32,768) or words.
-MERGED_DOCS, MERGED_WORDS = 16384, 16_000_000
+MERGED_DOCS, MERGED_WORDS = 12288, 12_000_000
 #: Groups of a shard at most, and documents for each; a list is long in a group only from LEAST of its documents on.
 GROUPS, GROUP_DOCS, LEAST = 8, 1024, 8
+#: Rows of the index whose frequencies are counted together.
+COUNTED = 8
 #: Queries whose short lists are fetched together.
 FETCHED = 16
 #: Postings that are weighed together while a shard is read.
 STRETCH = 1 << 18
 #: Shards that one task takes, one after another, at most if there are more shards than slots for them.
-SHARDS_A_TASK = 4
+SHARDS_A_TASK = 8
 #: Twice the rounding unit of single precision. A sum of m positive products in it, of factors rounded to it, is off by
 #: under (m + 3) units, in any order; two such sums compare to within twice that. What is listed is summed in double precision.
 ROUNDING = 2.0**-23
@@ -116,7 +118,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
-    return stored(rows.mapInArrow(run, INDEX), "bm25")
+    return stored(in_batches(rows).mapInArrow(run, INDEX), "bm25")
 
 
 # -- queries
@@ -177,6 +179,12 @@ def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return at
 
 
+def numbers_of(terms: list[pa.Array], vocabulary: pa.Array) -> list[np.ndarray]:
+    """Each term's place in the vocabulary, or -1, of some rows at once, since each call hashes the vocabulary."""
+    found = pc.fill_null(pc.index_in(pa.concat_arrays(terms), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    return np.split(found, np.cumsum([len(t) for t in terms])[:-1])
+
+
 def groups_of(vectors: np.ndarray, most: int) -> np.ndarray:
     """Each document's group, of up to ``most``: that of the nearest of as many documents, which are chosen one by one from a
     few hundred so that these come nearest to them. Which group it is changes no result. ``vectors``: a column a document."""
@@ -203,8 +211,7 @@ class Shard:
         self.damp = K1 * (1 - B + B * np.concatenate([np.frombuffer(r["lengths"], "<i4") for r in rows]) / mean_length)
         self.n = len(self.ids)
         total, owns, tf_type = np.zeros(len(vocabulary), np.int64), [], np.uint8
-        for r in rows:
-            asked = pc.fill_null(pc.index_in(r["terms"], value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        for r, asked in zip(rows, numbers_of([r["terms"] for r in rows], vocabulary), strict=True):
             own = np.flatnonzero(asked >= 0)
             own = own[np.argsort(asked[own])]
             df = np.frombuffer(r["df"], "<i4").astype(np.int64)
@@ -231,9 +238,12 @@ class Shard:
         for asked, n_docs, docs, tf, n in owns:
             at = np.repeat(row[self.place[asked]], n_docs)
             used = np.flatnonzero(at >= 0)
-            here = docs[used].astype(np.int64) + first
-            vectors[at[used], here] = tf[used] / (tf[used] + self.damp[here])
+            for lo in range(0, len(used), STRETCH):
+                some = used[lo : lo + STRETCH]
+                here = docs[some].astype(np.int64) + first
+                vectors[at[some], here] = tf[some] / (tf[some] + self.damp[here])
             first += n
+        at = used = None
         group = groups_of(vectors, groups) if groups > 1 else np.zeros(self.n, np.int64)
         vectors = None
         size = np.bincount(group, minlength=groups)
@@ -249,9 +259,16 @@ class Shard:
         # Lists that are long in a group: a row each there.
         count, first = np.zeros((groups, len(term)), np.int32), 0
         for asked, n_docs, docs, _, n in owns:
-            at = np.repeat(self.place[asked], n_docs) + group[first : first + n][docs] * len(term)
-            count += np.bincount(at, minlength=count.size).reshape(count.shape)
+            at = np.repeat(self.place[asked], n_docs)
+            for lo in range(0, len(docs), STRETCH):
+                some = at[lo : lo + STRETCH]
+                if not len(some):
+                    continue
+                low, high = int(some[0]), int(some[-1]) + 1  # places ascend
+                own = (some - low) + group[first : first + n][docs[lo : lo + STRETCH]] * (high - low)
+                count[:, low:high] += np.bincount(own, minlength=groups * (high - low)).reshape(groups, high - low).astype(np.int32)
             first += n
+        at = own = None
         is_long = (count * LONG >= size[:, None]) & (count >= np.minimum(LEAST, df))
         self.row = np.where(is_long, np.cumsum(is_long, axis=1) - 1, -1).astype(np.int32)
         self.in_row = is_long.any(axis=0)
@@ -413,11 +430,10 @@ def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value.vocabulary
         total = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
-            for terms, df in zip(batch.column(0), batch.column(1), strict=True):
-                at = pc.index_in(terms.values, value_set=vocabulary)
-                known = at.is_valid().to_numpy(zero_copy_only=False)
-                total[at.drop_null().to_numpy()] += np.frombuffer(df.as_py(), "<i4")[known]
+        rows = ((terms.values, np.frombuffer(df.as_py(), "<i4")) for batch in batches for terms, df in zip(batch.column(0), batch.column(1), strict=True))
+        while some := list(islice(rows, COUNTED)):
+            for at, (_, df) in zip(numbers_of([t for t, _ in some], vocabulary), some, strict=True):
+                total[at[at >= 0]] += df[at >= 0]
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["term", "df"])
 
@@ -434,13 +450,12 @@ def search_block(index: DataFrame, block: Block, n: int, mean_length: float, k:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = shared.value
             best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q.ids)
-            weights = idf.value[q.terms] * q.times
             for rows in merged(batches):
                 shard = Shard(rows, q.vocabulary, mean_length, idf.value)
                 for lo in range(0, len(q.ids), TOGETHER):
                     hi = min(lo + TOGETHER, len(q.ids))
                     own, some = slice(q.ptr[lo], q.ptr[hi]), best[lo:hi]
-                    shard.search(q.terms[own], weights[own], q.ptr[lo : hi + 1] - q.ptr[lo], k, some, None if floor is None else floor.value[lo:hi])
+                    shard.search(q.terms[own], idf.value[q.terms[own]] * q.times[own], q.ptr[lo : hi + 1] - q.ptr[lo], k, some, None if floor is None else floor.value[lo:hi])
                     best[lo:hi] = some
                 shard = None  # one at a time
                 pa.default_memory_pool().release_unused()
